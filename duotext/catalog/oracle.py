@@ -139,11 +139,12 @@ def _upsample(source: str, key: str, draws: str, columns: str, seed: int = 123)
   SELECT *, row_number() OVER (ORDER BY {_hash(seed, key)}, row_id) - 1 AS spot FROM {source} WHERE label = 1),
 sizes AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM {source}),
 draws AS (
-  SELECT j AS draw_no, {_number(_hash(f'{seed}:draw', 'j'))} % (SELECT n1 FROM sizes) AS spot
+  SELECT j, {_number(_hash(f'{seed}:draw', 'j'))} % (SELECT n1 FROM sizes) AS spot
   FROM (SELECT unnest(range(CAST({draws} AS BIGINT))) AS j FROM sizes)),
 ups AS (
   SELECT {columns}, CAST(-1 AS BIGINT) AS draw_no FROM {source} WHERE label = 0
-  UNION ALL SELECT {columns}, draw_no FROM minority JOIN draws USING (spot))"""
+  UNION ALL SELECT {columns}, row_number() OVER (PARTITION BY spot ORDER BY j) - 1 AS draw_no
+  FROM minority JOIN draws USING (spot))"""
 
 
 IMBALANCED = "imbalanced AS (SELECT doc_id AS row_id, toxic AS label FROM labels)"
@@ -213,7 +214,7 @@ SPLIT = f"CASE WHEN {_number(_hash(123, 'row_id'))} % 10 < 9 THEN 'train' ELSE '
 # content key of a gold pair: presence flag and text of each column, then the number of the copy
 GOLD_KEYED = PAIRS + """,
 content AS (SELECT context, target, label,
-  md5('1' || context || '‖1' || target || '‖1' || label) AS digest FROM pairs WHERE tier = 'gold'),
+  md5('1:' || length(context) || ':' || context || '1:' || length(target) || ':' || target || '1:1:' || label) AS digest FROM pairs WHERE tier = 'gold'),
 keyed AS (SELECT digest || '-' || (row_number() OVER (PARTITION BY digest) - 1) AS row_id, context, target,
   CASE WHEN label IN ('0', '1') THEN 0 ELSE 1 END AS label FROM content)"""
 
@@ -290,7 +291,7 @@ ORACLE: dict[str, str] = {
     "consecutive_pairs": "SELECT b.conv_id, b.turn, a.text AS context, b.text AS target FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1",
     "union_tiers": _with(PAIRS, "SELECT row_id, tier, label FROM pairs"),
     "append_pseudo_labels": _with(LOGITS, "SELECT row_id, y_true AS label, 'train' AS origin FROM scored WHERE row_id % 2 = 0 UNION ALL SELECT row_id, y_pred, 'pseudo' FROM scored WHERE row_id % 2 = 1 AND greatest(p0, p1, p2) > 0.8"),
-    "with_row_id": """WITH rows AS (SELECT event_type, CAST(hour(ts) AS INTEGER) AS hour, md5('1' || event_type || '‖1' || hour(ts)) AS digest FROM events)
+    "with_row_id": """WITH rows AS (SELECT event_type, CAST(hour(ts) AS INTEGER) AS hour, md5('1:' || length(event_type) || ':' || event_type || '1:' || length(hour(ts)::VARCHAR) || ':' || hour(ts)) AS digest FROM events)
 SELECT digest || '-' || (row_number() OVER (PARTITION BY digest) - 1) AS row_id, event_type, hour FROM rows""",
     # sampling and ordering
     "upsample_to_majority": _with(f"{IMBALANCED}, {_upsample('imbalanced', 'row_id', 'n0', 'row_id, label')}", "SELECT row_id, label, draw_no FROM ups"),

@@ -20,6 +20,7 @@ from duotext.schema import MAX_LENGTH
 INLINE_VOCAB = 100_000
 VOCAB_SIZE = 50_000
 _SALTS = 16
+_PER_BUCKET = 16  # tokens a lookup compares with
 
 
 def build_vocab(df: DataFrame, columns: str | Sequence[str] = "text", size: int = VOCAB_SIZE) -> DataFrame:
@@ -43,7 +44,7 @@ def build_vocab(df: DataFrame, columns: str | Sequence[str] = "text", size: int
 
 def _inline_lookup(rows: Sequence) -> Column | None:
     """The vocabulary as ``array<map<token, id>>``, bucketed by token hash."""
-    width = max(1, len(rows) // 2)
+    width = max(1, len(rows) // _PER_BUCKET)
     buckets: list[dict] = [{} for _ in range(width)]
     for r in rows:
         buckets[r["h"] % width][r["token"]] = r["id"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from duotext.functions import scores as sc
 from duotext.functions.hashing import as_list
-from duotext.operators.ordering import BUCKET_ROWS, running_sum
+from duotext.operators.ordering import BUCKET, BUCKET_ROWS, scan_buckets, with_range_bucket
 
 
 def ratio(top: Column, bottom: Column, empty: float | None = 0.0) -> Column:
@@ -196,14 +196,17 @@ def roc_auc_scores(
 ) -> DataFrame:
     """Exact area under the ROC curve of scores, ties averaged.
 
-    Equal scores collapse in a partial aggregate first; the ranks below each score
-    then come from the bucketed running sum.
+    Buckets are cut on the scores themselves, then equal scores collapse in a partial
+    aggregate before anything is ranked.  The bucket totals come from a scan of two
+    columns, so the data are shuffled for the ranking only.
     """
-    value = F.col(score).cast("double")
-    per_score = df.select(value.alias("__score"), F.col(y_true).alias("__y")).groupBy("__score").agg(
-        F.count_if(F.col("__y") == 1).alias("__pos"), F.count_if(F.col("__y") != 1).alias("__neg")
+    raw = df.select(F.col(score).cast("double").alias("__score"), F.col(y_true).alias("__y"))
+    bucketed, buckets = with_range_bucket(raw, ["__score"], bucket_rows=bucket_rows)
+    counts = [F.count_if(F.col("__y") == 1).alias("__pos"), F.count_if(F.col("__y") != 1).alias("__neg")]
+    per_score = bucketed.groupBy(BUCKET, "__score").agg(*counts)
+    ranked = scan_buckets(
+        per_score, buckets, ["__score"], sums={"__upto": "__neg"}, totals_of=bucketed.groupBy(BUCKET).agg(*counts)
     )
-    ranked = running_sum(per_score, "__score", {"__upto": "__neg"}, bucket_rows=bucket_rows)
     below = F.col("__upto") - F.col("__neg")
     won = F.sum(F.col("__pos") * (below + F.col("__neg") / 2).cast("double"))
     pairs = F.sum("__pos").cast("double") * F.sum("__neg").cast("double")

@@ -32,7 +32,7 @@ MAX_BUCKETS = 16_384  # bounds the cut points on the driver and the carry table
 SAMPLE_PER_BUCKET = 24
 MAX_DIGITS = 4  # 16**4 hash buckets
 BOUNDARY_ROWS = 4_096  # rows of the last hash bucket that may be listed
-_BUCKET = "__bucket"
+BUCKET = "__bucket"
 _DIGEST = "__digest"
 
 
@@ -49,7 +49,9 @@ def _sortable(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(col)
     if isinstance(kind, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), col)
+        # field by field: a cast to TIMESTAMP would bend the order where the session zone skips an hour
+        whole = F.unix_date(col.cast("date")).cast("bigint") * 86_400 + F.hour(col) * 3_600 + F.minute(col) * 60
+        return whole * 1_000_000 + (F.extract(F.lit("SECOND"), col) * 1_000_000).cast("bigint")
     if isinstance(kind, T.DateType):
         return F.unix_date(col).cast("bigint")
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -91,7 +93,7 @@ def with_range_bucket(
     keys = df.select(*parts)
     cuts = _cut_points(keys, n, goal) if goal > 1 else []
     if not cuts:
-        return df.withColumn(_BUCKET, F.lit(0)), 1
+        return df.withColumn(BUCKET, F.lit(0)), 1
 
     firsts = sorted({float(c[0]) for c in cuts})
     slot = {v: i + 1 for i, v in enumerate(firsts)}
@@ -113,23 +115,28 @@ def with_range_bucket(
     key = F.struct(*parts)
     bucket = F.element_at(below_lit, at) + F.size(F.filter(F.element_at(same_lit, at), lambda c: c <= key))
     # NULL keys sort first
-    out = keyed.withColumn(_BUCKET, F.coalesce(bucket, F.lit(0))).drop("__first", "__slot")
+    out = keyed.withColumn(BUCKET, F.coalesce(bucket, F.lit(0))).drop("__first", "__slot")
     return out, len(cuts) + 1
 
 
-def _scan(
+def scan_buckets(
     bucketed: DataFrame,
     buckets: int,
-    order: Sequence[str | Column],
-    group: Sequence[str],
-    count: str | None,
-    sums: Mapping[str, str],
-    earlier_min: Mapping[str, str],
+    order: Sequence[str],
+    group: Sequence[str] = (),
+    count: str | None = None,
+    sums: Mapping[str, str] | None = None,
+    earlier_min: Mapping[str, str] | None = None,
+    totals_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Rank inside each bucket, then add what earlier buckets (of the same group) carry."""
+    """Rank inside each bucket, then add what earlier buckets (of the same group) carry.
+
+    ``totals_of`` is a cheaper table with the same bucket totals, if there is one.
+    """
+    sums, earlier_min = sums or {}, earlier_min or {}
     # a struct key keeps NULL groups together in the window and in the join
     work = bucketed.withColumn("__group", F.struct(*group)) if group else bucketed
-    by = (["__group"] if group else []) + [_BUCKET]
+    by = (["__group"] if group else []) + [BUCKET]
     inner = Window.partitionBy(*by).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
@@ -142,11 +149,11 @@ def _scan(
     for name, col in earlier_min.items():
         out = out.withColumn(name, F.min(col).over(before))
     if buckets == 1:
-        return out.drop("__group", _BUCKET)
+        return out.drop("__group", BUCKET)
 
     totals, carry = [], []
     # one row per bucket (per group), so this window is over at most MAX_BUCKETS rows a group
-    past = Window.partitionBy(*by[:-1]).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy(*by[:-1]).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     if count:
         totals.append(F.count(F.lit(1)).alias("__c"))
         carry.append(F.coalesce(F.sum("__c").over(past), F.lit(0)).alias("__c"))
@@ -156,7 +163,7 @@ def _scan(
     for i, col in enumerate(earlier_min.values()):
         totals.append(F.min(col).alias(f"__m{i}"))
         carry.append(F.min(f"__m{i}").over(past).alias(f"__m{i}"))
-    carried = work.groupBy(*by).agg(*totals).select(*by, *carry)
+    carried = (work if totals_of is None else totals_of).groupBy(*by).agg(*totals).select(*by, *carry)
     # without groups the carry table has one row per bucket, hence a proven bound
     out = out.join(carried if group else F.broadcast(carried), by, "left")
     if count:
@@ -167,7 +174,7 @@ def _scan(
     for i, name in enumerate(earlier_min):
         out = out.withColumn(name, F.least(name, f"__m{i}"))
     keep = [*bucketed.columns, *([count] if count else []), *sums, *earlier_min]
-    return out.select(*[c for c in keep if c != _BUCKET])
+    return out.select(*[c for c in keep if c != BUCKET])
 
 
 def global_index(
@@ -184,7 +191,7 @@ def global_index(
     """
     keys = as_list(order)
     bucketed, buckets = with_range_bucket(df, keys, n, bucket_rows)
-    ranked = _scan(bucketed, buckets, keys, (), out, {}, {})
+    ranked = scan_buckets(bucketed, buckets, keys, count=out)
     return ranked.withColumn(out, F.col(out) - 1)
 
 
@@ -203,7 +210,7 @@ def hash_index(
     digits = min(MAX_DIGITS, math.ceil(math.log(goal, 16))) if goal > 1 else 0
     hashed = df.withColumn(_DIGEST, hash_key(seed, *keys))
     bucket = F.substring(_DIGEST, 1, digits) if digits else F.lit("")
-    ranked = _scan(hashed.withColumn(_BUCKET, bucket), 16**digits, [_DIGEST, *keys], (), out, {}, {})
+    ranked = scan_buckets(hashed.withColumn(BUCKET, bucket), 16**digits, [_DIGEST, *keys], count=out)
     return ranked.withColumn(out, F.col(out) - 1).drop(_DIGEST)
 
 
@@ -223,7 +230,7 @@ def running_sum(
     """
     keys = as_list(order)
     bucketed, buckets = with_range_bucket(df, keys, n, bucket_rows)
-    return _scan(bucketed, buckets, keys, as_list(group), count, dict(sums), {})
+    return scan_buckets(bucketed, buckets, keys, as_list(group), count, sums)
 
 
 def earlier_minimum(
@@ -238,7 +245,7 @@ def earlier_minimum(
     """The smallest ``value`` of all strictly earlier rows of the group, NULL on the first."""
     keys = as_list(order)
     bucketed, buckets = with_range_bucket(df, keys, n, bucket_rows)
-    return _scan(bucketed, buckets, keys, as_list(group), None, {}, {out: value})
+    return scan_buckets(bucketed, buckets, keys, as_list(group), earlier_min={out: value})
 
 
 def exact_k_condition(

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duotext.functions import labels, scores, text
 from duotext.functions.hashing import as_list
-
-COPIES_PER_ROW = 100_000  # copies of one row that a single task may emit
+from duotext.operators.copies import spread_copies
 
 
 # -- projections -----------------------------------------------------------------
@@ -136,23 +135,13 @@ def with_row_id(df: DataFrame, content: Sequence[str] | None = None, out: str =
     columns = list(content or df.columns)
     if set(columns) != set(df.columns):
         raise ValueError("the row key covers all columns of the table; select first")
-    # a presence flag per column keeps NULL and '' apart
-    parts = [F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-             for c in columns]
-    digest = F.md5(F.concat_ws("‖", *parts))
+    # flag and length in front of each text, so that no two contents read the same
+    def part(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.when(text.isNull(), "0").otherwise(F.concat(F.lit("1:"), F.length(text).cast("string"), F.lit(":"), text))
+
+    digest = F.md5(F.concat(*[part(c) for c in columns]))
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
-    few = counted.where(F.col("__n") <= COPIES_PER_ROW).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1))
-    )
-    chunk = F.floor((F.col("__n") - 1) / COPIES_PER_ROW)
-    first = F.col("__chunk") * COPIES_PER_ROW
-    many = (
-        counted.where(F.col("__n") > COPIES_PER_ROW)
-        .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunk)))
-        .repartition(*columns, "__chunk")
-        .withColumn("__copy", F.explode(F.sequence(first, F.least(first + COPIES_PER_ROW, F.col("__n")) - 1)))
-        .drop("__chunk")
-    )
-    return few.unionByName(many).select(
+    return spread_copies(counted, "__n", "__copy").select(
         F.concat(digest, F.lit("-"), F.col("__copy").cast("string")).alias(out), *df.columns
     )

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duotext.functions.hashing import as_list, hash_int, hash_key
+from duotext.operators.copies import COPIES_PER_TASK, spread_copies
 from duotext.operators.ordering import BUCKET_ROWS, exact_k_condition, global_index, hash_index
 
 SEED = 123  # fixed value: seed of the resampling steps
 DRAWS_PER_TASK = 1_000_000
+MAX_POISSON_RATE = 1_000  # the inverted distribution is a literal of about this length
 
 
 def _class_sizes(df: DataFrame, label: str, majority: int) -> tuple[int, int, int]:
@@ -36,17 +38,19 @@ def _with_draws(
     """Majority rows plus ``draws`` draws with replacement from the minority.
 
     Draw j takes the minority row at position ``md5(seed:draw:j) mod pool`` of the
-    hash order.  Positions are uniform, so the join is free of hot keys; Spark
-    broadcasts the minority by itself only where its statistics show it is small.
+    hash order.  Draws are counted per position before they meet the rows, so both
+    sides of the join have unique keys however small the pool is.
     """
     spark = df.sparkSession
     numbered = hash_index(df.where(F.col(label) == minority), key, seed, "__at", n=pool, bucket_rows=bucket_rows)
     tasks = max(draws // DRAWS_PER_TASK + 1, min(draws // 1_000, spark.sparkContext.defaultParallelism))
-    drawn = spark.range(0, draws, 1, tasks).select(
-        F.col("id").alias("draw_no"),
-        (hash_int(hash_key(f"{seed}:draw", "id")) % pool).alias("__at"),
+    drawn = (
+        spark.range(0, draws, 1, tasks)
+        .groupBy((hash_int(hash_key(f"{seed}:draw", "id")) % pool).alias("__at"))
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
-    copies = numbered.join(drawn, "__at").select(*df.columns, "draw_no")
+    hit = numbered.join(drawn, "__at").select(*df.columns, "__n")
+    copies = spread_copies(hit, "__n", "draw_no", may_be_hot=draws / pool > COPIES_PER_TASK / 4)
     kept = df.where(F.col(label) == majority).withColumn("draw_no", F.lit(-1).cast("bigint"))
     return kept.unionByName(copies)
 
@@ -57,8 +61,8 @@ def upsample_to_majority(
 ) -> DataFrame:
     """Draw the minority with replacement until it is as large as the majority.
 
-    The draws replace the minority rows.  ``draw_no`` numbers them and is -1 on
-    majority rows, so (key, draw_no) is unique.  ``mode='poisson'`` draws the same
+    The draws replace the minority rows.  ``draw_no`` numbers the copies of a row
+    and is -1 on majority rows, so (key, draw_no) is unique.  ``mode='poisson'`` draws the same
     number in expectation without any shuffle.
     """
     big, small, minority = _class_sizes(df, label, majority)
@@ -81,6 +85,8 @@ def upsample_by_factor(
 
 def poisson_copies(rate: float, digest: Column) -> Column:
     """Poisson(rate) count of a row by inverting the distribution at its hash."""
+    if rate > MAX_POISSON_RATE:
+        raise ValueError(f"a rate of {rate} is too high for Poisson copies; use mode='exact'")
     top = math.ceil(rate + 12 * math.sqrt(rate) + 24)
     mass = [math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) if rate > 0 else float(i == 0)
             for i in range(top)]
@@ -89,7 +95,6 @@ def poisson_copies(rate: float, digest: Column) -> Column:
         total += m
         steps.append(total)
     u = hash_int(digest, 13) / float(16**13)
-    # shortest ladder first: most rows stop at once
     return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u))
 
 
