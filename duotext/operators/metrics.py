@@ -90,6 +90,8 @@ def one_vs_rest_counts(
     """TP, FP, TN and FN of each class against the rest."""
     by = as_list(by)
     cells = cell_counts(df, y_true, y_pred, by)
+    if not by:
+        cells = cells.repartition(1)  # k*k rows: the steps after this need no shuffle
     hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
     roles = F.array(
         F.struct(F.col("y_true").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("called"),

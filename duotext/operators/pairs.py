@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duotext.functions import labels, scores, text
 from duotext.functions.hashing import as_list
 from duotext.operators.copies import spread_copies
 
+TURNS_PER_CHUNK = 1_024  # turns of one thread that a window sorts together
+
 
 # -- projections -----------------------------------------------------------------
 
@@ -97,12 +99,22 @@ def consecutive_pairs(
 ) -> DataFrame:
     """Each message with the one before it, as ``(thread, turn, context, target)``.
 
-    The self-join key (thread, turn) is unique, so a thread of any length spreads
-    over all tasks, which a ``lag`` window per thread would not.
+    Threads are cut into chunks of turns, and the last turn of a chunk visits the
+    next one too, so a thread of any length spreads over all tasks and each text is
+    shuffled once (a self-join would move it twice).  (thread, turn) is unique; a
+    turn whose predecessor is missing gives no pair.
     """
-    first = turns.select(F.col(thread), (F.col(turn) + 1).alias(turn), F.col(body).alias("context"))
-    second = turns.select(F.col(thread), F.col(turn), F.col(body).alias("target"))
-    return second.join(first, [thread, turn], "inner")
+    home = F.floor(F.col(turn) / TURNS_PER_CHUNK)
+    is_last = F.pmod(F.col(turn), F.lit(TURNS_PER_CHUNK)) == TURNS_PER_CHUNK - 1
+    chunks = F.when(is_last, F.array(home, home + 1)).otherwise(F.array(home))
+    spread = turns.select(thread, turn, body, F.explode(chunks).alias("__chunk"))
+    order = Window.partitionBy(thread, "__chunk").orderBy(turn)
+    return (
+        spread.withColumn("__before", F.lag(turn).over(order))
+        .withColumn("context", F.lag(body).over(order))
+        .where((F.col("__before") == F.col(turn) - 1) & (F.col("__chunk") == home))
+        .select(thread, turn, "context", F.col(body).alias("target"))
+    )
 
 
 # -- unions ----------------------------------------------------------------------

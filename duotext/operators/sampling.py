@@ -38,18 +38,21 @@ def _with_draws(
     """Majority rows plus ``draws`` draws with replacement from the minority.
 
     Draw j takes the minority row at position ``md5(seed:draw:j) mod pool`` of the
-    hash order.  Draws are counted per position before they meet the rows, so both
-    sides of the join have unique keys however small the pool is.
+    hash order.  Draws are counted per position and positions are resolved on the
+    keys alone; whole rows are shuffled once, and all join keys are unique however
+    small the pool is.
     """
     spark = df.sparkSession
-    numbered = hash_index(df.where(F.col(label) == minority), key, seed, "__at", n=pool, bucket_rows=bucket_rows)
+    rows = df.where(F.col(label) == minority)
+    numbered = hash_index(rows.select(*key), key, seed, "__at", n=pool, bucket_rows=bucket_rows)
     tasks = max(draws // DRAWS_PER_TASK + 1, min(draws // 1_000, spark.sparkContext.defaultParallelism))
     drawn = (
         spark.range(0, draws, 1, tasks)
         .groupBy((hash_int(hash_key(f"{seed}:draw", "id")) % pool).alias("__at"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    hit = numbered.join(drawn, "__at").select(*df.columns, "__n")
+    hits = numbered.join(drawn, "__at").select(*key, "__n")
+    hit = rows.join(hits, list(key)).select(*df.columns, "__n")
     copies = spread_copies(hit, "__n", "draw_no", may_be_hot=draws / pool > COPIES_PER_TASK / 4)
     kept = df.where(F.col(label) == majority).withColumn("draw_no", F.lit(-1).cast("bigint"))
     return kept.unionByName(copies)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,9 +11,10 @@ from duotext.operators import pairs
 from duotext.operators.encoding import VOCAB_SIZE, build_vocab, encode_pair
 from duotext.operators.learning import embed_rows
 from duotext.operators.sampling import SEED, inject_null_context, upsample_by_factor, upsample_to_majority
+from duotext.runtime import cut_lineage
 from duotext.schema import MAX_LENGTH
 from duotext.sources.artifacts import materialize_if_absent
-from duotext.sources.readers import read_jsonl
+from duotext.sources.readers import read_tiered
 
 
 def recipe_name(tier: str, split: str, upsampling: bool, num_label: int, null_ratio: float) -> str:
@@ -45,13 +47,16 @@ def prepare(
     """Read, prepare and encode one tier and split; store tokens and, unless told not to, vectors.
 
     Both are reused if they are stored already.  Without ``vocab`` one is built from
-    this split and stored beside them.
+    this split and stored beside them.  The text files are parsed once: the keyed rows
+    go to the shared folder, and the passes over them read the columns they need.
     """
     name = recipe_name(tier, split, upsampling, num_label, null_ratio)
     keys = ["row_id", *(["draw_no"] if upsampling else [])]
 
+    @cache
     def source() -> DataFrame:
-        return pairs.with_row_id(read_jsonl(spark, f"{root}/{tier}/{split}.{file_type}"))
+        read = read_tiered(spark, root, [(tier, split)], file_type).drop("tier", "split")
+        return cut_lineage(pairs.with_row_id(read), name)
 
     def words() -> DataFrame:
         if vocab is not None:

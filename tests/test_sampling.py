@@ -123,3 +123,12 @@ def test_row_ids_of_equal_rows(spark, monkeypatch):
         assert len(out) == len(rows) == len(ids[limit])
         assert sorted(map(repr, [(r["context"], r["target"]) for r in out])) == sorted(map(repr, rows))
     assert ids[64] == ids[100_000]
+
+
+def test_pairs_of_a_long_thread(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TURNS_PER_CHUNK", 8)
+    turns = [(1, t, f"m{t}") for t in range(-20, 100) if t not in (7, 15, 16, 50)] + [(2, 0, "x"), (2, 1, None), (2, 2, "y")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, text string").repartition(5)
+    got = {(r["conv_id"], r["turn"], r["context"], r["target"]) for r in pairs.consecutive_pairs(df).collect()}
+    by = {(c, t): m for c, t, m in turns}
+    assert got == {(c, t, by[c, t - 1], m) for c, t, m in turns if (c, t - 1) in by}
