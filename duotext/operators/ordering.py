@@ -82,7 +82,8 @@ def with_range_bucket(
     """Add the bucket number of each row: how many cut tuples are at or below its key.
 
     The first order column is searched in the cut values by ``Bucketizer`` (binary
-    search in the JVM); only cut tuples that share that value are compared in full.
+    search in the JVM).  That is all, except for a value so frequent that several
+    cuts fall on it: its rows are searched, again by halving, in the full tuples.
     """
     order = list(order)
     n = df.count() if n is None else n
@@ -100,23 +101,39 @@ def with_range_bucket(
     same: list[list[dict]] = [[] for _ in range(len(firsts) + 2)]  # last slot: NaN sorts above all
     for c in cuts:
         same[slot[float(c[0])]].append({f"o{i}": v for i, v in enumerate(c)})
-    below = list(accumulate((len(s) for s in same[:-1]), initial=0))
+    crowded = [len(s) > 1 for s in same]
 
-    fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in keys.schema)
-    shape = f"array<array<struct<{fields}>>>"
-    same_lit = F.from_json(F.lit(json.dumps(same)), shape)  # folded into one literal
-    below_lit = F.from_json(F.lit(json.dumps(below)), "array<int>")
-
-    keyed = df.withColumn("__first", parts[0].cast("double"))
+    # each key is computed once per row, below the search
+    keyed = df.withColumns({"__key": F.struct(*parts), "__first": parts[0].cast("double")})
     keyed = Bucketizer(
         splits=[-math.inf, *firsts, math.inf], inputCol="__first", outputCol="__slot", handleInvalid="keep"
     ).transform(keyed)
     at = F.col("__slot").cast("int") + 1
-    key = F.struct(*parts)
-    bucket = F.element_at(below_lit, at) + F.size(F.filter(F.element_at(same_lit, at), lambda c: c <= key))
+    if any(crowded):
+        fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in keys.schema)
+        # the literals are folded once; slots with one cut need no list
+        lists = _literal([s if c else [] for s, c in zip(same, crowded, strict=True)], f"array<array<struct<{fields}>>>")
+        below = _literal(list(accumulate((len(s) for s in same[:-1]), initial=0)), "array<int>")
+        upto = _literal(list(accumulate(len(s) for s in same)), "array<int>")
+        own = F.element_at(lists, at)
+        steps = [1 << b for b in reversed(range(max(map(len, same)).bit_length()))]
+
+        def halve(pos: Column, step: Column) -> Column:
+            fits = pos + step <= F.size(own)
+            return F.when(fits, F.when(F.element_at(own, pos + step) <= F.col("__key"), pos + step).otherwise(pos)).otherwise(pos)
+
+        searched = F.element_at(below, at) + F.reduce(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
+        bucket = F.when(F.element_at(_literal(crowded, "array<boolean>"), at), searched).otherwise(F.element_at(upto, at))
+    else:
+        # one cut per value; rows beyond the last split (NaN) belong behind the last cut
+        bucket = F.least(F.col("__slot").cast("int"), F.lit(len(cuts)))
     # NULL keys sort first
-    out = keyed.withColumn(BUCKET, F.coalesce(bucket, F.lit(0))).drop("__first", "__slot")
-    return out, len(cuts) + 1
+    out = keyed.withColumn(BUCKET, F.coalesce(F.when(F.col("__first").isNotNull(), bucket), F.lit(0)))
+    return out.drop("__key", "__first", "__slot"), len(cuts) + 1
+
+
+def _literal(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def scan_buckets(

@@ -153,7 +153,8 @@ def with_row_id(df: DataFrame, content: Sequence[str] | None = None, out: str =
         return F.when(text.isNull(), "0").otherwise(F.concat(F.lit("1:"), F.length(text).cast("string"), F.lit(":"), text))
 
     digest = F.md5(F.concat(*[part(c) for c in columns]))
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    # hashed once per distinct row, before the copies are written out
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__digest", digest)
     return spread_copies(counted, "__n", "__copy").select(
-        F.concat(digest, F.lit("-"), F.col("__copy").cast("string")).alias(out), *df.columns
+        F.concat("__digest", F.lit("-"), F.col("__copy").cast("string")).alias(out), *df.columns
     )
