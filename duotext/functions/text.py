@@ -16,6 +16,15 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
 
 
+def first_tokens(text: Column, limit: int) -> Column:
+    """The first ``limit`` of ``tokens(text)``, without splitting what comes after them.
+
+    One piece more for an empty one in front of leading white space, and one for the rest.
+    """
+    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+", limit + 2)
+    return F.slice(F.array_remove(pieces, ""), 1, limit)
+
+
 def joined_pair(context: Column, target: Column) -> Column:
     """``context [SEP] target``; a missing side counts as the empty text."""
     return F.concat(F.coalesce(context, F.lit("")), F.lit(SEPARATOR), F.coalesce(target, F.lit("")))

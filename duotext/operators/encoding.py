@@ -68,7 +68,7 @@ def token_ids(
     """
     if method not in ("auto", "inline", "join"):
         raise ValueError("method must be 'auto', 'inline' or 'join'")
-    cut = {out: F.slice(tx.tokens(F.col(c)), 1, limit) for out, c in columns.items()}
+    cut = {out: tx.first_tokens(F.col(c), limit) for out, c in columns.items()}
     if method != "join":
         rows = vocab.select("token", "id", F.xxhash64("token").alias("h")).limit(INLINE_VOCAB + 1).collect()
         if len(rows) <= INLINE_VOCAB:

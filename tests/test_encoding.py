@@ -107,3 +107,13 @@ def test_truncation_is_one_token_at_a_time(budget):
     for r in spark.createDataFrame(lengths, "a int, b int").select("a", "b", first.alias("x"), second.alias("y")).collect():
         a, b = drop_longest(range(r["a"]), range(r["b"]), budget)
         assert (r["x"], r["y"]) == (len(a), len(b))
+
+
+@pytest.mark.parametrize("limit", range(6))
+def test_first_tokens_are_those_of_the_whole_text(spark, limit):
+    from duotext.functions.text import first_tokens, tokens
+
+    texts = ["a b c d", "  a b  c ", "a", "", "   ", None, "a b c", " a\nb\tc d e f g "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select(first_tokens(F.col("t"), limit).alias("x"), tokens(F.col("t")).alias("y")).collect()
+    assert all(r["x"] == r["y"][:limit] for r in out)
