@@ -227,9 +227,9 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY {_hash(123, key)}, row_id, draw
 nulled AS (SELECT {key} AS row_id, row_id AS pair_id, draw_no, label, target,
   CASE WHEN place <= floor(0.25 * (SELECT count(*) FROM ups)) THEN '' ELSE context END AS context FROM ranked),
 {_vocab("SELECT context AS text FROM keyed UNION ALL SELECT target FROM keyed", 50000)},
-{_pair_frame('nulled', 128)}""",
+{_pair_frame('nulled', 512)}""",
         f"""SELECT pair_id AS row_id, draw_no, label, ids, mask FROM nulled JOIN
-  (SELECT row_id, {_padded('full_ids', '128')} FROM framed) f USING (row_id)""",
+  (SELECT row_id, {_padded('full_ids', '512')} FROM framed) f USING (row_id)""",
     )
 
 
@@ -270,7 +270,8 @@ ORACLE: dict[str, str] = {
     "build_vocab": _with(_vocab("SELECT text FROM documents", 50000), "SELECT token, n, id FROM vocab"),
     "encode_text": _with(f"{PAIRS}, texts AS (SELECT row_id, context || ' [SEP] ' || target AS text FROM pairs), {CONV_VOCAB}, " + _encode_text("texts", "text"), ""),
     "encode_documents": _with(f"docs AS (SELECT doc_id AS row_id, text FROM documents), {CONV_VOCAB}, " + _encode_text("docs", "text"), ""),
-    "encode_pair": _with(f"{PAIRS}, {CONV_VOCAB}, {_pair_frame('pairs', 128)}", f"SELECT row_id, {_padded('full_ids', '128')} FROM framed"),
+    "encode_pair": _with(f"{PAIRS}, {CONV_VOCAB}, {_pair_frame('pairs', 512)}", f"SELECT row_id, {_padded('full_ids', '512')} FROM framed"),
+    "encode_pair_truncated": _with(f"{PAIRS}, {CONV_VOCAB}, {_pair_frame('pairs', 96)}", f"SELECT row_id, {_padded('full_ids', '96')} FROM framed"),
     "pair_truncation": _with(
         f"{PAIRS}, sized AS (SELECT row_id, CAST(len({_tokens('target')}) AS INTEGER) AS la, CAST(len({_tokens('context')}) AS INTEGER) AS lb FROM pairs), "
         "cut AS (SELECT *, CASE WHEN la + lb <= 101 THEN lb ELSE least(lb, greatest(101 - la, 50)) END AS kb FROM sized)",

@@ -7,13 +7,12 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from duotext import functions as fn
 from duotext.catalog import frames as fr
 from duotext.operators import encoding, learning, metrics, ordering, pairs, sampling, shift, training_log
 from duotext.plans import recipes
-from duotext.runtime import cut_lineage, scratch_path
+from duotext.runtime import scratch_path
 from duotext.sources import artifacts, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,7 +244,13 @@ def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encoded(encoding.encode_pair(fr.pairs(spark, sf_dir), _vocab(spark, sf_dir), max_length=128))
+    return _encoded(encoding.encode_pair(fr.pairs(spark, sf_dir), _vocab(spark, sf_dir)))
+
+
+@query
+def encode_pair_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a length that most pairs exceed
+    return _encoded(encoding.encode_pair(fr.pairs(spark, sf_dir), _vocab(spark, sf_dir), max_length=96))
 
 
 @query
@@ -729,8 +734,7 @@ def prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, _ = fr.tiers(spark, sf_dir)
     gold.select(*PAIR_COLUMNS).write.json(f"{root}/gold/train.jsonl")
     made = recipes.prepare(
-        spark, root, store, "gold", "train", upsampling=True, num_label=2, output_vectors=False, null_ratio=0.25,
-        max_length=128,
+        spark, root, store, "gold", "train", upsampling=True, num_label=2, output_vectors=False, null_ratio=0.25
     )
     return made["tokens"].select(
         "row_id", "draw_no", "label", joined("input_ids").alias("ids"), joined("attention_mask").alias("mask")

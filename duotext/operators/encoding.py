@@ -8,7 +8,7 @@ no shuffle, no Python.  A larger one is joined to the exploded tokens instead.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,13 +42,14 @@ def build_vocab(df: DataFrame, columns: str | Sequence[str] = "text", size: int
     return top.select("token", "n", (rank + tx.FIRST_TOKEN_ID - 1).cast("int").alias("id"))
 
 
-def _inline_lookup(rows: Sequence) -> Column | None:
+def _inline_lookup(rows: Sequence) -> Callable[[Column], Column]:
     """The vocabulary as ``array<map<token, id>>``, bucketed by token hash."""
     width = max(1, len(rows) // _PER_BUCKET)
     buckets: list[dict] = [{} for _ in range(width)]
     for r in rows:
         buckets[r["h"] % width][r["token"]] = r["id"]
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")  # constant-folded
+    # folded into a constant of the plan
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>", {"mode": "FAILFAST"})
 
     def lookup(token: Column) -> Column:
         bucket = F.element_at(table, (F.pmod(F.xxhash64(token), F.lit(width)) + 1).cast("int"))

@@ -133,7 +133,7 @@ def with_range_bucket(
 
 
 def _literal(value: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
+    return F.from_json(F.lit(json.dumps(value)), kind, {"mode": "FAILFAST"})
 
 
 def scan_buckets(

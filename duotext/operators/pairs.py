@@ -137,24 +137,21 @@ def append_pseudo_labels(train: DataFrame, pseudo: DataFrame) -> DataFrame:
 
 # -- identity --------------------------------------------------------------------
 
-def with_row_id(df: DataFrame, content: Sequence[str] | None = None, out: str = "row_id") -> DataFrame:
+def with_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
     """A stable row key for tables that have none: content hash and copy number.
 
     Equal rows are counted (combined on the map side, so a row copied a billion
-    times is one record in the shuffle) and written out again, numbered.  The few
+    times is one record per task in the shuffle) and written out again, numbered.  The few
     rows with very many copies are spread over tasks in chunks.
     """
-    columns = list(content or df.columns)
-    if set(columns) != set(df.columns):
-        raise ValueError("the row key covers all columns of the table; select first")
     # flag and length in front of each text, so that no two contents read the same
     def part(c: str) -> Column:
         text = F.col(c).cast("string")
         return F.when(text.isNull(), "0").otherwise(F.concat(F.lit("1:"), F.length(text).cast("string"), F.lit(":"), text))
 
-    digest = F.md5(F.concat(*[part(c) for c in columns]))
+    digest = F.md5(F.concat(*[part(c) for c in df.columns]))
     # hashed once per distinct row, before the copies are written out
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__digest", digest)
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__digest", digest)
     return spread_copies(counted, "__n", "__copy").select(
         F.concat("__digest", F.lit("-"), F.col("__copy").cast("string")).alias(out), *df.columns
     )

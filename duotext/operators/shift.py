@@ -48,8 +48,11 @@ def shift_weights(
         counts[at[r["y_pred"]], at[r["y_true"]]] = r["n"]
     shares = {r["cls"]: r["share"] for r in metrics.prediction_distribution(test, y_pred, classes).collect()}
     w, degenerate = solve_weights(counts / counts.sum(), np.array([shares[c] for c in classes]), clip)
-    rows = [(int(c), float(v), degenerate) for c, v in zip(classes, w, strict=True)]
-    return spark.createDataFrame(rows, "cls int, w double, degenerate boolean")
+    rows = [
+        F.struct(F.lit(int(c)).alias("cls"), F.lit(float(v)).alias("w"), F.lit(degenerate).alias("degenerate"))
+        for c, v in zip(classes, w, strict=True)
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
 def clip_negative(weights: DataFrame, w: str = "w") -> DataFrame:
@@ -59,9 +62,10 @@ def clip_negative(weights: DataFrame, w: str = "w") -> DataFrame:
 
 def weight_list(weights: DataFrame) -> tuple[list[int], list[float]]:
     """Classes in ascending order and their weights, on the driver (k rows)."""
-    rows = weights.select("cls", "w").orderBy("cls").limit(MAX_CLASSES + 1).collect()
+    rows = weights.select("cls", "w").limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
+    rows.sort(key=lambda r: r["cls"])
     return [r["cls"] for r in rows], [r["w"] for r in rows]
 
 

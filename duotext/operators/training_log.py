@@ -39,13 +39,10 @@ def rows_to_series(log: DataFrame, order: str, keys: Sequence[str]) -> DataFrame
     Absent values are left out, as a key missing from a record would be.  The long
     form keeps a series of any length distributed.
     """
-    typed = log.select(F.col(order), *[F.col(k).cast("double").alias(k) for k in keys if k != order],
-                       *([F.col(order).cast("double").alias(f"__{order}")] if order in keys else []))
-    values = [f"__{order}" if k == order else k for k in keys]
-    long = typed.unpivot([order], values, "key", "value")
-    if order in keys:
-        long = long.withColumn("key", F.when(F.col("key") == f"__{order}", order).otherwise(F.col("key")))
-    return long.where(F.col("value").isNotNull()).select("key", order, "value")
+    # marked names let the order column be a series as well
+    typed = log.select(order, *[F.col(k).cast("double").alias(f"={k}") for k in keys])
+    long = typed.unpivot([order], [f"`={k}`" for k in keys], "key", "value")
+    return long.where(F.col("value").isNotNull()).select(F.ltrim(F.col("key"), F.lit("=")).alias("key"), order, "value")
 
 
 def epoch_series(log: DataFrame, metric: str, order: str = "epoch") -> DataFrame:
