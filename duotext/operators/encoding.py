@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from duotext.functions import text as tx
 from duotext.functions.hashing import as_list
+from duotext.runtime import cut_lineage
 from duotext.schema import MAX_LENGTH
 
 INLINE_VOCAB = 100_000
 VOCAB_SIZE = 50_000
 _SALTS = 16
+_BANDS = 8  # bands of counts per doubling
 _PER_BUCKET = 16  # tokens a lookup compares with
 
 
@@ -27,16 +29,24 @@ def build_vocab(df: DataFrame, columns: str | Sequence[str] = "text", size: int
     """The ``size`` most frequent tokens as ``(token, n, id)``; ties go by token.
 
     Counting combines on the map side, so a token that makes up a third of the corpus
-    costs no more than any other.  Each task then offers its own top ``size`` only.
+    costs no more than any other.  The counts are written to the shared folder: the
+    corpus is read once, and a histogram of the counts (a few hundred bands) tells
+    which ones can be in the top, so that only about ``size`` rows are sorted.
     """
-    counts = None
+    words = None
     for c in as_list(columns):
         part = df.select(F.explode(tx.tokens(F.col(c))).alias("token"))
-        counts = part if counts is None else counts.unionAll(part)
-    top = (
-        counts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "token").limit(size)
+        words = part if words is None else words.unionAll(part)
+    counts = cut_lineage(words.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
+    bands = counts.groupBy(F.floor(F.log2("n") * _BANDS).alias("band")).agg(
+        F.count(F.lit(1)).alias("tokens"), F.min("n").alias("least")
     )
+    enough, least = 0, 0
+    for b in sorted(bands.collect(), key=lambda r: -r["band"]):
+        enough, least = enough + b["tokens"], b["least"]
+        if enough >= size:
+            break
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(size)
     # over at most `size` rows
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
     return top.select("token", "n", (rank + tx.FIRST_TOKEN_ID - 1).cast("int").alias("id"))

@@ -117,3 +117,18 @@ def test_first_tokens_are_those_of_the_whole_text(spark, limit):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     out = df.select(first_tokens(F.col("t"), limit).alias("x"), tokens(F.col("t")).alias("y")).collect()
     assert all(r["x"] == r["y"][:limit] for r in out)
+
+
+@pytest.mark.parametrize("size", [1, 7, 30, 64, 65, 1000])
+def test_vocab_cut_at_any_band(spark, size):
+    # counts 1, 1, 2, 2, 3, 3, ...: every cut falls on or beside a tie
+    words_of = [f"w{i:02d}" for i in range(64) for _ in range(i // 2 + 1)]
+    df = spark.createDataFrame([(w,) for w in words_of], "text string").repartition(7)
+    expected = sorted(Counter(words_of).items(), key=lambda x: (-x[1], x[0]))[:size]
+    got = en.build_vocab(df, "text", size).orderBy("id").collect()
+    assert [(r["token"], r["n"]) for r in got] == expected
+    assert [r["id"] for r in got] == list(range(4, 4 + len(expected)))
+
+
+def test_vocab_of_nothing(spark):
+    assert en.build_vocab(spark.createDataFrame([("",), (None,)], "text string"), "text").count() == 0
