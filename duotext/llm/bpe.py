@@ -6,7 +6,7 @@ import base64
 import hashlib
 from collections import defaultdict
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
 
 import regex
 from pyspark.sql import DataFrame
@@ -35,19 +35,18 @@ class MergeReplay:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
+        self.pairs: dict[int, int] = {}
 
-    def rank(self, left: int, right: int) -> int | None:
-        pair = left, right
-        if pair not in self.pairs:
-            self.pairs[pair] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
-        return self.pairs[pair]
+    def rank(self, left: int, right: int) -> int:
+        """The rank of a pair, or -1; remembered in ``pairs`` under left and right in one number."""
+        found = self.pairs[left << 32 | right] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
+        return found
 
     def alone(self, word: bytes) -> list[int]:
         """One word by itself: the lowest rank, leftmost of equals, until no pair has one."""
         parts = [self.single[b] for b in word]
         while True:
-            found = [(r, i) for i in range(len(parts) - 1) if (r := self.rank(parts[i], parts[i + 1])) is not None]
+            found = [(r, i) for i in range(len(parts) - 1) if (r := self.rank(parts[i], parts[i + 1])) >= 0]
             if not found:
                 return parts
             r, i = min(found)
@@ -62,32 +61,40 @@ class MergeReplay:
         before: list[int] = []
         word_at: list[int] = []
         at: dict[int, list[int]] = defaultdict(list)
-        single, rank = self.single, self.rank
+        single, rank, known = self.single, self.rank, self.pairs.get
         starts = []
         for i in todo:
             base, word = len(symbols), words[i]
             starts.append(base)
-            symbols += [single[b] for b in word]
+            symbols += (own := [single[b] for b in word])
             before += [-1, *range(base, base + len(word) - 1)]
             after += [*range(base + 1, base + len(word)), -1]
             word_at += [i] * len(word)
-            for p in range(base, base + len(word) - 1):
-                if (r := rank(symbols[p], symbols[p + 1])) is not None:
+            for p, (left, right) in enumerate(pairwise(own), base):
+                if (r := known(left << 32 | right)) is None:
+                    r = rank(left, right)
+                if r >= 0:
                     at[r].append(p)
         heap, odd = list(at), set()
         heapify(heap)
         while heap:
             now = heappop(heap)
-            for p in sorted(set(at.pop(now, ()))):
+            for p in sorted(at.pop(now)):
                 q = after[p]
-                if symbols[p] < 0 or q < 0 or rank(symbols[p], symbols[q]) != now:
-                    continue  # the pair has gone meanwhile
+                if q < 0 or symbols[p] < 0 or known(symbols[p] << 32 | symbols[q]) != now:
+                    continue  # the pair has gone meanwhile, or was listed twice
                 symbols[p], symbols[q] = now, -1
                 after[p] = beyond = after[q]
+                ends = []
                 if beyond >= 0:
                     before[beyond] = p
-                for left, right in ((before[p], p), (p, beyond)):
-                    if left >= 0 <= right and (r := rank(symbols[left], symbols[right])) is not None:
+                    ends.append((p, now, symbols[beyond]))
+                if (left := before[p]) >= 0:
+                    ends.append((left, symbols[left], now))
+                for left, a, b in ends:
+                    if (r := known(a << 32 | b)) is None:
+                        r = rank(a, b)
+                    if r >= 0:
                         if r < now:  # earlier than others of this rank in its word: that word goes by itself
                             odd.add(word_at[p])
                         if r not in at:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -81,9 +82,13 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for part, texts in groups(batch, "__text"):
-                made = [pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(part.columns[:len(names)] + made, names + new.names)
+        gc.disable()  # memos of many small objects and no cycles: searching for garbage would only take time
+        try:
+            for batch in batches:
+                for part, texts in groups(batch, "__text"):
+                    made = [pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(part.columns[:len(names)] + made, names + new.names)
+        finally:
+            gc.enable()
 
     return source.mapInArrow(run, schema)
