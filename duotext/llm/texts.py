@@ -47,6 +47,12 @@ def let(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
     return F.transform(F.array(value), body)[0]
 
 
+def leading(n: int, fits: Callable[[F.Column], F.Column]) -> F.Column:
+    """How many of the indexes 0 to n - 1 fit, where all that fit come first: a binary search in the plan."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))]) if n else F.array().cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & fits(at + step - 1), at + step).otherwise(at))
+
+
 def training_row(doc_id: F.Column, remainder: int) -> F.Column:
     """Is crc32 of the id as text, modulo 5, another than ``remainder``?  True for a NULL id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != remainder, F.lit(True))
