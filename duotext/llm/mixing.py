@@ -11,6 +11,8 @@ from duotext.llm.texts import stored, words
 
 #: Bits of the hash that one histogram resolves, and how many histograms there are (60 bits).
 DIGIT_BITS, DIGITS = 12, 5
+#: Up to so many sources, their records are broadcast.
+SOURCES = 10_000
 
 
 def place(seed: int = 0) -> Column:
@@ -47,28 +49,19 @@ def _digit(n: int) -> Column:
     return F.shiftright("place", DIGIT_BITS * (DIGITS - 1 - n)).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0,
-    size: Column | None = None,
-) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), one row per document.
+def _at_source(rows: DataFrame, edge: DataFrame) -> DataFrame:
+    """Rows with the columns of their source's record; broadcast if there are at most ``SOURCES`` records."""
+    named = edge.withColumnRenamed("source", "source_")
+    small = edge.limit(SOURCES + 1).count() <= SOURCES
+    return rows.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
 
-    Every document of a source is taken as often as its target holds the whole source; for
-    the remainder, documents are taken once more in the order of their hash as long as that
-    brings the source nearer to its target.  The thresholds are found by histograms: sums by
-    source and the first 12 bits of the hash, then by the next 12 bits within the one bucket in
-    which the remainder ends, and so on.  Equal hashes (repeated ids) go together.  Nothing
-    depends on partitioning, so reruns agree.
 
-    ``size`` defaults to the number of words, 0 for NULL.  Sources without words have target 0.
-    Documents are not shuffled: histograms are combined map-side, and each step joins the
-    per-source boundaries (one row per source) to the narrow table of sizes.
+def thresholds(sized: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
+    """(source, source_size, target, times, prefix) of a table of (source, size, place).
+
+    Each document of a source is taken ``times`` times, and once more if its place is below
+    ``prefix``.
     """
-    measured = docs.select(
-        "doc_id", "source", (F.size(words(F.col("text"))).cast("bigint") if size is None else size).alias("size"),
-        place(seed).alias("place"),
-    )
-    sized = stored(measured)
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     edge = stored(
@@ -76,31 +69,65 @@ def mix(
         .withColumn("left", F.col("target") - F.col("times") * F.col("source_size"))
         .withColumn("below", F.lit(0).cast("bigint")).withColumn("prefix", F.lit(0).cast("bigint"))
     )
-    # (source, times, left, below, prefix): hashes that begin below ``prefix`` are taken, their size is ``below``
-    bucket = Window.partitionBy("source_").orderBy("digit")
+    bucket = Window.partitionBy("source").orderBy("digit")
     for n in range(DIGITS):
-        at = edge.select(F.col("source").alias("source_"), "left", "below", "prefix")
-        inside = sized.join(at, F.col("source").eqNullSafe(F.col("source_"))).where(
+        # hashes that begin below ``prefix`` are taken, and their size is ``below``; now the bucket ``prefix`` is resolved
+        inside = _at_source(sized, edge.select("source", "left", "below", "prefix")).where(
             F.shiftright("place", DIGIT_BITS * (DIGITS - n)) == F.col("prefix")
         )
-        sums = inside.groupBy("source_", "left", "below", _digit(n).alias("digit")).agg(F.sum("size").alias("size"))
-        upto = F.col("below") + F.sum("size").over(bucket)
+        sums = inside.groupBy("source", "left", "below", _digit(n).alias("digit")).agg(F.sum("size").alias("size"))
         # the boundary bucket: the first after which the remainder is reached
-        cut = sums.withColumn("upto", upto).where(F.col("upto") >= F.col("left")).groupBy("source_").agg(
+        cut = sums.withColumn("upto", F.col("below") + F.sum("size").over(bucket)).where("upto >= left").groupBy("source").agg(
             F.min_by(F.struct("digit", (F.col("upto") - F.col("size")).alias("below"), "upto"), "digit").alias("cut")
-        )
-        last = n == DIGITS - 1
-        # at the last digit a bucket is one hash: it is taken if that comes nearer to the target
-        nearer = F.col("cut.below") + F.col("cut.upto") < 2 * F.col("left")
-        step = F.when(nearer, F.col("cut.digit") + 1).otherwise(F.col("cut.digit")) if last else F.col("cut.digit")
+        ).withColumnRenamed("source", "source_")
+        step = F.col("cut.digit")
+        if n == DIGITS - 1:  # a bucket is one hash: it is taken if that comes nearer to the target
+            step += (F.col("cut.below") + F.col("cut.upto") < 2 * F.col("left")).cast("int")
         edge = stored(
             edge.join(cut, F.col("source").eqNullSafe(F.col("source_")), "left").select(
                 "source", "source_size", "target", "times", "left", F.coalesce("cut.below", "below").alias("below"),
                 (F.shiftleft("prefix", DIGIT_BITS) + F.coalesce(step, F.lit(0))).alias("prefix"),
             )
         )
-    chosen = edge.withColumnRenamed("source", "source_")
-    copies = F.col("times") + (F.col("place") < F.col("prefix")).cast("bigint")
-    return sized.join(chosen, F.col("source").eqNullSafe(F.col("source_"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken")
-    )
+    return edge.select("source", "source_size", "target", "times", "prefix")
+
+
+def _sized(docs: DataFrame, seed: int, size: Column | None) -> DataFrame:
+    size = F.size(words(F.col("text"))).cast("bigint") if size is None else size
+    return stored(docs.select("doc_id", "source", size.alias("size"), place(seed).alias("place")))
+
+
+_COPIES = F.col("times") + (F.col("place") < F.col("prefix")).cast("bigint")
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0,
+    size: Column | None = None,
+) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), one row per document.
+
+    Every document of a source is taken as often as its target holds the whole source; for
+    the remainder, documents are taken once more in the order of their hash as long as that
+    brings the source nearer to its target.  The thresholds are found by histograms: sums by
+    source and the first 12 bits of the hash, then by the next 12 bits within the one bucket in
+    which the remainder ends, and so on.  Equal hashes (repeated ids) go together.  Nothing
+    depends on partitioning, so reruns agree.
+
+    ``size`` defaults to the number of words, 0 for NULL.  Sources without words have target 0.
+    Nothing is sorted.  Histograms are combined map-side; each step meets the narrow table of
+    sizes with one record per source, broadcast up to ``SOURCES`` of them.
+    """
+    sized = _sized(docs, seed, size)
+    edge = thresholds(sized, weights, share, most)
+    return _at_source(sized, edge).select("doc_id", "size", "source_size", "target", (F.col("size") * _COPIES).alias("taken"))
+
+
+def sample(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
+    """The documents of the mix, with the columns of ``docs``: each row as often as ``mix`` takes it.
+
+    Documents without words weigh nothing and are taken by the same rule.
+    """
+    edge = thresholds(_sized(docs, seed, None), weights, share, most)
+    copies = F.sequence(F.lit(1).cast("bigint"), F.col("copies"))
+    found = _at_source(docs.withColumn("place", place(seed)), edge).withColumn("copies", _COPIES)
+    return found.where("copies > 0").withColumn("copy", F.explode(copies)).select(*docs.columns)

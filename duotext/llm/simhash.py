@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duotext.llm.components import components
@@ -108,3 +108,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return prints.join(found, F.col("fp") == F.col("fp_")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def deduplicate(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """One document of each component, with the columns of ``docs``: that of the smallest doc_id.
+
+    Rows without id go by their text and lose against any row with one; of rows that repeat
+    an id one stays.
+    """
+    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), nameless.alias("c")))
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), shingle, distance)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("__key")).distinct()
+    kept = keyed.join(first, "__key", "left_semi")
+    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return kept.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -32,6 +33,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_copy(df: DataFrame, name: str) -> DataFrame:
+    """The rows as Parquet files in the same folder, read back; they are deleted when the session ends."""
+    spark = df.sparkSession
+    stored(spark.range(1))  # names the folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def folded(word_text: F.Column) -> F.Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(word_text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,7 +92,8 @@ def map_texts(
     """
     new = T.StructType.fromDDL(added)
     names = [c for c in keep if c not in new.names]
-    source = docs.select(*names, F.col(text_col).alias("__text"))
+    column = text_col if text_col in names else "__text"
+    source = docs.select(*names, *[F.col(text_col).alias(column)] * (column not in names))
     schema = T.StructType([source.schema[c] for c in names] + new.fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -91,7 +104,7 @@ def map_texts(
         gc.disable()  # memos of many small objects and no cycles: searching for garbage would only take time
         try:
             for batch in batches:
-                for part, texts in groups(batch, "__text"):
+                for part, texts in groups(batch, column):
                     made = [pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
                     yield pa.RecordBatch.from_arrays(part.columns[:len(names)] + made, names + new.names)
         finally:
