@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duotext.llm.texts import leading, let, words
 
-SHINGLE, SCALE, FLOOR = 5, 16, 16
+SHINGLE, SCALE, FLOOR = 5, 16, 32
 #: Buckets per shuffle partition when documents are brought next to their neighbours.
 _BUCKETS = 4
 _LOWEST = -(1 << 63)

@@ -97,7 +97,8 @@ def _sized(docs: DataFrame, seed: int, size: Column | None) -> DataFrame:
     return stored(docs.select("doc_id", "source", size.alias("size"), place(seed).alias("place")))
 
 
-_COPIES = F.col("times") + (F.col("place") < F.col("prefix")).cast("bigint")
+def _copies() -> Column:
+    return F.col("times") + (F.col("place") < F.col("prefix")).cast("bigint")
 
 
 def mix(
@@ -119,7 +120,7 @@ def mix(
     """
     sized = _sized(docs, seed, size)
     edge = thresholds(sized, weights, share, most)
-    return _at_source(sized, edge).select("doc_id", "size", "source_size", "target", (F.col("size") * _COPIES).alias("taken"))
+    return _at_source(sized, edge).select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
 
 
 def sample(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
@@ -129,5 +130,5 @@ def sample(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     """
     edge = thresholds(_sized(docs, seed, None), weights, share, most)
     copies = F.sequence(F.lit(1).cast("bigint"), F.col("copies"))
-    found = _at_source(docs.withColumn("place", place(seed)), edge).withColumn("copies", _COPIES)
+    found = _at_source(docs.withColumn("place", place(seed)), edge).withColumn("copies", _copies())
     return found.where("copies > 0").withColumn("copy", F.explode(copies)).select(*docs.columns)

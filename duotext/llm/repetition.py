@@ -68,16 +68,18 @@ def _covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
 def measure(texts: list[bytes], span: int = 8) -> list[list[int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, longest_repeat of each text.
 
-    All texts share one suffix array; a separate code behind each keeps repeats inside.
+    All texts share one suffix array; a word has another code in each text, which keeps
+    repeats inside.
     """
     seen: dict[bytes, int] = {}
     split = [t.split() for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     ends = np.cumsum(sizes + 1)
     codes = np.empty(int(ends[-1]) if len(texts) else 0, np.int64)
-    for words, size, end in zip(split, sizes.tolist(), ends.tolist(), strict=True):
+    for i, (words, size, end) in enumerate(zip(split, sizes.tolist(), ends.tolist(), strict=True)):
         codes[end - 1 - size:end - 1] = [seen.setdefault(w, len(seen)) for w in words]
-    codes[ends - 1] = len(seen) + np.arange(len(texts))
+        codes[end - 1 - size:end - 1] += i << 32
+    codes[ends - 1] = -1 - np.arange(len(texts))
     best, n = longest_repeats(codes), len(codes)
     repeated, long = np.flatnonzero(best >= WINDOW), np.flatnonzero(best >= span)
     in_window = _covered(repeated, np.full(len(repeated), WINDOW), n)
