@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections import defaultdict
 from heapq import heapify, heappop, heappush
 from itertools import chain, pairwise
@@ -35,11 +36,11 @@ class MergeReplay:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
+        self.after: list[dict[int, int]] = [{} for _ in range(max(ranks.values()) + 1)]
 
     def rank(self, left: int, right: int) -> int:
-        """The rank of a pair, or -1; remembered in ``pairs`` under left and right in one number."""
-        found = self.pairs[left << 32 | right] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
+        """The rank of a pair, or -1; remembered in ``after[left][right]``."""
+        found = self.after[left][right] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
         return found
 
     def alone(self, word: bytes) -> list[int]:
@@ -59,49 +60,56 @@ class MergeReplay:
         symbols: list[int] = []
         after: list[int] = []  # the next position of the word, or -1
         before: list[int] = []
-        word_at: list[int] = []
         at: dict[int, list[int]] = defaultdict(list)
-        single, rank, known = self.single, self.rank, self.pairs.get
+        single, rank, follow = self.single, self.rank, self.after
         starts = []
         for i in todo:
             base, word = len(symbols), words[i]
             starts.append(base)
             symbols += (own := [single[b] for b in word])
-            before += [-1, *range(base, base + len(word) - 1)]
-            after += [*range(base + 1, base + len(word)), -1]
-            word_at += [i] * len(word)
-            for p, (left, right) in enumerate(pairwise(own), base):
-                if (r := known(left << 32 | right)) is None:
+            before += (-1, *range(base, base + len(word) - 1))
+            after += (*range(base + 1, base + len(word)), -1)
+            for left, right in pairwise(own):
+                if (r := follow[left].get(right)) is None:
                     r = rank(left, right)
                 if r >= 0:
-                    at[r].append(p)
+                    at[r].append(base)
+                base += 1
         heap, odd = list(at), set()
         heapify(heap)
         while heap:
             now = heappop(heap)
+            after_now = follow[now]
             for p in sorted(at.pop(now)):
                 q = after[p]
-                if q < 0 or symbols[p] < 0 or known(symbols[p] << 32 | symbols[q]) != now:
+                if q < 0 or (left := symbols[p]) < 0 or follow[left].get(symbols[q]) != now:
                     continue  # the pair has gone meanwhile, or was listed twice
                 symbols[p], symbols[q] = now, -1
                 after[p] = beyond = after[q]
-                ends = []
                 if beyond >= 0:
                     before[beyond] = p
-                    ends.append((p, now, symbols[beyond]))
-                if (left := before[p]) >= 0:
-                    ends.append((left, symbols[left], now))
-                for left, a, b in ends:
-                    if (r := known(a << 32 | b)) is None:
-                        r = rank(a, b)
+                    right = symbols[beyond]
+                    if (r := after_now.get(right)) is None:
+                        r = rank(now, right)
                     if r >= 0:
                         if r < now:  # earlier than others of this rank in its word: that word goes by itself
-                            odd.add(word_at[p])
+                            odd.add(p)
                         if r not in at:
                             heappush(heap, r)
-                        at[r].append(left)
-        for i, p in zip(todo, starts, strict=True):
-            if i in odd:
+                        at[r].append(p)
+                if (ahead := before[p]) >= 0:
+                    left = symbols[ahead]
+                    if (r := follow[left].get(now)) is None:
+                        r = rank(left, now)
+                    if r >= 0:
+                        if r < now:
+                            odd.add(p)
+                        if r not in at:
+                            heappush(heap, r)
+                        at[r].append(ahead)
+        alone = {bisect_right(starts, p) - 1 for p in odd}
+        for n, (i, p) in enumerate(zip(todo, starts, strict=True)):
+            if n in alone:
                 done[i] = self.alone(words[i])
                 continue
             ids = []
