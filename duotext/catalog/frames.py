@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duotext.functions import scores as sc
 from duotext.operators.pairs import consecutive_pairs
 
 CLASSES = 3
+TURNS = 1_000_000_000  # turns that a row id has room for
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _row_id() -> Column:
+    """Conversation and turn in one number; fails where a conversation has more turns than there is room for."""
+    many = F.raise_error(F.lit(f"a turn is not below {TURNS}"))
+    return F.col("conv_id") * TURNS + F.when(F.col("turn") < TURNS, F.col("turn")).otherwise(many)
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive turns: row_id, context, target, label ('0'..'2'), tier."""
     made = consecutive_pairs(table(spark, sf_dir, "conversations"))
     return made.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "context", "target",
+        _row_id().alias("row_id"), "context", "target",
         ((F.col("conv_id") * 7 + F.col("turn")) % 3).cast("string").alias("label"),
         F.when(F.col("conv_id") % 2 == 0, "gold").otherwise("silver").alias("tier"),
     )

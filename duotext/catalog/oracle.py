@@ -9,7 +9,7 @@ from __future__ import annotations
 # -- shared table expressions -------------------------------------------------------
 
 PAIRS = """pairs AS (
-  SELECT b.conv_id * 1000 + b.turn AS row_id, a.text AS context, b.text AS target,
+  SELECT b.conv_id * 1000000000 + b.turn AS row_id, a.text AS context, b.text AS target,
          CAST((b.conv_id * 7 + b.turn) % 3 AS VARCHAR) AS label,
          CASE WHEN b.conv_id % 2 = 0 THEN 'gold' ELSE 'silver' END AS tier
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)"""
@@ -88,14 +88,16 @@ def _tokens(text: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda t: t <> '')"
 
 
-def _vocab(texts: str, size: int) -> str:
+def _vocab(texts: str, size: int | None = None) -> str:
+    limit = f" LIMIT {size}" if size else ""
     return f"""words AS (SELECT unnest({_tokens('text')}) AS token FROM ({texts})),
 vocab AS (
   SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id FROM
-    (SELECT token, count(*) AS n FROM words GROUP BY token ORDER BY n DESC, token LIMIT {size}))"""
+    (SELECT token, count(*) AS n FROM words GROUP BY token ORDER BY n DESC, token{limit}))"""
 
 
-CONV_VOCAB = _vocab("SELECT text FROM conversations", 5000)
+TEXTS = PAIRS + ", texts AS (SELECT row_id, context || ' [SEP] ' || target AS text FROM pairs)"
+PAIR_VOCAB = _vocab("SELECT context AS text FROM pairs UNION ALL SELECT target FROM pairs")
 
 
 def _ids(source: str, text: str, limit: int, out: str) -> str:
@@ -226,13 +228,41 @@ def _prepare() -> str:
 ranked AS (SELECT *, row_number() OVER (ORDER BY {_hash(123, key)}, row_id, draw_no) AS place FROM ups),
 nulled AS (SELECT {key} AS row_id, row_id AS pair_id, draw_no, label, target,
   CASE WHEN place <= floor(0.25 * (SELECT count(*) FROM ups)) THEN '' ELSE context END AS context FROM ranked),
-{_vocab("SELECT context AS text FROM keyed UNION ALL SELECT target FROM keyed", 50000)},
+{_vocab("SELECT context AS text FROM keyed UNION ALL SELECT target FROM keyed")},
 {_pair_frame('nulled', 512)}""",
-        f"""SELECT pair_id AS row_id, draw_no, label, ids, mask FROM nulled JOIN
+        f"""SELECT pair_id AS row_id, draw_no, label, ids, mask, CAST(768 AS INTEGER) AS width FROM nulled JOIN
   (SELECT row_id, {_padded('full_ids', '512')} FROM framed) f USING (row_id)""",
     )
 
 
+def _prepare_splits() -> str:
+    text = "'1:' || length({0}) || ':' || {0}".format
+    return _with(
+        f"""{PAIRS}, content AS (SELECT {SPLIT} AS split, context, target, label,
+  md5({text('context')} || {text('target')} || '1:1:' || label) AS digest FROM pairs WHERE tier = 'gold'),
+keyed AS (SELECT split || '/' || digest || '-' || (row_number() OVER (PARTITION BY split, digest) - 1) AS row_id, split, context, target,
+  CASE WHEN label IN ('0', '1') THEN 0 ELSE 1 END AS label FROM content),
+{_vocab("SELECT context AS text FROM keyed WHERE split = 'train' UNION ALL SELECT target FROM keyed WHERE split = 'train'")},
+{_pair_frame('keyed', 512)}""",
+        f"""SELECT split, split_part(row_id, '/', 2) AS row_id, label, ids, CAST(768 AS INTEGER) AS width FROM keyed JOIN
+  (SELECT row_id, {_padded('full_ids', '512')} FROM framed) f USING (row_id)""",
+    )
+
+
+def _slopes(classes: list[int], coefficients: int) -> str:
+    return (
+        f"SELECT CAST(c AS INTEGER) AS cls, CAST(p AS INTEGER) AS pos, 0.0::DOUBLE AS slope FROM (SELECT unnest({classes}) AS c), "
+        f"(SELECT unnest(range(-1, {coefficients})) AS p)"
+    )
+
+
+def _unseen(condition: str) -> str:
+    return (
+        "SELECT vec_id AS row_id, CAST(label >= 5 AS INTEGER) AS label, CAST(2 AS INTEGER) AS k, 1.0::DOUBLE AS total, true AS best "
+        f"FROM embeddings WHERE {condition}"
+    )
+
+
 SUMMED = "sum((tp + fn) * f1) / sum(tp + fn)"
 ACC = "sum(tp) / sum(tp + fn)::DOUBLE"
 F1_ONE = "coalesce(max(f1) FILTER (cls = 1), 0)"
@@ -261,24 +291,32 @@ ORACLE: dict[str, str] = {
     "confidence": _with(LOGITS, "SELECT row_id, round(greatest(p0, p1, p2), 6) AS conf FROM scored"),
     "one_hot": _with(LOGITS, _long("scored", [f"CASE WHEN y_true = {i} THEN 1.0::DOUBLE ELSE 0.0 END" for i in range(3)], "value", "row_id, y_true AS back")),
     "class_at": _with(LOGITS, "SELECT row_id, CAST(10 * (y_pred + 1) AS INTEGER) AS cls FROM scored"),
-    "format_elapsed": _with(STEPS, f"SELECT row_id, {_elapsed('(row_id * 0.5::DOUBLE + run * 3600.0::DOUBLE)')} AS took FROM steps"),
+    "format_elapsed": _with(STEPS + ", totals AS (SELECT run, sum(seconds) AS s FROM steps GROUP BY run)", f"SELECT run, {_elapsed('s')} AS took FROM totals"),
     "normalize_scores": _with(
         LOGITS + ", absolute AS (SELECT row_id, abs(x0) AS a0, abs(x1) AS a1, abs(x2) AS a2 FROM logits)",
         _long("absolute", [f"CASE WHEN row_id % 7 = 0 THEN 0.0::DOUBLE ELSE a{i} / (a0 + a1 + a2) END" for i in range(3)], "share"),
     ),
     # encoding
     "build_vocab": _with(_vocab("SELECT text FROM documents", 50000), "SELECT token, n, id FROM vocab"),
-    "encode_text": _with(f"{PAIRS}, texts AS (SELECT row_id, context || ' [SEP] ' || target AS text FROM pairs), {CONV_VOCAB}, " + _encode_text("texts", "text"), ""),
-    "encode_documents": _with(f"docs AS (SELECT doc_id AS row_id, text FROM documents), {CONV_VOCAB}, " + _encode_text("docs", "text"), ""),
-    "encode_pair": _with(f"{PAIRS}, {CONV_VOCAB}, {_pair_frame('pairs', 512)}", f"SELECT row_id, {_padded('full_ids', '512')} FROM framed"),
-    "encode_pair_truncated": _with(f"{PAIRS}, {CONV_VOCAB}, {_pair_frame('pairs', 96)}", f"SELECT row_id, {_padded('full_ids', '96')} FROM framed"),
+    "encode_text": _with(f"{TEXTS}, {_vocab('SELECT text FROM texts')}, " + _encode_text("texts", "text"), ""),
+    "encode_documents": _with(f"docs AS (SELECT doc_id AS row_id, text FROM documents), {_vocab('SELECT text FROM documents')}, " + _encode_text("docs", "text"), ""),
+    "encode_pair": _with(f"{PAIRS}, {PAIR_VOCAB}, {_pair_frame('pairs', 512)}", f"SELECT row_id, {_padded('full_ids', '512')} FROM framed"),
+    "encode_pair_truncated": _with(f"{PAIRS}, {PAIR_VOCAB}, {_pair_frame('pairs', 96)}", f"SELECT row_id, {_padded('full_ids', '96')} FROM framed"),
     "pair_truncation": _with(
         f"{PAIRS}, sized AS (SELECT row_id, CAST(len({_tokens('target')}) AS INTEGER) AS la, CAST(len({_tokens('context')}) AS INTEGER) AS lb FROM pairs), "
         "cut AS (SELECT *, CASE WHEN la + lb <= 101 THEN lb ELSE least(lb, greatest(101 - la, 50)) END AS kb FROM sized)",
         "SELECT row_id, la, lb, CAST(CASE WHEN la + lb <= 101 THEN la ELSE 101 - kb END AS INTEGER) AS kept_first, CAST(kb AS INTEGER) AS kept_second FROM cut",
     ),
-    "pad_and_mask": _with(STEPS + ", framed AS (SELECT row_id, range(4, row_id % 10 + 5) AS full_ids FROM steps)", f"SELECT row_id, {_padded('full_ids', '16')} FROM framed"),
-    "dynamic_pad": _with(f"items AS (SELECT item_id AS row_id, text FROM benchmark), {CONV_VOCAB}, " + _encode_text("items", "text", pad="longest"), ""),
+    "pad_and_mask": _with(f"{PAIRS}, {_vocab('SELECT target AS text FROM pairs')}, {_ids('pairs', 'target', 14, 'enc')}", f"SELECT row_id, {_padded('ids', '16')} FROM enc"),
+    "unknown_share": _with(
+        _vocab("SELECT text FROM documents") + f", turns AS (SELECT unnest({_tokens('text')}[1:510]) AS token FROM conversations)",
+        "SELECT round(count(*) FILTER (id IS NULL) / count(*)::DOUBLE, 6) AS unknown_share FROM turns LEFT JOIN vocab USING (token)",
+    ),
+    "embed_rows_model": _with(
+        f"{PAIRS}, {PAIR_VOCAB}, {_pair_frame('pairs', 128)}",
+        "SELECT row_id, CAST(list_sum(full_ids) % 1000 AS INTEGER) AS total, CAST(len(full_ids) AS INTEGER) AS n FROM framed",
+    ),
+    "dynamic_pad": _with(f"items AS (SELECT item_id AS row_id, text FROM benchmark), {_vocab('SELECT text FROM benchmark')}, " + _encode_text("items", "text", pad="longest"), ""),
     "pack_features": "SELECT vec_id AS row_id, CAST(label >= 5 AS INTEGER) AS label, CAST(len(embedding) AS INTEGER) AS width, "
                      "round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS total FROM embeddings",
     # filters, joins, unions
@@ -312,6 +350,9 @@ copies AS (SELECT row_id, label, count(*) AS n FROM drawn JOIN ladder ON step <=
     "shuffle_rows": f"SELECT event_id AS row_id, user_id AS run, row_number() OVER (ORDER BY {_hash(123, 'event_id')}, event_id) - 1 AS position FROM events",
     "random_split": _with(STEPS, f"SELECT row_id, {SPLIT} AS split FROM steps"),
     "batch_ids": "SELECT event_id AS row_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 32) AS BIGINT) AS batch_id FROM events",
+    "batch_ids_text_key": """WITH keyed AS (SELECT event_type, hour(ts) AS h, md5('1:' || length(event_type) || ':' || event_type || '1:' || length(hour(ts)::VARCHAR) || ':' || hour(ts)) AS digest FROM events),
+numbered AS (SELECT digest || '-' || (row_number() OVER (PARTITION BY digest) - 1) AS row_id FROM keyed)
+SELECT row_id, CAST(floor((row_number() OVER (ORDER BY row_id) - 1) / 32) AS BIGINT) AS batch_id FROM numbered""",
     "batch_ids_random": f"SELECT event_id AS row_id, CAST(floor((row_number() OVER (ORDER BY {_hash(123, 'event_id')}, event_id) - 1) / 32) AS BIGINT) AS batch_id FROM events",
     "steps_per_epoch": "SELECT count(*) // 8 AS steps FROM events",
     "global_index": "SELECT ts, event_id AS row_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS position FROM events",
@@ -352,6 +393,18 @@ below AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY n_chars ROWS BETWEEN UNBOUN
         BATCHED + ", per AS (SELECT count(*) FILTER (y_true = 1 AND y_pred = 1) AS tp, count(*) FILTER (y_pred = 1) AS called, count(*) FILTER (y_true = 1) AS support FROM batched GROUP BY batch_id)",
         "SELECT round(avg(CASE WHEN tp = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (called + support) END), 6) AS f1 FROM per",
     ),
+    "batch_mean_report": _with(
+        BATCHED + """, per AS (SELECT CASE WHEN row_id % 2 = 0 THEN 'train' ELSE 'valid' END AS phase, batch_id,
+  avg(ln(exp(p0) + exp(p1)) - CASE y_true WHEN 0 THEN p0 ELSE p1 END) AS loss, avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0.0 END) AS accuracy, """
+        + ", ".join(
+            f"count(*) FILTER (y_true = {c} AND y_pred = {c})::DOUBLE AS tp{c}, count(*) FILTER (y_pred = {c}) AS called{c}, count(*) FILTER (y_true = {c}) AS support{c}"
+            for c in (0, 1)
+        ) + " FROM batched GROUP BY ALL)",
+        "SELECT phase, round(avg(loss), 6) AS loss, round(avg(accuracy), 6) AS accuracy, " + ", ".join(
+            f"round(avg(coalesce(tp{c} / nullif(called{c}, 0), 0)), 6) AS precision_{c}, round(avg(coalesce(tp{c} / nullif(support{c}, 0), 0)), 6) AS recall_{c}, "
+            f"round(avg(coalesce(2 * tp{c} / nullif(called{c} + support{c}, 0), 0)), 6) AS f1_{c}" for c in (0, 1)
+        ) + " FROM per GROUP BY phase",
+    ),
     "loss_over_dataset": _with(
         LOGITS + ", batched AS (SELECT lse - CASE y_true WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END AS loss, floor((row_number() OVER (ORDER BY row_id) - 1) / 32) AS b FROM scored)",
         "SELECT round(sum(m) / sum(n), 6) AS loss FROM (SELECT avg(loss) AS m, count(*) AS n FROM batched GROUP BY b)",
@@ -392,7 +445,19 @@ agree AS (SELECT *, (tp + tn) / n AS po, ((tp + fn) * (tp + fp) + (tn + fp) * (t
         "SELECT row_id, CASE WHEN moved THEN y_pred ELSE -1 END, CASE WHEN moved THEN 'pseudo' ELSE 'pool' END FROM sure)",
         "SELECT row_id, CAST(label AS INTEGER) AS label, origin, converged FROM rows, verdict",
     ),
+    # learning: properties that hold for the right model and no other, or for any model, over unseen rows
+    "fit_linear_probe": _slopes([1], 64),
+    "two_phase_fit": _slopes([0, 1, 2], 64),
+    "transfer_fit": _slopes([1], 67),
+    "transfer_fit_held_out": _unseen("vec_id % 3 = 2"),
+    "fit_mlp_head": _unseen("vec_id % 2 = 1"),
+    "predict": "SELECT vec_id AS row_id, CAST(label >= 5 AS INTEGER) AS label, true AS valid FROM embeddings WHERE vec_id % 2 = 1",
+    "predict_proba": _unseen("vec_id % 2 = 1"),
+    "fit_text_classifier": _with(DOCLABELS, "SELECT row_id, label, CAST(3 AS INTEGER) AS k, 1.0::DOUBLE AS total, true AS best FROM doclabels WHERE row_id % 2 = 1"),
+    "train_and_correct": "SELECT unnest(['before', 'after']) AS stage, true AS valid, (SELECT count(*) FROM embeddings WHERE vec_id % 3 = 2) AS n, 1.0::DOUBLE AS mean_weight",
+    "self_train": "SELECT vec_id AS row_id, vec_id % 2 = 0 AS given, CASE WHEN vec_id % 2 = 0 THEN CAST(label >= 5 AS INTEGER) END AS label, true AS converged FROM embeddings",
     # recipes
+    "prepare_splits": _prepare_splits(),
     "prepare": _prepare(),
     "prepare_gold_silver": _with(BINARY_PAIRS, "SELECT row_id, tier, label FROM twoclass"),
     "prepare_minority_boost": _with(

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,8 +192,8 @@ def class_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def format_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seconds = F.col("row_id") * 0.5 + F.col("run") * 3600.0
-    return fr.steps(spark, sf_dir).select("row_id", fn.elapsed(seconds).alias("took"))
+    total = fr.steps(spark, sf_dir).groupBy("run").agg(F.sum("seconds").alias("seconds"))
+    return total.select("run", fn.elapsed(F.col("seconds")).alias("took"))
 
 
 @query
@@ -208,11 +208,8 @@ def normalize_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- encoding ----------------------------------------------------------------------
 
-VOCAB = 5_000
-
-
-def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.build_vocab(fr.table(spark, sf_dir, "conversations"), "text", VOCAB)
+def _whole_vocab(df: DataFrame, *columns: str) -> DataFrame:
+    return encoding.build_vocab(df, columns, None)
 
 
 @query
@@ -227,30 +224,32 @@ def _encoded(df: DataFrame) -> DataFrame:
 @query
 def encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = pairs.pair_text(fr.pairs(spark, sf_dir))
-    return _encoded(encoding.encode_text(texts, _vocab(spark, sf_dir)))
+    return _encoded(encoding.encode_text(texts, _whole_vocab(texts, "text")))
 
 
 @query
 def encode_text_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = pairs.pair_text(fr.pairs(spark, sf_dir))
-    return _encoded(encoding.encode_text(texts, _vocab(spark, sf_dir), method="join"))
+    return _encoded(encoding.encode_text(texts, _whole_vocab(texts, "text"), inline=1_000))
 
 
 @query
 def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fr.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    return _encoded(encoding.encode_text(docs, _vocab(spark, sf_dir)))
+    return _encoded(encoding.encode_text(docs, _whole_vocab(docs, "text")))
 
 
 @query
 def encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encoded(encoding.encode_pair(fr.pairs(spark, sf_dir), _vocab(spark, sf_dir)))
+    rows = fr.pairs(spark, sf_dir)
+    return _encoded(encoding.encode_pair(rows, _whole_vocab(rows, "context", "target")))
 
 
 @query
 def encode_pair_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a length that most pairs exceed
-    return _encoded(encoding.encode_pair(fr.pairs(spark, sf_dir), _vocab(spark, sf_dir), max_length=96))
+    rows = fr.pairs(spark, sf_dir)
+    return _encoded(encoding.encode_pair(rows, _whole_vocab(rows, "context", "target"), max_length=96))
 
 
 @query
@@ -263,16 +262,23 @@ def pair_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pad_and_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = fr.steps(spark, sf_dir).select(
-        "row_id", F.sequence(F.lit(4), (F.col("row_id") % 10 + 4).cast("int")).alias("input_ids")
-    )
+    rows = fr.pairs(spark, sf_dir)
+    lists = encoding.token_ids(rows, _whole_vocab(rows, "target"), {"input_ids": "target"}, "row_id", 14)
     return _encoded(encoding.pad_and_mask(lists, 16))
 
 
 @query
 def dynamic_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = fr.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), "text")
-    return _encoded(encoding.encode_text(texts, _vocab(spark, sf_dir), pad="longest"))
+    return _encoded(encoding.encode_text(texts, _whole_vocab(texts, "text"), pad="longest"))
+
+
+@query
+def unknown_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # conversations, with the vocabulary of the documents
+    turns = fr.table(spark, sf_dir, "conversations").select((F.col("conv_id") * fr.TURNS + F.col("turn")).alias("row_id"), "text")
+    vocab = _whole_vocab(fr.table(spark, sf_dir, "documents"), "text")
+    return rounded(encoding.unknown_share(encoding.encode_text(turns, vocab)), "unknown_share")
 
 
 @query
@@ -282,6 +288,22 @@ def embed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row_id", F.size("hidden_state").alias("width"), F.round(norm, 4).alias("norm"))
 
 
+@query
+def embed_rows_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of a loaded model, with one that SQL can repeat: sum of the real ids modulo 1000, and their number."""
+    def load() -> Callable:
+        def run(input_ids, attention_mask):  # noqa: ANN001, ANN202
+            real = (input_ids * attention_mask).sum(axis=1) % 1_000
+            return np.stack([real, attention_mask.sum(axis=1)], axis=1).astype("float32")
+
+        return run
+
+    rows = fr.pairs(spark, sf_dir)
+    encoded = encoding.encode_pair(rows, _whole_vocab(rows, "context", "target"), max_length=128)
+    made = learning.embed_rows(encoded, make_predict_fn=load, shapes=[[128], [128]])
+    return made.select("row_id", F.col("hidden_state")[0].cast("int").alias("total"), F.col("hidden_state")[1].cast("int").alias("n"))
+
+
 @query
 def pack_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = learning.pack_features(fr.vectors(spark, sf_dir))
@@ -392,6 +414,11 @@ def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.batch_ids(fr.steps(spark, sf_dir).select("row_id"), 32, "row_id")
 
 
+@query
+def batch_ids_text_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.batch_ids(with_row_id(spark, sf_dir).select("row_id"), 32, "row_id")
+
+
 @query
 def batch_ids_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.batch_ids(fr.steps(spark, sf_dir).select("row_id"), 32, "row_id", order="random")
@@ -555,6 +582,14 @@ def batch_mean_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.batch_mean_metric(_batched_flags(spark, sf_dir), "batch_id", "f1"), "f1")
 
 
+@query
+def batch_mean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phase = F.when(F.col("row_id") % 2 == 0, "train").otherwise("valid")
+    rows = _batched_flags(spark, sf_dir).withColumn("loss", fn.nll(F.col("probs"), F.col("y_true"), 2)).withColumn("phase", phase)
+    made = metrics.batch_mean_report(rows, "batch_id")
+    return rounded(made, *[c for c in made.columns if c != "phase"])
+
+
 @query
 def loss_over_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fr.logits(spark, sf_dir).withColumn("loss", fn.nll(F.col("scores"), F.col("y_true"), K))
@@ -659,33 +694,73 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.pack_features(fr.vectors(spark, sf_dir)).drop("hidden_state")
 
 
-def _graded(model: object, df: DataFrame, label: str = "label") -> DataFrame:
-    scored = learning.predict(model, df)
-    return scored.select("row_id", F.col(label).alias("label"), "prediction")
+def _thirds(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(df.where(F.col("row_id") % 3 == i) for i in range(3))
+
+
+def _slopes(model: object, df: DataFrame, total: float, **names: str) -> DataFrame:
+    """Derivatives of the loss at the fitted weights, which are zero at its minimum."""
+    made = learning.loss_slopes(model, df, 1.0 / total, **names)
+    # no minus zero
+    return made.select("cls", "pos", (F.round("slope", 4) + F.lit(0.0)).alias("slope"))
+
+
+def _held_out(model: object, test: DataFrame, k: int, label: str = "label") -> DataFrame:
+    """One row per unseen row: is the prediction the class of the largest of k probabilities that add up to 1?"""
+    both = learning.predict_proba(model, learning.predict(model, test, "y_pred"))
+    total = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
+    return both.select(
+        "row_id", F.col(label).alias("label"), F.size("probs").alias("k"), F.round(total, 6).alias("total"),
+        (F.col("probs")[F.col("y_pred")] == F.array_max("probs")).alias("best"),
+    ).where(F.col("k") == k)
 
 
 @query
 def fit_linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _features(spark, sf_dir)
-    return _graded(learning.fit_linear_probe(df), df)
+    train, _ = fr.halves(_features(spark, sf_dir))
+    return _slopes(learning.fit_linear_probe(train), train, train.count())
 
 
 @query
 def fit_mlp_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _features(spark, sf_dir)
-    return _graded(learning.fit_mlp_head(df, [64, 64, 2], max_iter=50), df)
+    train, test = fr.halves(_features(spark, sf_dir))
+    return _held_out(learning.fit_mlp_head(train, [64, 64, 2]), test, 2)
 
 
 @query
 def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = fr.halves(_features(spark, sf_dir))
-    return learning.predict(learning.fit_linear_probe(train), test).select("row_id", "prediction")
+    made = learning.predict(learning.fit_linear_probe(train), test)
+    return made.select("row_id", "label", F.col("prediction").isin(0, 1).alias("valid"))
 
 
 @query
 def predict_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = fr.halves(_features(spark, sf_dir))
-    return long_form(learning.predict_proba(learning.fit_linear_probe(train), test), "probs", "prob", "row_id")
+    return _held_out(learning.fit_linear_probe(train), test, 2)
+
+
+@query
+def train_and_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on a third, weigh by a second, and evaluate on the last before and after the correction.
+
+    Whatever the model predicts: every test row counts in both stages, the metrics lie in their
+    ranges, and the unclipped weights of the validation classes average to 1.
+    """
+    train, validation, test = _thirds(_features(spark, sf_dir))
+    model = learning.fit_linear_probe(train)
+
+    def scored(df: DataFrame) -> DataFrame:
+        both = learning.predict_proba(model, learning.predict(model, df, "y_pred"))
+        return both.select("row_id", F.col("label").alias("y_true"), "y_pred", "probs")
+
+    validation, test = scored(validation), scored(test)
+    weights = shift.shift_weights(validation, test, clip=False)
+    mean = validation.join(F.broadcast(weights), F.col("y_true") == F.col("cls")).agg(F.round(F.avg("w"), 6).alias("mean_weight"))
+    report = shift.shift_corrected_evaluation(validation, test)
+    sizes = test.agg(F.count(F.lit(1)).alias("n"))
+    valid = F.col("f1").between(0, 1) & F.coalesce(F.col("cohen_kappa").between(-1, 1), F.lit(True)) & F.col("roc_auc").between(0, 1)
+    return report.select("stage", valid.alias("valid"), sizes.scalar().alias("n"), mean.scalar().alias("mean_weight"))
 
 
 @query
@@ -700,30 +775,45 @@ def self_train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def self_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each row ended; a moved row is not told from one left in the pool, which depends on the model."""
     train, pool = fr.halves(_features(spark, sf_dir).drop("stance"))
-    fit = partial(learning.fit_linear_probe, max_iter=50)
-    _, grown, rest, _ = learning.self_train(train, pool.drop("label"), fit, threshold=0.6, max_rounds=3)
-    left = rest.select("row_id", F.lit(-1).alias("label"), F.lit("pool").alias("origin"))
-    return grown.select("row_id", "label", "origin").unionByName(left)
+    _, grown, rest, history = learning.self_train(train, pool.drop("label"), threshold=0.6)
+    left = rest.select("row_id", F.lit(None).cast("int").alias("label"), F.lit("pool").alias("origin"))
+    given = F.col("origin") == "train"
+    return grown.select("row_id", "label", "origin").unionByName(left).select(
+        "row_id", given.alias("given"), F.when(given, F.col("label")).alias("label"), F.lit(history[-1]["converged"]).alias("converged")
+    )
 
 
 @query
 def two_phase_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _features(spark, sf_dir)
-    gold, silver = df.where(F.col("row_id") % 3 == 0), df.where(F.col("row_id") % 3 != 0)
-    return _graded(learning.two_phase_fit(gold, silver, label="stance"), df, "stance")
+    gold, silver = df.where(F.col("row_id") % 3 == 0), df.where(F.col("row_id") % 3 == 1)
+    weighed = gold.withColumn("times", F.lit(9)).unionByName(silver.withColumn("times", F.lit(2)))
+    weight = weighed.agg(F.sum("times")).first()[0]
+    return _slopes(learning.two_phase_fit(gold, silver, label="stance"), weighed, weight, label="stance", weight="times")
 
 
 @query
 def transfer_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _features(spark, sf_dir)
-    return _graded(learning.transfer_fit(df, df, "stance", "label"), df)
+    source, target, _ = _thirds(_features(spark, sf_dir))
+    model = learning.transfer_fit(source, target, "stance", "label")
+    first, stack, second = model.stages
+    stacked = stack.transform(first.transform(target)).select("row_id", "label", "stacked")
+    return _slopes(second, stacked, target.count(), features="stacked")
+
+
+@query
+def transfer_fit_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target, test = _thirds(_features(spark, sf_dir))
+    return _held_out(learning.transfer_fit(source, target, "stance", "label"), test, 2)
 
 
 @query
 def fit_text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pairs.label_to_int(fr.document_labels(spark, sf_dir)).select("row_id", "text", "label")
-    return _graded(learning.fit_text_classifier(df), df)
+    train, test = fr.halves(df)
+    return _held_out(learning.fit_text_classifier(train), test, 3)
 
 
 # -- recipes ---------------------------------------------------------------------------------
@@ -734,13 +824,32 @@ def prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, _ = fr.tiers(spark, sf_dir)
     gold.select(*PAIR_COLUMNS).write.json(f"{root}/gold/train.jsonl")
     made = recipes.prepare(
-        spark, root, store, "gold", "train", upsampling=True, num_label=2, output_vectors=False, null_ratio=0.25
+        spark, root, store, "gold", "train", upsampling=True, num_label=2, null_ratio=0.25, vocab_size=None
     )
-    return made["tokens"].select(
-        "row_id", "draw_no", "label", joined("input_ids").alias("ids"), joined("attention_mask").alias("mask")
+    width = made["hidden"].select("row_id", "draw_no", F.size("hidden_state").alias("width"))
+    return made["tokens"].join(width, ["row_id", "draw_no"]).select(
+        "row_id", "draw_no", "label", joined("input_ids").alias("ids"), joined("attention_mask").alias("mask"), "width"
     )
 
 
+@query
+def prepare_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and validation rows under one encoding, fitted on the training rows."""
+    root, store = scratch_path(spark, "corpus"), scratch_path(spark, "store")
+    gold = sampling.random_split(fr.tiers(spark, sf_dir)[0], "row_id")
+    for split in ("train", "val"):
+        gold.where(F.col("split") == split).select(*PAIR_COLUMNS).write.json(f"{root}/gold/{split}.jsonl")
+    encoding_ = recipes.fit_encoding(recipes.keyed_source(spark, root, store, "gold", "train"), store, "words", vocab_size=None)
+    out = None
+    for split in ("train", "val"):
+        made = recipes.prepare(spark, root, store, "gold", split, encoding_)
+        width = made["hidden"].select("row_id", F.size("hidden_state").alias("width"))
+        part = made["tokens"].join(width, "row_id").select(
+            F.lit(split).alias("split"), "row_id", "label", joined("input_ids").alias("ids"), "width")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def prepare_gold_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.prepare_gold_silver(*fr.tiers(spark, sf_dir)).select("row_id", "tier", "label")

@@ -1,8 +1,9 @@
 """Vocabulary and fixed-length encoding of texts and text pairs.
 
-A vocabulary is a feature with a size limit.  Up to ``INLINE_VOCAB`` tokens it is
-folded into the plan as a hash-bucketed literal, so encoding is a map over the rows:
-no shuffle, no Python.  A larger one is joined to the exploded tokens instead.
+The ``INLINE_VOCAB`` most frequent tokens of a vocabulary are folded into the plan as
+a hash-bucketed literal, so nearly all tokens are encoded by a map over the rows: no
+shuffle, no Python.  Only if a vocabulary is larger are the tokens that the literal
+misses joined, each once per row.
 """
 
 from __future__ import annotations
@@ -15,18 +16,18 @@ from pyspark.sql import functions as F
 
 from duotext.functions import text as tx
 from duotext.functions.hashing import as_list
+from duotext.operators.ordering import global_index
 from duotext.runtime import cut_lineage
 from duotext.schema import MAX_LENGTH
 
 INLINE_VOCAB = 100_000
 VOCAB_SIZE = 50_000
-_SALTS = 16
 _BANDS = 8  # bands of counts per doubling
 _PER_BUCKET = 16  # tokens a lookup compares with
 
 
-def build_vocab(df: DataFrame, columns: str | Sequence[str] = "text", size: int = VOCAB_SIZE) -> DataFrame:
-    """The ``size`` most frequent tokens as ``(token, n, id)``; ties go by token.
+def build_vocab(df: DataFrame, columns: str | Sequence[str] = "text", size: int | None = VOCAB_SIZE) -> DataFrame:
+    """The ``size`` most frequent tokens as ``(token, n, id)``, or all (``None``); ties go by token.
 
     Counting combines on the map side, so a token that makes up a third of the corpus
     costs no more than any other.  The counts are written to the shared folder: the
@@ -38,6 +39,9 @@ def build_vocab(df: DataFrame, columns: str | Sequence[str] = "text", size: int
         part = df.select(F.explode(tx.tokens(F.col(c))).alias("token"))
         words = part if words is None else words.unionAll(part)
     counts = cut_lineage(words.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
+    if size is None:
+        placed = global_index(counts.withColumn("__rank", -F.col("n")), ["__rank", "token"], "__at")
+        return placed.select("token", "n", (F.col("__at") + tx.FIRST_TOKEN_ID).cast("int").alias("id"))
     bands = counts.groupBy(F.floor(F.log2("n") * _BANDS).alias("band")).agg(
         F.count(F.lit(1)).alias("tokens"), F.min("n").alias("least")
     )
@@ -52,8 +56,16 @@ def build_vocab(df: DataFrame, columns: str | Sequence[str] = "text", size: int
     return top.select("token", "n", (rank + tx.FIRST_TOKEN_ID - 1).cast("int").alias("id"))
 
 
+def unknown_share(df: DataFrame, ids: str = "input_ids") -> DataFrame:
+    """Share of the unknown id among the tokens of encoded rows, as one row."""
+    tokens = F.filter(ids, lambda i: (i == tx.UNK_ID) | (i >= tx.FIRST_TOKEN_ID))
+    unknown = F.size(F.filter(ids, lambda i: i == tx.UNK_ID))
+    share = F.sum(unknown) / F.nullif(F.sum(F.size(tokens)), F.lit(0))
+    return df.agg(F.coalesce(share, F.lit(0.0)).alias("unknown_share"))
+
+
 def _inline_lookup(rows: Sequence) -> Callable[[Column], Column]:
-    """The vocabulary as ``array<map<token, id>>``, bucketed by token hash."""
+    """Part of a vocabulary as ``array<map<token, id>>``, bucketed by token hash; NULL for other tokens."""
     width = max(1, len(rows) // _PER_BUCKET)
     buckets: list[dict] = [{} for _ in range(width)]
     for r in rows:
@@ -63,64 +75,54 @@ def _inline_lookup(rows: Sequence) -> Callable[[Column], Column]:
 
     def lookup(token: Column) -> Column:
         bucket = F.element_at(table, (F.pmod(F.xxhash64(token), F.lit(width)) + 1).cast("int"))
-        return F.coalesce(F.try_element_at(bucket, token), F.lit(tx.UNK_ID))
+        return F.try_element_at(bucket, token)
 
     return lookup
 
 
 def token_ids(
     df: DataFrame, vocab: DataFrame, columns: Mapping[str, str], key: str | Sequence[str],
-    limit: int = MAX_LENGTH, method: str = "auto",
+    limit: int = MAX_LENGTH, inline: int | None = None,
 ) -> DataFrame:
     """Add, for each ``{output: text column}``, the ids of the text's first ``limit`` tokens.
 
     ``limit`` is the fixed encoded length: no id behind it can reach an output row.
-    Unknown tokens get the unknown id.
+    Unknown tokens get the unknown id.  The ``inline`` most frequent tokens (default
+    ``INLINE_VOCAB``) are looked up in the plan, others by a join.  A stream can't pass a
+    join, so for it the plan holds the whole vocabulary, whatever its size.
     """
-    if method not in ("auto", "inline", "join"):
-        raise ValueError("method must be 'auto', 'inline' or 'join'")
     cut = {out: tx.first_tokens(F.col(c), limit) for out, c in columns.items()}
-    if method != "join":
-        rows = vocab.select("token", "id", F.xxhash64("token").alias("h")).limit(INLINE_VOCAB + 1).collect()
-        if len(rows) <= INLINE_VOCAB:
-            lookup = _inline_lookup(rows)
-            return df.withColumns({out: F.transform(c, lookup) for out, c in cut.items()})
-        if method == "inline":
-            raise ValueError(f"vocabulary has more than {INLINE_VOCAB} tokens")
-    return _joined_ids(df, vocab, cut, as_list(key))
-
-
-def _joined_ids(df: DataFrame, vocab: DataFrame, cut: Mapping[str, Column], key: Sequence[str]) -> DataFrame:
-    """The same by a join on the token; frequent tokens are salted by position."""
-    names = list(cut)
-    exploded = None
-    for i, out in enumerate(names):
-        part = df.select(*key, F.lit(i).alias("__col"), F.posexplode(cut[out]).alias("__pos", "token"))
-        exploded = part if exploded is None else exploded.unionAll(part)
-    salted = exploded.withColumn("__salt", F.pmod(F.xxhash64(*key, "__pos"), F.lit(_SALTS)).cast("int"))
-    spread = vocab.select("token", "id", F.explode(F.array(*[F.lit(s) for s in range(_SALTS)])).alias("__salt"))
-    found = salted.join(spread, ["token", "__salt"], "left").select(
-        *key, "__col", F.struct("__pos", F.coalesce("id", F.lit(tx.UNK_ID)).alias("id")).alias("__at")
+    inline = INLINE_VOCAB if inline is None else inline
+    hashed = vocab.select("token", "id", F.xxhash64("token").alias("h"))
+    first = F.col("id") < tx.FIRST_TOKEN_ID + inline
+    rows = (hashed if df.isStreaming else hashed.where(first)).collect()
+    lookup = _inline_lookup(rows)
+    unknown = F.lit(tx.UNK_ID)
+    if df.isStreaming or vocab.where(~first).isEmpty():
+        return df.withColumns({out: F.transform(c, lambda t: F.coalesce(lookup(t), unknown)) for out, c in cut.items()})
+    keys = as_list(key)
+    missed = F.array_distinct(F.filter(F.concat(*cut.values()), lambda t: lookup(t).isNull()))
+    # frequent tokens are never missed, so no token is in a large share of these rows but one outside the vocabulary
+    missing = df.select(*keys, F.explode(missed).alias("token"))
+    found = missing.join(vocab.where(~first).select("token", "id"), "token").groupBy(*keys).agg(
+        # one row's own tokens, at most `limit` per text
+        F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("__found")
     )
-    # a group is one row's own tokens, at most `limit` per text
-    lists = found.groupBy(*key).agg(*[
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("__col") == i, F.col("__at")))), lambda s: s["id"]
-        ).alias(out) for i, out in enumerate(names)
-    ])
-    empty = F.array().cast("array<int>")
-    return df.join(lists, list(key), "left").withColumns({out: F.coalesce(out, empty) for out in names})
+    def either(t: Column) -> Column:
+        return F.coalesce(lookup(t), F.try_element_at("__found", t), unknown)
+
+    return df.join(found, keys, "left").withColumns({out: F.transform(c, either) for out, c in cut.items()}).drop("__found")
 
 
 def encode_text(
     df: DataFrame, vocab: DataFrame, text: str = "text", key: str | Sequence[str] = "row_id",
-    max_length: int = MAX_LENGTH, pad: str = "max_length", method: str = "auto",
+    max_length: int = MAX_LENGTH, pad: str = "max_length", inline: int | None = None,
 ) -> DataFrame:
     """One text to ``input_ids`` and ``attention_mask``: ``bos tokens eos``, cut and padded.
 
     ``pad='longest'`` pads to the longest row of the table instead of ``max_length``.
     """
-    found = token_ids(df, vocab, {"__ids": text}, key, max_length - 2, method)
+    found = token_ids(df, vocab, {"__ids": text}, key, max_length - 2, inline)
     ids = F.concat(F.array(F.lit(tx.BOS_ID)), F.col("__ids"), F.array(F.lit(tx.EOS_ID)))
     if pad == "longest":
         length = longest_row(df, text, max_length)
@@ -153,11 +155,11 @@ def pair_truncation(
 
 def encode_pair(
     df: DataFrame, vocab: DataFrame, first: str = "target", second: str = "context",
-    key: str | Sequence[str] = "row_id", max_length: int = MAX_LENGTH, method: str = "auto",
+    key: str | Sequence[str] = "row_id", max_length: int = MAX_LENGTH, inline: int | None = None,
 ) -> DataFrame:
     """Two segments to one row of ids, target first: ``bos A eos eos B eos``, cut to ``max_length``."""
     budget = max_length - 4
-    found = token_ids(df, vocab, {"__a": first, "__b": second}, key, budget, method)
+    found = token_ids(df, vocab, {"__a": first, "__b": second}, key, budget, inline)
     # both segments were cut at the budget already, which leaves the truncation rule unchanged
     cut = pair_truncation(
         found.withColumns({"__la": F.size("__a"), "__lb": F.size("__b")}), "__la", "__lb", budget, ("__ka", "__kb")

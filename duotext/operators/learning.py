@@ -6,12 +6,15 @@ Fitting runs as distributed gradient aggregation; scoring is a map over the rows
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from itertools import count
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +34,15 @@ THRESHOLD = 0.8  # fixed value: confidence above which a row is moved
 def embed_rows(
     df: DataFrame, text: str = "text", make_predict_fn: Callable | None = None,
     inputs: Sequence[str] = ("input_ids", "attention_mask"), shapes: Sequence[Sequence[int]] | None = None,
-    batch_size: int = 32, size: int = VECTOR_SIZE, out: str = "hidden_state",
+    batch_size: int = 32, size: int = VECTOR_SIZE, out: str = "hidden_state", idf: IDFModel | None = None,
 ) -> DataFrame:
     """One vector per row.
 
     With ``make_predict_fn`` (a function that loads a model and returns a batch
     function over numpy arrays) the model runs over Arrow batches of ``inputs``; a
     batch of ``batch_size`` rows is what one call sees.  Without it, vectors are
-    hashed term counts of ``text`` weighted by inverse document frequency.
+    hashed term counts of ``text`` weighted by inverse document frequency: that of
+    ``idf`` (see ``fit_idf``; one model for all splits), or else of this table.
     """
     if make_predict_fn is not None:
         udf = predict_batch_udf(
@@ -46,14 +50,23 @@ def embed_rows(
             input_tensor_shapes=[list(s) for s in shapes] if shapes else None,
         )
         return df.withColumn(out, udf(*inputs))
-    counted = HashingTF(numFeatures=size, inputCol="__tokens", outputCol="__tf").transform(
-        df.withColumn("__tokens", tx.tokens(F.col(text)))
-    )
-    model = IDF(inputCol="__tf", outputCol="__tfidf").fit(counted)
+    model = fit_idf(df, text, size) if idf is None else idf
+    counted = _term_counts(df, text, model.idf.size)
     vector = vector_to_array(F.col("__tfidf"), "float32")
     return model.transform(counted).withColumn(out, vector).drop("__tokens", "__tf", "__tfidf")
 
 
+def _term_counts(df: DataFrame, text: str, size: int) -> DataFrame:
+    return HashingTF(numFeatures=size, inputCol="__tokens", outputCol="__tf").transform(
+        df.withColumn("__tokens", tx.tokens(F.col(text)))
+    )
+
+
+def fit_idf(df: DataFrame, text: str = "text", size: int = VECTOR_SIZE) -> IDFModel:
+    """Inverse document frequencies of hashed terms."""
+    return IDF(inputCol="__tf", outputCol="__tfidf").fit(_term_counts(df, text, size))
+
+
 def pack_features(df: DataFrame, col: str = "hidden_state", out: str = "features") -> DataFrame:
     """An array column as the vector column that learners read."""
     return df.withColumn(out, array_to_vector(F.col(col).cast("array<double>")))
@@ -61,29 +74,49 @@ def pack_features(df: DataFrame, col: str = "hidden_state", out: str = "features
 
 # -- classifiers -----------------------------------------------------------------
 
+MAX_ITER = 10_000  # a safeguard: a fit that gets there has not converged, and fails
+
+
+def iterations(model: Model) -> int:
+    """Iterations that a fit took."""
+    last = model.stages[-1] if isinstance(model, PipelineModel) else model
+    summary = last.summary
+    return (summary() if callable(summary) else summary).totalIterations
+
+
+def _converged(model: Model, max_iter: int) -> Model:
+    if (took := iterations(model)) >= max_iter:
+        raise RuntimeError(f"the fit has not converged after {took} iterations")
+    return model
+
+
 def fit_linear_probe(
-    train: DataFrame, label: str = "label", features: str = "features", C: float = 1.0, max_iter: int = 10_000
+    train: DataFrame, label: str = "label", features: str = "features", C: float = 1.0, max_iter: int = MAX_ITER,
+    n: int | None = None,
 ) -> Model:
-    """L2 logistic regression; ``regParam = 1 / (C n)`` gives the usual inverse strength C."""
-    n = train.count()
-    return LogisticRegression(
+    """L2 logistic regression to convergence; ``regParam = 1 / (C n)`` gives the usual inverse strength C.
+
+    ``n``, the number of rows, is counted unless given.
+    """
+    n = train.count() if n is None else n
+    return _converged(LogisticRegression(
         featuresCol=features, labelCol=label, maxIter=max_iter, regParam=1.0 / (C * n), elasticNetParam=0.0,
         standardization=False,
-    ).fit(train)
+    ).fit(train), max_iter)
 
 
 def fit_mlp_head(
     train: DataFrame, layers: Sequence[int], label: str = "label", features: str = "features", seed: int = 42,
-    max_iter: int = 100,
+    max_iter: int = MAX_ITER,
 ) -> Model:
     """A classifier with one hidden layer, ``layers = [inputs, hidden, classes]``.
 
     Differs from a hand-trained tanh head: the hidden units are sigmoids, the
     optimiser is L-BFGS and there is no dropout.
     """
-    return MultilayerPerceptronClassifier(
+    return _converged(MultilayerPerceptronClassifier(
         layers=list(layers), featuresCol=features, labelCol=label, seed=seed, maxIter=max_iter
-    ).fit(train)
+    ).fit(train), max_iter)
 
 
 def predict(model: Model, df: DataFrame, out: str = "prediction") -> DataFrame:
@@ -106,7 +139,7 @@ def model_column(model: Model, name: str) -> str:
 
 def two_phase_fit(
     gold: DataFrame, silver: DataFrame, label: str = "label", features: str = "features", phase1: int = 2,
-    phase2: int = 7, C: float = 1.0, max_iter: int = 100,
+    phase2: int = 7, C: float = 1.0, max_iter: int = MAX_ITER,
 ) -> Model:
     """Mixed data for ``phase1`` passes, then gold for ``phase2``: one fit weighted by exposure."""
     def weighted(df: DataFrame, times: int) -> DataFrame:
@@ -114,15 +147,15 @@ def two_phase_fit(
 
     mixed = weighted(gold, phase1 + phase2).unionByName(weighted(silver, phase1))
     n = mixed.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(
+    return _converged(LogisticRegression(
         featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter, regParam=1.0 / (C * n),
         standardization=False, family="multinomial",
-    ).fit(mixed)
+    ).fit(mixed), max_iter)
 
 
 def transfer_fit(
     source: DataFrame, target: DataFrame, source_label: str = "label", target_label: str = "label",
-    features: str = "features", C: float = 1.0, max_iter: int = 100,
+    features: str = "features", C: float = 1.0, max_iter: int = MAX_ITER,
 ) -> PipelineModel:
     """Fit on a source task, then on the target task with the source's probabilities as extra features."""
     def learner(n: int, label: str, inputs: str, prefix: str) -> LogisticRegression:
@@ -132,26 +165,62 @@ def transfer_fit(
             rawPredictionCol=f"{prefix}raw",
         )
 
-    first = learner(source.count(), source_label, features, "source_").fit(source)
+    first = _converged(learner(source.count(), source_label, features, "source_").fit(source), max_iter)
     stack = VectorAssembler(inputCols=[features, "source_probability"], outputCol="stacked")
     stacked = stack.transform(first.transform(target))
-    second = learner(target.count(), target_label, "stacked", "").fit(stacked)
+    second = _converged(learner(target.count(), target_label, "stacked", "").fit(stacked), max_iter)
     return PipelineModel(stages=[first, stack, second])
 
 
 def fit_text_classifier(
-    train: DataFrame, text: str = "text", label: str = "label", num_features: int = 1 << 16, max_iter: int = 50,
+    train: DataFrame, text: str = "text", label: str = "label", num_features: int = 1 << 16, max_iter: int = MAX_ITER,
     reg: float = 0.01,
 ) -> PipelineModel:
-    """Text to class, end to end, for two or more classes."""
-    return Pipeline(stages=[
+    """Text to class, end to end and to convergence, for two or more classes.
+
+    The weighted term counts are stored once; all passes of the fit read those.
+    """
+    terms = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"\s+"),
         HashingTF(numFeatures=num_features, inputCol="__words", outputCol="__tf"),
         IDF(inputCol="__tf", outputCol="__tfidf"),
-        LogisticRegression(
-            featuresCol="__tfidf", labelCol=label, family="multinomial", maxIter=max_iter, regParam=reg
-        ),
     ]).fit(train)
+    rows = cut_lineage(terms.transform(train).select(label, "__tfidf"), "text-terms")
+    learner = LogisticRegression(
+        featuresCol="__tfidf", labelCol=label, family="multinomial", maxIter=max_iter, regParam=reg, standardization=False
+    )
+    return PipelineModel(stages=[*terms.stages, _converged(learner.fit(rows), max_iter)])
+
+
+def _times(x: Column, factor: Column) -> Column:
+    return F.transform(x, lambda v: v * factor)
+
+
+def loss_slopes(
+    model: Model, df: DataFrame, reg: float, label: str = "label", features: str = "features", weight: str | None = None
+) -> DataFrame:
+    """Derivative of the regularised mean log loss by each coefficient: ``(cls, pos, slope)``.
+
+    All zero at the optimum.  ``pos`` -1 is the intercept, which is not regularised.  Two
+    classes of a binomial model share one coefficient row, that of class 1.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    coefficients, k = model.coefficientMatrix.toArray(), model.numClasses
+    classes = [1] if len(coefficients) == 1 else list(range(k))
+    scored = predict_proba(model, df, "__p").select(
+        w.alias("w"), F.concat(F.array(F.lit(1.0)), vector_to_array(F.col(features))).alias("x"),
+        F.array(*[F.col("__p")[c] - (F.col(label) == c).cast("double") for c in classes]).alias("r"),
+    )
+    # summed as one vector per class inside the tasks
+    sums = scored.select("w", *[
+        array_to_vector(_times(F.col("x"), F.col("r")[i])).alias(f"g{i}") for i in range(len(classes))
+    ]).agg(F.sum("w").alias("n"), *[Summarizer.mean(F.col(f"g{i}"), F.col("w")).alias(f"g{i}") for i in range(len(classes))])
+    rows = [
+        sums.select(F.lit(c).alias("cls"), F.posexplode(F.zip_with(
+            vector_to_array(F.col(f"g{i}")), F.array(F.lit(0.0), *[F.lit(float(reg * v)) for v in coefficients[i]]), lambda a, b: a + b
+        )).alias("pos", "slope")) for i, c in enumerate(classes)
+    ]
+    return reduce(DataFrame.unionByName, rows).withColumn("pos", F.col("pos") - 1)
 
 
 # -- self-training ---------------------------------------------------------------
@@ -186,23 +255,28 @@ def self_train_step(
 
 def self_train(
     train: DataFrame, pool: DataFrame, fit: Callable[[DataFrame], Model] = fit_linear_probe,
-    threshold: float = THRESHOLD, min_moved: int = MIN_MOVED, max_rounds: int = 20, label: str = "label",
+    threshold: float = THRESHOLD, min_moved: int = MIN_MOVED, max_rounds: int | None = None, label: str = "label",
 ) -> tuple[Model, DataFrame, DataFrame, list[dict]]:
-    """Fit, score the pool, move the confident rows; repeat until few rows move.
-
-    Each round scores the pool once and writes the result to the shared folder, so
-    plans do not grow with the rounds and lost executors cost no earlier round.
-    Returns the last model, training rows, remaining pool and one record per round.
+    """Fit, score the pool, move the confident rows; repeat until few rows move or the pool is empty.
+
+    The training rows are stored once; each round scores the pool once and writes the
+    result to the shared folder, so plans do not grow with the rounds and lost executors
+    cost no earlier round.  Every round fits anew: the learners of ``pyspark.ml`` take no
+    initial weights in Python, and as their losses are convex a warm start ends at the
+    same weights.  Returns the last model, training rows, remaining pool and one record per
+    round, whose ``converged`` tells why it ended (false only under ``max_rounds``).
     """
-    history = []
-    for step in range(1, max_rounds + 1):
+    history: list[dict] = []
+    train = cut_lineage(train, "self-train")
+    for step in count(1):
         model = fit(train)
         scored = cut_lineage(predict_proba(model, pool, "__probs"), f"self-train-{step}")
         sure, unsure, sizes = _split_by_confidence(scored, "__probs", threshold)
         size = sizes.first()
         train = append_pseudo_labels(train, sure.withColumn(label, sc.argmax_label(F.col("__probs"))))
         pool = unsure.select(*pool.columns)
-        history.append({"round": step, "moved": size["moved"], "left": size["left"]})
-        if size["moved"] < min_moved or size["left"] == 0:
+        converged = size["moved"] < min_moved or size["left"] == 0
+        history.append({"round": step, "moved": size["moved"], "left": size["left"], "converged": converged})
+        if converged or step == max_rounds:
             break
     return model, train, pool, history

@@ -17,6 +17,9 @@ from duotext.functions.hashing import as_list
 from duotext.operators.ordering import BUCKET, BUCKET_ROWS, scan_buckets, with_range_bucket
 
 
+MAX_CLASSES = 1_000  # beyond it k x k tables are refused
+
+
 def ratio(top: Column, bottom: Column, empty: float | None = 0.0) -> Column:
     """``top / bottom`` as DOUBLE; ``empty`` where the denominator is zero."""
     value = top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
@@ -42,9 +45,20 @@ def cell_counts(df: DataFrame, y_true: str, y_pred: str, by: Sequence[str] = ())
     )
 
 
+def checked_cells(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
+    """``cell_counts``, which fails the query beyond ``MAX_CLASSES`` classes: what follows needs them in one place.
+
+    The number of cells is counted by an aggregate that keeps one number per task.
+    """
+    cells = cell_counts(df, y_true, y_pred)
+    most = MAX_CLASSES**2
+    many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes"))
+    return cells.where(F.when(cells.agg(F.count(F.lit(1))).scalar() > most, many).otherwise(F.lit(True)))
+
+
 def confusion_counts(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """The full k x k table of counts, zero cells included."""
-    cells = cell_counts(df, y_true, y_pred)
+    cells = checked_cells(df, y_true, y_pred)
     # one row holding the k classes, opened twice: the class grid
     classes = cells.agg(
         F.array_sort(F.array_union(F.collect_set("y_true"), F.collect_set("y_pred"))).alias("classes")
@@ -90,8 +104,6 @@ def one_vs_rest_counts(
     """TP, FP, TN and FN of each class against the rest."""
     by = as_list(by)
     cells = cell_counts(df, y_true, y_pred, by)
-    if not by:
-        cells = cells.repartition(1)  # k*k rows: the steps after this need no shuffle
     hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
     roles = F.array(
         F.struct(F.col("y_true").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("called"),
@@ -258,6 +270,21 @@ def batch_mean_metric(
     return df.groupBy(batch).agg(per_batch.alias("__m")).agg(F.avg("__m").alias(metric))
 
 
+def batch_mean_report(
+    df: DataFrame, batch: str, phase: str = "phase", y_true: str = "y_true", y_pred: str = "y_pred",
+    classes: Sequence[int] = (0, 1), loss: str = "loss",
+) -> DataFrame:
+    """All batch metrics of all phases in one pass: one row per phase with the plain means over its batches of loss,
+    accuracy and, for each class c, ``precision_c``, ``recall_c`` and ``f1_c``."""
+    measures = {"loss": F.avg(loss), "accuracy": F.avg((F.col(y_true) == F.col(y_pred)).cast("double"))}
+    for c in classes:
+        t, p = F.col(y_true) == c, F.col(y_pred) == c
+        found = _quality(F.count_if(t & p), F.count_if(~t & p), F.count_if(~t & ~p), F.count_if(t & ~p))
+        measures |= {f"{m}_{c}": found[m] for m in ("precision", "recall", "f1")}
+    per_batch = df.groupBy(phase, batch).agg(*[v.alias(m) for m, v in measures.items()])
+    return per_batch.groupBy(phase).agg(*[F.avg(m).alias(m) for m in measures])
+
+
 def loss_over_dataset(df: DataFrame, batch: str, loss: str = "loss") -> DataFrame:
     """Sum of the batch-mean losses divided by the number of rows."""
     per_batch = df.groupBy(batch).agg(F.avg(loss).alias("__m"), F.count(F.lit(1)).alias("__n"))

@@ -84,23 +84,42 @@ def with_range_bucket(
     The first order column is searched in the cut values by ``Bucketizer`` (binary
     search in the JVM).  That is all, except for a value so frequent that several
     cuts fall on it: its rows are searched, again by halving, in the full tuples.
+    If the order begins with a text, all rows are searched in the full tuples.
     """
     order = list(order)
     n = df.count() if n is None else n
     goal = _bucket_goal(df, n, bucket_rows)
-    if isinstance(df.schema[order[0]].dataType, T.StringType):
-        raise TypeError("value order must start with a number or a time; use hash order for texts")
     parts = [_sortable(df, c).alias(f"o{i}") for i, c in enumerate(order)]
     keys = df.select(*parts)
     cuts = _cut_points(keys, n, goal) if goal > 1 else []
     if not cuts:
         return df.withColumn(BUCKET, F.lit(0)), 1
 
+    fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in keys.schema)
+
+    def at_most_key(own: Column, longest: int) -> Column:
+        """How many of the tuples of an ascending list are at or below the row's key."""
+        def halve(pos: Column, step: Column) -> Column:
+            fits = pos + step <= F.size(own)
+            return F.when(fits, F.when(F.element_at(own, pos + step) <= F.col("__key"), pos + step).otherwise(pos)).otherwise(pos)
+
+        steps = [1 << b for b in reversed(range(longest.bit_length()))]
+        return F.reduce(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
+
+    def tuples(rows: Sequence[tuple]) -> list[dict]:
+        return [{f"o{i}": v for i, v in enumerate(c)} for c in rows]
+
+    if isinstance(df.schema[order[0]].dataType, T.StringType):
+        found = at_most_key(_literal(tuples(cuts), f"array<struct<{fields}>>"), len(cuts))
+        keyed = df.withColumn("__key", F.struct(*parts))
+        bucket = F.when(parts[0].isNotNull(), found).otherwise(F.lit(0))  # NULL keys sort first
+        return keyed.withColumn(BUCKET, bucket).drop("__key"), len(cuts) + 1
+
     firsts = sorted({float(c[0]) for c in cuts})
     slot = {v: i + 1 for i, v in enumerate(firsts)}
     same: list[list[dict]] = [[] for _ in range(len(firsts) + 2)]  # last slot: NaN sorts above all
     for c in cuts:
-        same[slot[float(c[0])]].append({f"o{i}": v for i, v in enumerate(c)})
+        same[slot[float(c[0])]] += tuples([c])
     crowded = [len(s) > 1 for s in same]
 
     # each key is computed once per row, below the search
@@ -110,19 +129,11 @@ def with_range_bucket(
     ).transform(keyed)
     at = F.col("__slot").cast("int") + 1
     if any(crowded):
-        fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in keys.schema)
         # the literals are folded once; slots with one cut need no list
         lists = _literal([s if c else [] for s, c in zip(same, crowded, strict=True)], f"array<array<struct<{fields}>>>")
         below = _literal(list(accumulate((len(s) for s in same[:-1]), initial=0)), "array<int>")
         upto = _literal(list(accumulate(len(s) for s in same)), "array<int>")
-        own = F.element_at(lists, at)
-        steps = [1 << b for b in reversed(range(max(map(len, same)).bit_length()))]
-
-        def halve(pos: Column, step: Column) -> Column:
-            fits = pos + step <= F.size(own)
-            return F.when(fits, F.when(F.element_at(own, pos + step) <= F.col("__key"), pos + step).otherwise(pos)).otherwise(pos)
-
-        searched = F.element_at(below, at) + F.reduce(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
+        searched = F.element_at(below, at) + at_most_key(F.element_at(lists, at), max(map(len, same)))
         bucket = F.when(F.element_at(_literal(crowded, "array<boolean>"), at), searched).otherwise(F.element_at(upto, at))
     else:
         # one cut per value; rows beyond the last split (NaN) belong behind the last cut

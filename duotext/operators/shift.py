@@ -69,16 +69,12 @@ def weight_list(weights: DataFrame) -> tuple[list[int], list[float]]:
     return [r["cls"] for r in rows], [r["w"] for r in rows]
 
 
-def _literals(values: Sequence[float]) -> list[Column]:
-    return [F.lit(float(v)) for v in values]
-
-
 def apply_class_weights(
     df: DataFrame, weights: DataFrame, scores: str = "probs", out: str = "weighted"
 ) -> DataFrame:
     """Each score times the weight of its class.  The k weights are literals of the plan."""
     _, w = weight_list(weights)
-    return df.withColumn(out, F.array(*[v * F.col(scores)[i] for i, v in enumerate(_literals(w))]))
+    return df.withColumn(out, sc.weighted(F.col(scores), w, len(w)))
 
 
 def adjust_probs(
@@ -98,7 +94,7 @@ def _adjusted(scores: Column, w: Sequence[float], input: str) -> Column:
         raise ValueError("input must be 'probs', 'logits' or 'logits_raw'")
     k = len(w)
     given = sc.softmax(scores, k) if input == "logits" else scores
-    return sc.weighted_posterior(given, _literals(w), k)
+    return sc.weighted_posterior(given, w, k)
 
 
 def update_probs(

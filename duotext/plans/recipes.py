@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import cache
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+from pyspark.ml.feature import IDFModel
 from pyspark.sql import DataFrame, SparkSession
 
 from duotext.operators import pairs
 from duotext.operators.encoding import VOCAB_SIZE, build_vocab, encode_pair
-from duotext.operators.learning import embed_rows
+from duotext.operators.learning import embed_rows, fit_idf
 from duotext.operators.sampling import SEED, inject_null_context, upsample_by_factor, upsample_to_majority
-from duotext.runtime import cut_lineage
-from duotext.schema import MAX_LENGTH
+from duotext.runtime import path_exists
+from duotext.schema import MAX_LENGTH, VECTOR_SIZE
 from duotext.sources.artifacts import materialize_if_absent
 from duotext.sources.readers import read_tiered
 
@@ -38,47 +39,80 @@ def prepare_pairs(
     return inject_null_context(out, null_ratio, keys, seed)
 
 
+@dataclass(frozen=True)
+class Encoding:
+    """A stored vocabulary and inverse document frequencies; tables made with it lie in its folder."""
+
+    path: str
+    vocab: DataFrame
+    idf: IDFModel
+
+
+def fit_encoding(
+    train: DataFrame, store: str, name: str, columns: Sequence[str] = ("context", "target"),
+    vocab_size: int | None = VOCAB_SIZE, vector_size: int = VECTOR_SIZE, overwrite: bool = False,
+) -> Encoding:
+    """Vocabulary and document frequencies of a training table, to be applied to every split and tier.
+
+    A stored encoding of that name is reused.  Replacing one fails while tables made with it
+    are stored, since their ids would mean other tokens.
+    """
+    spark, path = train.sparkSession, f"{store}/{name}"
+    if overwrite and path_exists(spark, f"{path}/tables"):
+        raise ValueError(f"{path} is in use: delete the tables made with it first, or take another name")
+    materialize_if_absent(spark, f"{path}/vocab", lambda: build_vocab(train, columns, vocab_size), overwrite)
+    if overwrite or not path_exists(spark, f"{path}/idf/metadata/_SUCCESS"):
+        fit_idf(pairs.pair_text(train), size=vector_size).write().overwrite().save(f"{path}/idf")
+    return load_encoding(spark, path)
+
+
+def load_encoding(spark: SparkSession, path: str) -> Encoding:
+    """A stored encoding."""
+    return Encoding(path, spark.read.parquet(f"{path}/vocab"), IDFModel.load(f"{path}/idf"))
+
+
+def keyed_source(
+    spark: SparkSession, root: str, store: str, tier: str, split: str, file_type: str = "jsonl", overwrite: bool = False
+) -> DataFrame:
+    """The rows of one tier and split with their keys; parsed and keyed once for all recipes."""
+    def read() -> DataFrame:
+        return pairs.with_row_id(read_tiered(spark, root, [(tier, split)], file_type).drop("tier", "split"))
+
+    return materialize_if_absent(spark, f"{store}/sources/{tier}_{split}", read, overwrite)
+
+
 def prepare(
-    spark: SparkSession, root: str, store: str, tier: str, split: str, upsampling: bool = False,
-    num_label: int = 2, output_vectors: bool = True, overwrite: bool = False, file_type: str = "jsonl",
-    null_ratio: float = 0.0, seed: int = SEED, vocab: DataFrame | None = None, max_length: int = MAX_LENGTH,
-    make_predict_fn: Callable | None = None,
+    spark: SparkSession, root: str, store: str, tier: str, split: str, encoding: Encoding | None = None,
+    upsampling: bool = False, num_label: int = 2, output_vectors: bool = True, overwrite: bool = False,
+    file_type: str = "jsonl", null_ratio: float = 0.0, seed: int = SEED, max_length: int = MAX_LENGTH,
+    vocab_size: int | None = VOCAB_SIZE, make_predict_fn: Callable | None = None,
 ) -> dict[str, DataFrame]:
     """Read, prepare and encode one tier and split; store tokens and, unless told not to, vectors.
 
-    Both are reused if they are stored already.  Without ``vocab`` one is built from
-    this split and stored beside them.  The text files are parsed once: the keyed rows
-    go to the shared folder, and the passes over them read the columns they need.
+    ``encoding`` is the one fitted on the training table (``fit_encoding``).  Without it one
+    named after the split is fitted on this split, with ``vocab_size`` tokens.  Tables that
+    are stored already are reused; ``overwrite`` reads the text files again.
     """
     name = recipe_name(tier, split, upsampling, num_label, null_ratio)
     keys = ["row_id", *(["draw_no"] if upsampling else [])]
-
-    @cache
-    def source() -> DataFrame:
-        read = read_tiered(spark, root, [(tier, split)], file_type).drop("tier", "split")
-        return cut_lineage(pairs.with_row_id(read), name)
-
-    def words() -> DataFrame:
-        if vocab is not None:
-            return vocab
-        return materialize_if_absent(
-            spark, f"{store}/{tier}_{split}_vocab",
-            lambda: build_vocab(source(), ["context", "target"], VOCAB_SIZE), overwrite,
-        )
+    source = keyed_source(spark, root, store, tier, split, file_type, overwrite)
+    if encoding is None:
+        encoding = fit_encoding(source, store, f"{tier}_{split}", vocab_size=vocab_size)
+    tables = f"{encoding.path}/tables/{name}"
 
     def tokens() -> DataFrame:
-        ready = prepare_pairs(source(), upsampling, num_label, null_ratio, seed)
-        return encode_pair(ready, words(), key=keys, max_length=max_length)
+        ready = prepare_pairs(source, upsampling, num_label, null_ratio, seed)
+        return encode_pair(ready, encoding.vocab, key=keys, max_length=max_length)
 
-    out = {"tokens": materialize_if_absent(spark, f"{store}/{name}_tokens", tokens, overwrite)}
+    out = {"tokens": materialize_if_absent(spark, f"{tables}_tokens", tokens, overwrite)}
     if output_vectors:
         def vectors() -> DataFrame:
             shape = [[max_length], [max_length]]
             given = out["tokens"] if make_predict_fn else pairs.pair_text(out["tokens"])
-            made = embed_rows(given, make_predict_fn=make_predict_fn, shapes=shape)
+            made = embed_rows(given, make_predict_fn=make_predict_fn, shapes=shape, idf=encoding.idf)
             return made.select(*keys, "hidden_state", "label")
 
-        out["hidden"] = materialize_if_absent(spark, f"{store}/{name}_hidden", vectors, overwrite)
+        out["hidden"] = materialize_if_absent(spark, f"{tables}_hidden", vectors, overwrite)
     return out
 
 

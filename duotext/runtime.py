@@ -40,9 +40,16 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _delete_on_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate tables go when the session ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Does ``path`` exist on its (Hadoop) file system?"""
     jvm = spark.sparkContext._jvm

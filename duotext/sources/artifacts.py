@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duotext.runtime import path_exists
 
@@ -53,7 +54,11 @@ def read_recipe(spark: SparkSession, root: str, **recipe: object) -> DataFrame:
     unknown = set(recipe) - set(RECIPE_COLUMNS)
     if unknown:
         raise ValueError(f"unknown recipe columns: {sorted(unknown)}")
-    df = spark.read.parquet(root)
+    # partition values keep their types: a tier called 1 stays a text
+    stored = spark.read.option("inferSchema", False).parquet(root)
+    kinds = {"tier": "string", "split": "string", "num_label": "int", "upsampled": "boolean", "null_ratio": "double"}
+    schema = T.StructType([T.StructField(f.name, T._parse_datatype_string(kinds[f.name]) if f.name in kinds else f.dataType) for f in stored.schema])
+    df = spark.read.schema(schema).parquet(root)
     for column, value in recipe.items():
         df = df.where(F.col(column) == F.lit(value))
     return df

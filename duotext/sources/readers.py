@@ -17,11 +17,12 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    # fields may hold quotes, doubled inside quotes, and line breaks
+def _csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    # fields may hold quotes, doubled inside quotes, and (multi_line: one task per file) line breaks;
+    # without multi_line files are split by line, and a row broken by a line break fails the query
     return (
         spark.read.schema(schema)
-        .option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+        .option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
         .option("mode", "FAILFAST").option("enforceSchema", False)  # header must match
         .csv(path)
     )
@@ -29,22 +30,24 @@ def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def read_annotated_csv(
     spark: SparkSession, path: str, columns: Sequence[str], usecols: Sequence[str],
-    renames: Mapping[str, str] | None = None,
+    renames: Mapping[str, str] | None = None, multi_line: bool = True,
 ) -> DataFrame:
     """Some columns of a CSV file with a header, renamed.
 
+    ``multi_line=False`` reads large files in parallel; no field may hold a line break then.
+
     ``columns`` are all columns of the file in order, ``usecols`` those to keep;
     the others are not parsed.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return _csv(spark, path, schema).select(*usecols).withColumnsRenamed(dict(renames or {}))
+    return _csv(spark, path, schema, multi_line).select(*usecols).withColumnsRenamed(dict(renames or {}))
 
 
 def read_csv_splits(
-    spark: SparkSession, files: Mapping[str, str], schema: T.StructType = STANCE_SCHEMA
+    spark: SparkSession, files: Mapping[str, str], schema: T.StructType = STANCE_SCHEMA, multi_line: bool = True
 ) -> DataFrame:
     """One CSV file per split into one table with a ``split`` column."""
-    parts = [_csv(spark, path, schema).withColumn("split", F.lit(split)) for split, path in files.items()]
+    parts = [_csv(spark, path, schema, multi_line).withColumn("split", F.lit(split)) for split, path in files.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

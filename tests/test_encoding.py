@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from duotext.functions import truncated_lengths
 from duotext.operators import encoding as en
 
+INLINE = {"inline": None, "join": 2}  # tokens looked up in the plan
 TEXTS = [
     (1, "The cat  sat", "the dog sat on the mat"), (2, "", "cat"), (3, None, None), (4, "new\twords\nhere", "  the  "),
     (5, "a b c d e f g h i j", "the cat the cat the cat the cat"), (6, "quote \" and \\ slash", "naïve Übung 日本 語"),
@@ -52,7 +53,7 @@ def drop_longest(a, b, budget):
 @pytest.mark.parametrize("method", ["inline", "join"])
 @pytest.mark.parametrize("length", [9, 12, 64])
 def test_encode_pair(texts, vocab, ids, method, length):
-    out = {r["row_id"]: r for r in en.encode_pair(texts, vocab, max_length=length, method=method).collect()}
+    out = {r["row_id"]: r for r in en.encode_pair(texts, vocab, max_length=length, inline=INLINE[method]).collect()}
     for row_id, target, context in TEXTS:
         a, b = drop_longest([ids.get(w, 3) for w in words(target)], [ids.get(w, 3) for w in words(context)], length - 4)
         real = [0, *a, 2, 2, *b, 2]
@@ -64,20 +65,32 @@ def test_encode_pair(texts, vocab, ids, method, length):
 @pytest.mark.parametrize("pad", ["max_length", "longest"])
 def test_encode_text(texts, vocab, ids, method, pad):
     df = texts.select("row_id", F.col("context").alias("text"))
-    out = {r["row_id"]: r["input_ids"] for r in en.encode_text(df, vocab, max_length=7, pad=pad, method=method).collect()}
+    out = {r["row_id"]: r["input_ids"] for r in en.encode_text(df, vocab, max_length=7, pad=pad, inline=INLINE[method]).collect()}
     real = {i: [0, *[ids.get(w, 3) for w in words(t)][:5], 2] for i, _, t in TEXTS}
     length = 7 if pad == "max_length" else max(map(len, real.values()))
     assert out == {i: v + [1] * (length - len(v)) for i, v in real.items()}
 
 
-def test_large_vocabulary_falls_back_to_the_join(texts, vocab, monkeypatch):
+def test_large_vocabulary_joins_what_the_plan_misses(texts, vocab):
     small = en.encode_pair(texts, vocab, max_length=16).collect()
-    monkeypatch.setattr(en, "INLINE_VOCAB", 3)
-    joined = en.encode_pair(texts, vocab, max_length=16)
-    assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+    joined = en.encode_pair(texts, vocab, max_length=16, inline=3)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    # tokens in the plan are never shuffled: what is exploded is the distinct misses of a row
+    assert "Join" in plan and "array_distinct(filter(" in plan and "salt" not in plan
     assert sorted(joined.select(*small[0].__fields__).collect()) == sorted(small)
-    with pytest.raises(ValueError):
-        en.encode_pair(texts, vocab, method="inline")
+
+
+def test_whole_vocabulary(spark):
+    rows = [(" ".join(f"w{i % n}" for i in range(500)),) for n in (3, 50, 400)]
+    df = spark.createDataFrame(rows, "text string")
+    whole, top = en.build_vocab(df, "text", None), en.build_vocab(df, "text", 400)
+    assert sorted(whole.collect()) == sorted(top.collect())
+
+
+def test_unknown_share(spark):
+    df = spark.createDataFrame([([0, 3, 4, 5, 3, 2, 1, 1],), ([0, 2, 1],)], "input_ids array<int>")
+    assert en.unknown_share(df).first()[0] == 0.5
+    assert en.unknown_share(df.limit(0)).first()[0] == 0.0
 
 
 def test_inline_encoding_is_a_map(texts, vocab):

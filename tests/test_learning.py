@@ -47,7 +47,7 @@ def test_linear_probe_is_the_regularised_optimum(spark):
 def test_two_phases_weigh_rows_by_exposure(spark):
     x, y, df = points(spark)
     gold, silver = df.where("row_id % 2 = 0"), df.where("row_id % 2 = 1")
-    model = ln.two_phase_fit(gold, silver, max_iter=500)
+    model = ln.two_phase_fit(gold, silver)
     b = newton(x, y, np.where(np.arange(len(y)) % 2 == 0, 9.0, 2.0))
     # two-class multinomial weights are a pair of opposite vectors, each penalised: compare decisions
     p = np.array([r["probs"][1] for r in ln.predict_proba(model, df).orderBy("row_id").collect()])
@@ -61,7 +61,7 @@ def test_models_learn_the_vectors(features):
         return out.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
 
     assert accuracy(ln.fit_linear_probe(features)) > 0.6
-    assert accuracy(ln.fit_mlp_head(features, [64, 16, 2], max_iter=30)) > 0.6
+    assert accuracy(ln.fit_mlp_head(features, [64, 16, 2])) > 0.6
     assert accuracy(ln.transfer_fit(features, features, "stance", "label")) > 0.6
 
 
@@ -106,6 +106,29 @@ def test_step_stops_below_fifty(spark, sure, converged):
     assert grown.where("origin = 'pseudo' and label <> 1").count() == 0
 
 
+def test_slopes_vanish_at_the_optimum_only(spark):
+    _, _, df = points(spark)
+    model = ln.fit_linear_probe(df)
+    slopes = {r["pos"]: r["slope"] for r in ln.loss_slopes(model, df, 1 / 60).collect()}
+    assert set(slopes) == {-1, 0, 1} and max(map(abs, slopes.values())) < 1e-4
+    assert max(abs(r["slope"]) for r in ln.loss_slopes(model, df.where("row_id < 40"), 1 / 40).collect()) > 1e-3
+
+
+def test_a_fit_that_is_cut_off_fails(spark):
+    _, _, df = points(spark)
+    with pytest.raises(RuntimeError, match="not converged"):
+        ln.fit_linear_probe(df, max_iter=1)
+
+
+def test_loop_runs_until_it_has_converged(spark, features):
+    df = features.drop("stance")
+    train, pool = df.where("row_id % 2 = 0"), df.where("row_id % 2 = 1").drop("label")
+    *_, history = ln.self_train(train, pool, threshold=0.6)
+    assert history[-1]["converged"] and not any(h["converged"] for h in history[:-1])
+    *_, cut = ln.self_train(train, pool, threshold=0.6, max_rounds=1, min_moved=1)
+    assert not cut[-1]["converged"]
+
+
 def test_loop_keeps_every_row(spark, features):
     df = features.drop("stance")
     train, pool = df.where("row_id % 2 = 0"), df.where("row_id % 2 = 1").drop("label")

@@ -63,9 +63,13 @@ def test_longs_beyond_double_precision(spark):
     assert all(r["position"] == r["k"] - big for r in out.collect())
 
 
-def test_text_order_is_refused(spark):
-    with pytest.raises(TypeError):
-        od.global_index(spark.createDataFrame([("a",)], "s string"), "s")
+@pytest.mark.parametrize("bucket_rows", [5, 50, 10_000])
+def test_text_order(spark, bucket_rows):
+    texts = [f"{'a' if i % 3 else ''}{i % 7}\u00e9\U0001f600\"{i % 400}" for i in range(1200)] + ["", "\uffff", "z\\"] * 3
+    rows = [(t, i) for i, t in enumerate(texts)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "s string, id int").repartition(6)
+    found = [(r["s"], r["id"]) for r in od.global_index(df, ["s", "id"], bucket_rows=bucket_rows).orderBy("position").collect()]
+    assert found == sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
 
 
 @pytest.mark.parametrize("parts", [1, 17])

@@ -34,12 +34,22 @@ def test_row_operators_do_not_shuffle(spark, sf_dir, steps):
         assert "Exchange" not in plan(df) and "Python" not in plan(df)
 
 
-def test_scores_stay_in_generated_code(spark, sf_dir):
-    scored = frames.scored(spark, sf_dir)
-    w = shift.shift_weights(*frames.halves(scored))
-    text = shift.update_probs(scored, w)._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
-    assert "Found 1 WholeStageCodegen subtrees" in text
+def test_score_plans_do_not_grow_with_the_classes(spark):
+    k = 1_000
+    rows = spark.range(10).select("id", F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (i * 7 % 13).cast("double")).alias("probs"))
+    weights = spark.range(k).select(F.col("id").cast("int").alias("cls"), F.lit(2.0).alias("w"))
+    out = shift.update_probs(rows, weights, input="logits")
+    text = plan(out)
+    assert text.count("exp(") <= 4
+    assert all(sum(r["new_probs"]) == pytest.approx(1) for r in out.collect())
+
+
+def test_too_many_classes_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "MAX_CLASSES", 2)
+    few, many = (spark.range(30).select((F.col("id") % n).alias("y_true"), (F.col("id") % (n + 1)).alias("y_pred")) for n in (1, 5))
+    assert metrics.confusion_counts(few).count() == 4
+    with pytest.raises(Exception, match="more than 2 classes"):
+        metrics.confusion_counts(many).collect()
 
 
 def test_columns_and_filters_reach_the_scan(spark, sf_dir):
@@ -72,7 +82,7 @@ def test_no_cross_joins(spark, sf_dir):
         assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_streams_pass_through(spark, sf_dir, tmp_path):
+def test_streams_pass_through(spark, sf_dir, tmp_path, monkeypatch):
     rows = [("a b", f"c {i}", str(i % 3)) for i in range(20)]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.json").write_text("\n".join(json.dumps(dict(zip(("context", "target", "label"), r))) for r in rows))
@@ -86,7 +96,10 @@ def test_streams_pass_through(spark, sf_dir, tmp_path):
         out = out.withColumn("probs", F.array(F.lit(0.5), F.lit(0.5)))
         return sg.random_split(sg.update_probs(out, weights), "target").drop("context")
 
+    # the size of the vocabulary makes no difference to a stream
+    monkeypatch.setattr(encoding, "INLINE_VOCAB", 1)
     query = (chain(source).writeStream.format("memory").queryName("passed").outputMode("append")
              .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     query.awaitTermination(120)
+    monkeypatch.undo()
     assert sorted(map(str, spark.table("passed").collect())) == sorted(map(str, chain(fixed).collect()))

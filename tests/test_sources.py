@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from duotext import runtime, schema
+from duotext.operators import learning, pairs
 from duotext.plans import recipes
 from duotext.sources import artifacts, readers
 
@@ -126,9 +127,8 @@ def test_prepare(spark, tmp_path):
     out = recipes.prepare(spark, root, store, "gold", "train", upsampling=True, null_ratio=0.25, max_length=16)
     n0 = sum(r[2] != "2" for r in rows)
     tokens = out["tokens"]
-    assert sorted(os.listdir(store)) == [
+    assert sorted(os.listdir(f"{store}/gold_train/tables")) == [
         "gold_null_context_upsample_2-label_train_hidden", "gold_null_context_upsample_2-label_train_tokens",
-        "gold_train_vocab",
     ]
     assert tokens.count() == 2 * n0 == out["hidden"].count()
     assert tokens.where("context = ''").count() == int(0.25 * 2 * n0)
@@ -148,6 +148,48 @@ def test_prepare_reuses_and_overwrites(spark, tmp_path):
     assert run(overwrite=True).count() == 4
 
 
+def test_one_encoding_for_all_splits(spark, tmp_path):
+    root, store, rows = corpus(tmp_path)
+    jsonl(f"{root}/gold/val.jsonl", [("context 1", "target unseen 3", "0"), ("context 2", "number 3", "2")])
+    encoding = recipes.fit_encoding(recipes.keyed_source(spark, root, store, "gold", "train"), store, "words")
+    made = {s: recipes.prepare(spark, root, store, "gold", s, encoding, max_length=16) for s in ("train", "val")}
+    ids = {r["token"]: r["id"] for r in encoding.vocab.collect()}
+    first = {r["target"]: r["input_ids"] for r in made["val"]["tokens"].collect()}
+    assert first["target unseen 3"][1:4] == [ids["target"], 3, ids["3"]] and first["number 3"][1:3] == [ids["number"], ids["3"]]
+    # the vectors of both splits are weighed by the training rows: a text gives the same vector wherever it is
+    text = spark.createDataFrame([("context 1", "target unseen 3")], "context string, target string")
+    alone = learning.embed_rows(pairs.pair_text(text), idf=encoding.idf).first()["hidden_state"]
+    assert alone in [r["hidden_state"] for r in made["val"]["hidden"].collect()]
+    with pytest.raises(ValueError, match="in use"):
+        recipes.fit_encoding(text, store, "words", overwrite=True)
+    assert recipes.load_encoding(spark, f"{store}/words").vocab.count() == len(ids)
+
+
+def test_recipes_share_one_keyed_source(spark, tmp_path):
+    root, store, rows = corpus(tmp_path)
+    source = recipes.keyed_source(spark, root, store, "gold", "train")
+    os.unlink(f"{root}/gold/train.jsonl")
+    for n in (2, 3):
+        made = recipes.prepare(spark, root, store, "gold", "train", num_label=n, output_vectors=False, max_length=16)
+        assert made["tokens"].count() == source.count() == len(rows)
+
+
+def test_csv_lines_can_be_split(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('all_text,label\n"a, ""b""",1\nc,0\n')
+    read = readers.read_csv_splits(spark, {"train": str(tmp_path / "x.csv")}, multi_line=False)
+    assert sorted((r["all_text"], r["label"]) for r in read.collect()) == [('a, "b"', 1), ("c", 0)]
+    (tmp_path / "y.csv").write_text('all_text,label\n"a\nb",1\n')
+    with pytest.raises(Exception):
+        readers.read_csv_splits(spark, {"train": str(tmp_path / "y.csv")}, multi_line=False).collect()
+    assert readers.read_csv_splits(spark, {"train": str(tmp_path / "y.csv")}).first()["all_text"] == "a\nb"
+
+
+def test_recipe_values_keep_their_types(spark, tmp_path):
+    artifacts.write_recipe(spark.range(2), f"{tmp_path}/s", "1", "train", upsampled=True)
+    row = artifacts.read_recipe(spark, f"{tmp_path}/s", tier="1", upsampled=True).first()
+    assert (row["tier"], row["upsampled"], row["num_label"], row["null_ratio"]) == ("1", True, 2, 0.0)
+
+
 def test_prepare_with_a_model(spark, tmp_path):
     root, store, rows = corpus(tmp_path)
 
