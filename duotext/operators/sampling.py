@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from duotext.functions.hashing import as_list, hash_int, hash_key
 from duotext.operators.copies import COPIES_PER_TASK, spread_copies
 from duotext.operators.ordering import BUCKET_ROWS, exact_k_condition, global_index, hash_index
+from duotext.runtime import cut_lineage
 
 SEED = 123  # fixed value: seed of the resampling steps
 DRAWS_PER_TASK = 1_000_000
@@ -52,8 +53,11 @@ def _with_draws(
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     hits = numbered.join(drawn, "__at").select(*key, "__n")
+    may_be_hot = draws / pool > COPIES_PER_TASK / 4
+    if may_be_hot:  # rows with few and with many copies are joined apart, to counts that are stored
+        hits = cut_lineage(hits, "draws")
     hit = rows.join(hits, list(key)).select(*df.columns, "__n")
-    copies = spread_copies(hit, "__n", "draw_no", may_be_hot=draws / pool > COPIES_PER_TASK / 4)
+    copies = spread_copies(hit, "__n", "draw_no", may_be_hot)
     kept = df.where(F.col(label) == majority).withColumn("draw_no", F.lit(-1).cast("bigint"))
     return kept.unionByName(copies)
 
@@ -87,9 +91,14 @@ def upsample_by_factor(
 
 
 def poisson_copies(rate: float, digest: Column) -> Column:
-    """Poisson(rate) count of a row by inverting the distribution at its hash."""
+    """Poisson(rate) count of a row by inverting the distribution at its hash.
+
+    A high rate is a sum of counts at lower rates, each at a hash of its own.
+    """
     if rate > MAX_POISSON_RATE:
-        raise ValueError(f"a rate of {rate} is too high for Poisson copies; use mode='exact'")
+        parts = math.ceil(rate / MAX_POISSON_RATE)
+        own = F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda i: F.md5(F.concat(digest, F.lit(":"), i.cast("string"))))
+        return F.aggregate(own, F.lit(0), lambda total, d: total + poisson_copies(rate / parts, d))
     top = math.ceil(rate + 12 * math.sqrt(rate) + 24)
     mass = [math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) if rate > 0 else float(i == 0)
             for i in range(top)]
@@ -127,12 +136,16 @@ def upsample_poisson(
 
 
 def inject_null_context(
-    df: DataFrame, ratio: float, key: str | Sequence[str], seed: int = SEED, context: str = "context"
+    df: DataFrame, ratio: float, key: str | Sequence[str], seed: int = SEED, context: str = "context",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Blank the context (to the empty text) of exactly ``int(ratio * n)`` rows."""
+    """Blank the context (to the empty text) of exactly ``int(ratio * n)`` rows.
+
+    ``keys``, a table of the keys of ``df``, spares the passes over an expensive ``df``.
+    """
     if ratio == 0.0:
         return df
-    chosen = exact_k_condition(df, lambda n: int(ratio * n), key, seed)
+    chosen = exact_k_condition(df if keys is None else keys, lambda n: int(ratio * n), key, seed)
     return df.withColumn(context, F.when(chosen, "").otherwise(F.col(context)))
 
 

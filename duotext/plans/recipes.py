@@ -12,7 +12,7 @@ from duotext.operators import pairs
 from duotext.operators.encoding import VOCAB_SIZE, build_vocab, encode_pair
 from duotext.operators.learning import embed_rows, fit_idf
 from duotext.operators.sampling import SEED, inject_null_context, upsample_by_factor, upsample_to_majority
-from duotext.runtime import path_exists
+from duotext.runtime import cut_lineage, path_exists
 from duotext.schema import MAX_LENGTH, VECTOR_SIZE
 from duotext.sources.artifacts import materialize_if_absent
 from duotext.sources.readers import read_tiered
@@ -32,11 +32,13 @@ def prepare_pairs(
     if num_label not in (2, 3):
         raise ValueError("num_label must be 2 or 3")
     out = pairs.binarize_01(df) if num_label == 2 else pairs.label_to_int(df)
-    keys = [key]
-    if upsampling:
-        out = upsample_to_majority(out, "label", key, seed)
-        keys.append("draw_no")
-    return inject_null_context(out, null_ratio, keys, seed)
+    if not upsampling:
+        return inject_null_context(out, null_ratio, [key], seed)
+    out = upsample_to_majority(out, "label", key, seed)
+    keys = [key, "draw_no"]
+    # the draws are joined to whole rows once: the rows to blank are chosen on stored keys
+    known = cut_lineage(out.select(*keys), "drawn-keys") if null_ratio else None
+    return inject_null_context(out, null_ratio, keys, seed, keys=known)
 
 
 @dataclass(frozen=True)
