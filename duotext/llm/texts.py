@@ -7,13 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts are handed to Python functions in groups of about this many bytes (or one text).
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +74,14 @@ def training_row(doc_id: F.Column, remainder: int) -> F.Column:
 
 def groups(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch of bounded bytes, each with its texts as UTF-8 (NULL: empty)."""
-    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or b"")
-        if size >= GROUP_BYTES or i == len(texts) - 1:
-            yield batch.slice(start, i + 1 - start), [t or b"" for t in texts[start:i + 1]]
-            start, size = i + 1, 0
+    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, done + GROUP_BYTES, "right")))
+        yield batch.slice(start, end - start), [t or b"" for t in texts.slice(start, end - start).to_pylist()]
+        start = end
 
 
 def map_texts(
