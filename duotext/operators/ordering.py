@@ -58,6 +58,8 @@ def _sortable(df: DataFrame, name: str) -> Column:
         return col.cast("bigint")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return col.cast("double")
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return (col.cast(f"decimal(37,{kind.scale})") * F.lit(10**kind.scale)).cast("bigint")
     if isinstance(kind, T.StringType):
         return col
     raise TypeError(f"cannot order by {name}: {kind.simpleString()}")

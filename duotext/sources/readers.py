@@ -53,7 +53,7 @@ def read_csv_splits(
 
 def read_tiered(
     spark: SparkSession, root: str, pairs: Iterable[tuple[str, str]] = TIER_SPLITS, file_type: str = "jsonl",
-    schema: T.StructType = PAIR_SCHEMA,
+    schema: T.StructType = PAIR_SCHEMA, multi_line: bool = True,
 ) -> DataFrame:
     """``<root>/<tier>/<split>.<type>`` files as one table with ``tier`` and ``split``.
 
@@ -61,9 +61,11 @@ def read_tiered(
     """
     if file_type not in ("jsonl", "csv"):
         raise ValueError("file_type must be 'jsonl' or 'csv'")
-    read = read_jsonl if file_type == "jsonl" else _csv
+    def read(path: str) -> DataFrame:
+        return read_jsonl(spark, path, schema) if file_type == "jsonl" else _csv(spark, path, schema, multi_line)
+
     parts = [
-        read(spark, f"{root}/{tier}/{split}.{file_type}", schema)
+        read(f"{root}/{tier}/{split}.{file_type}")
         .withColumn("tier", F.lit(tier)).withColumn("split", F.lit(split))
         for tier, split in pairs
     ]

@@ -63,6 +63,13 @@ def test_longs_beyond_double_precision(spark):
     assert all(r["position"] == r["k"] - big for r in out.collect())
 
 
+@pytest.mark.parametrize("kind", ["decimal(18,4)", "decimal(5,0)"])
+def test_decimal_order(spark, kind):
+    df = spark.range(1500).select("id", ((F.col("id") * 37 % 1500 - 700) / (1 if kind.endswith("0)") else 16)).cast(kind).alias("k"))
+    found = [r["id"] for r in od.global_index(df, ["k", "id"], bucket_rows=SMALL).orderBy("position").collect()]
+    assert found == [r["id"] for r in sorted(df.collect(), key=lambda r: (r["k"], r["id"]))]
+
+
 @pytest.mark.parametrize("bucket_rows", [5, 50, 10_000])
 def test_text_order(spark, bucket_rows):
     texts = [f"{'a' if i % 3 else ''}{i % 7}\u00e9\U0001f600\"{i % 400}" for i in range(1200)] + ["", "\uffff", "z\\"] * 3
