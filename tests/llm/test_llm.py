@@ -225,13 +225,25 @@ def test_class_shares_add_up_and_steps_raise_the_likelihood():
     start = np.zeros((maxent._ROWS[-1], maxent.CLASSES), np.float32)
     learner, likelihood = maxent.Learner(start), []
     for _ in range(5):
-        shares = maxent.log_shares(learner.weights, rows, slice(None))
-        assert np.allclose(np.exp(shares).sum(1), 1, atol=1e-5)
-        likelihood.append(float(shares[np.arange(len(classes)), classes].sum()))
+        shares = maxent.class_shares(learner.weights, rows, slice(None))
+        assert np.allclose(shares.sum(1), 1, atol=1e-5)
+        own = maxent.log_shares(learner.weights, rows, classes)
+        assert np.allclose(own, np.log(shares[np.arange(len(classes)), classes]), atol=1e-4)
+        likelihood.append(float(own.sum()))
         learner.step(rows, classes)
     assert likelihood == sorted(likelihood) and likelihood[0] < likelihood[-1]
 
 
+def test_changes_of_many_tasks_are_averaged(spark, monkeypatch):
+    import numpy as np
+
+    texts = frame(spark, [(i, f"a b{i % 3} c", "s") for i in range(40)]).repartition(9)
+    start = np.zeros((maxent._ROWS[-1], maxent.CLASSES), np.float32)
+    flat = maxent._round(texts, start)
+    monkeypatch.setattr(maxent, "_FAN", 2)
+    assert np.abs(flat).max() > 0 and np.allclose(flat, maxent._round(texts, start), atol=1e-6)
+
+
 def test_contexts_stay_inside_their_text():
     alone, together = maxent.Reader(), maxent.Reader()
     texts = [b"x y z w", b"", b"Y Z", b"x y"]
