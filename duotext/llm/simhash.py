@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duotext.llm import similar
 from duotext.llm.components import components
 from duotext.llm.texts import map_texts, stored
 
@@ -110,16 +111,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     )
 
 
-def deduplicate(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """One document of each component, with the columns of ``docs``: that of the smallest doc_id.
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies, with the columns of ``docs``: that of the smallest doc_id.
+
+    Near copies: the sets of word shingles have a Jaccard similarity of at least ``similarity``
+    (verified, see ``similar``), and what links of such pairs reach is one group.  A 64-bit SimHash can't
+    choose the pairs: at 0.8 they differ in some 10 bits, for which blocks are no longer selective.
 
     Rows without id go by their text and lose against any row with one; of rows that repeat
     an id one stays.
     """
     nameless = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit(""))))
     keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), nameless.alias("c")))
-    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), shingle, distance)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("__key")).distinct()
+    found = similar.sets(keyed.select("__key", "text"), shingle, similarity, ("__key",))
+    roots = similar.links(found, similarity).withColumnRenamed("node", "node_")
+    nodes = found.groupBy("node").agg(F.min("__key").alias("least")).join(roots, F.col("node") == F.col("node_"), "left")
+    first = stored(nodes.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("__key")).select("__key"))
     kept = keyed.join(first, "__key", "left_semi")
     turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
     return kept.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)
