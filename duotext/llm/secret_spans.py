@@ -27,8 +27,15 @@ IDENTIFIERS = (
     "January February March April May June July August September October November December 2020-01-01T00:00:00Z"
 )
 _WORD = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: A candidate begins within so many characters behind a sensitive word; so much text around it primes the compressor.
+#: A candidate lies within so many characters of a sensitive word or of a span found; so much text around it primes the compressor.
 _REACH, _AROUND = 64, 256
+#: The body of a private key: up to its last line or, where that is missing, while lines (or escaped ones) are base64.
+_KEY = re.compile(
+    r"-----BEGIN (?P<name>[A-Z0-9 ]*PRIVATE KEY[A-Z ]*)-----"
+    r"(?:(?P<closed>(?:(?!-----BEGIN )[\s\S])*?)-----END (?P=name)-----"
+    r"|(?P<open>(?:(?:\s|\\[nrt])*[A-Za-z0-9+/=]{16,}(?![^\s\\\"'<]))+(?:(?:\s|\\[nrt])*[A-Za-z0-9+/]+={1,2})?))", re.A)
+#: A JSON Web Token with all its parts, the last of which may be empty.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*){2,4}", re.A)
 
 
 class Scanner:
@@ -44,29 +51,63 @@ class Scanner:
         base = around.encode()
         return (len(self.compress(base + candidate.encode())) - len(self.compress(base))) / len(candidate)
 
+    def known(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """What of private keys and web tokens lies outside ``taken``."""
+        whole = [m.span(m.lastgroup) for m in _KEY.finditer(text) if _WORD.search(m[m.lastgroup])] if "PRIVATE KEY" in text else []
+        whole += [m.span() for m in _JWT.finditer(text)] if "eyJ" in text else []
+        out = []
+        for at, end in whole:
+            inside = sorted((s, e) for s, e, _ in taken + out if s < end and at < e)
+            for s, e in [*inside, (end, end)]:
+                if at < s and not text[at:s].isspace():
+                    out.append((at, s, "novel"))
+                at = max(at, e)
+        return out
+
     def novel(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        found: dict[int, tuple[int, int, str]] = {}
-        for hint in _CONTEXT.finditer(text):
-            limit = hint.end() + _REACH
-            for word in _WORD.finditer(text, hint.end()):
-                start, end = word.span()
-                if start > limit:
-                    break
-                value = word[0]
-                mixed = sum((any(map(str.isdigit, value)), any(map(str.isupper, value)), any(map(str.islower, value))))
-                if start in found or mixed < 2 or value.istitle() or any(s < end and start < e for s, e, _ in taken):
-                    continue
-                around = text[max(0, start - _AROUND):start] + text[end:end + _AROUND]
-                if self.marginal(around, value) >= self.novelty:
-                    found[start] = (start, end, "novel")
-        return list(found.values())
+        """Novel strings within reach, on either side, of a sensitive word, a span of ``taken`` or another novel string."""
+        hints = [m.span() for m in _CONTEXT.finditer(text)]
+        near = sorted(hints + [(s, e) for s, e, _ in taken])
+        if not near:
+            return []
+        words = {m.span() for m in _WORD.finditer(text)}
+        words |= {m.span() for _, end in hints if (m := _WORD.match(text, end))}  # behind a sensitive word that it is joined to
+        spans = sorted(w for w in words if self._mixed(text[slice(*w)]) and not any(s < w[1] and w[0] < e for s, e, _ in taken))
+        waiting, at, edge = [], 0, -_REACH - 1
+        for i, (start, end) in enumerate(spans):
+            while at < len(near) and near[at][0] < start:
+                edge, at = max(edge, near[at][1]), at + 1
+            if start - edge <= _REACH or at < len(near) and near[at][0] - end <= _REACH:
+                waiting.append(i)
+        seen, found = set(waiting), []
+        while waiting:
+            i = waiting.pop()
+            start, end = spans[i]
+            around = text[max(0, start - _AROUND):start] + text[end:end + _AROUND]
+            if self.marginal(around, text[start:end]) < self.novelty:
+                continue
+            found.append((start, end, "novel"))
+            for side in (range(i + 1, len(spans)), range(i - 1, -1, -1)):
+                for k in side:
+                    if max(spans[k][0] - end, start - spans[k][1]) > _REACH:
+                        break
+                    if k not in seen:
+                        seen.add(k)
+                        waiting.append(k)
+        return found
+
+    @staticmethod
+    def _mixed(value: str) -> bool:
+        kinds = sum((any(map(str.isdigit, value)), any(map(str.isupper, value)), any(map(str.islower, value))))
+        return kinds >= 2 and not value.istitle()
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) in code points, by start and then kind; the base kinds are leftmost non-overlapping per kind."""
         base = [(*m.span(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
         base += [(*m.span(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
         base += [(*m.span(), "hex") for m in _HEX.finditer(text)]
-        return sorted(base + self.novel(text, base), key=lambda s: (s[0], KINDS.index(s[2])))
+        fixed = base + self.known(text, base)
+        return sorted(fixed + self.novel(text, fixed), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def _shown(spans: list[tuple[int, int, str]]) -> str:
@@ -77,7 +118,8 @@ def scan(docs: DataFrame, novelty: float = 0.7, keep: tuple[str, ...] = ("doc_id
     """``keep``, n_assign, n_access, n_hex BIGINT, base_sha256 and spans STRING.
 
     spans lists kind:start:end of all spans; base_sha256 is the SHA-256 of the list of
-    those of the three fixed forms.  ``novel`` spans are strings behind a sensitive word
+    those of the three fixed forms.  ``novel`` spans are the bodies of private keys, web tokens, and strings within
+    64 characters of a sensitive word or of another span, on either side,
     whose marginal zstandard size, primed with the text around and with everyday
     identifiers, stays near their length.  They never overlap a fixed form.
     """
