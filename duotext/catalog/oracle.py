@@ -448,6 +448,7 @@ agree AS (SELECT *, (tp + tn) / n AS po, ((tp + fn) * (tp + fp) + (tn + fp) * (t
     # learning: properties that hold for the right model and no other, or for any model, over unseen rows
     "fit_linear_probe": _slopes([1], 64),
     "two_phase_fit": _slopes([0, 1, 2], 64),
+    "two_phase_fit_held_out": "SELECT vec_id AS row_id, CAST(label % 3 AS INTEGER) AS label, CAST(3 AS INTEGER) AS k, 1.0::DOUBLE AS total, true AS best FROM embeddings WHERE vec_id % 3 = 2",
     "transfer_fit": _slopes([1], 67),
     "transfer_fit_held_out": _unseen("vec_id % 3 = 2"),
     "fit_mlp_head": _unseen("vec_id % 2 = 1"),

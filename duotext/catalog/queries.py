@@ -717,7 +717,8 @@ def _held_out(model: object, test: DataFrame, k: int, label: str = "label") -> D
 
 @query
 def fit_linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = fr.halves(_features(spark, sf_dir))
+    """Fitted on all rows; ``predict`` and ``predict_proba`` score unseen ones."""
+    train = _features(spark, sf_dir)
     return _slopes(learning.fit_linear_probe(train), train, train.count())
 
 
@@ -787,16 +788,24 @@ def self_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def two_phase_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on all rows, a third of them gold and the rest silver."""
     df = _features(spark, sf_dir)
-    gold, silver = df.where(F.col("row_id") % 3 == 0), df.where(F.col("row_id") % 3 == 1)
+    gold, silver = df.where(F.col("row_id") % 3 == 0), df.where(F.col("row_id") % 3 != 0)
     weighed = gold.withColumn("times", F.lit(9)).unionByName(silver.withColumn("times", F.lit(2)))
     weight = weighed.agg(F.sum("times")).first()[0]
     return _slopes(learning.two_phase_fit(gold, silver, label="stance"), weighed, weight, label="stance", weight="times")
 
 
+@query
+def two_phase_fit_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, silver, test = _thirds(_features(spark, sf_dir))
+    return _held_out(learning.two_phase_fit(gold, silver, label="stance"), test, 3, label="stance")
+
+
 @query
 def transfer_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, target, _ = _thirds(_features(spark, sf_dir))
+    """Fitted on all rows, half of them for the source task and half for the target task."""
+    source, target = fr.halves(_features(spark, sf_dir))
     model = learning.transfer_fit(source, target, "stance", "label")
     first, stack, second = model.stages
     stacked = stack.transform(first.transform(target)).select("row_id", "label", "stacked")

@@ -145,3 +145,20 @@ def test_loop_stops_on_an_empty_pool(spark, features):
     _, grown, rest, history = ln.self_train(df, df.drop("label"), threshold=0.0, min_moved=1)
     assert len(history) == 1 and history[0]["left"] == 0 and rest.count() == 0
     assert grown.count() == 2 * df.count()
+
+
+@pytest.mark.parametrize("name", ["fit_linear_probe", "two_phase_fit", "transfer_fit"])
+def test_registered_fits_take_every_row(spark, sf_dir, monkeypatch, name):
+    from duotext.catalog import queries
+
+    fit, seen = getattr(ln, name), []
+
+    def watched(*frames, **named):
+        given = [df for df in frames if hasattr(df, "toDF")]
+        seen.extend(r.row_id for df in given for r in df.select("row_id").collect())
+        return fit(*frames, **named)
+
+    monkeypatch.setattr(ln, name, watched)
+    queries.QUERIES[name](spark, sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()
+    assert sorted(seen) == sorted(r.vec_id for r in rows)
