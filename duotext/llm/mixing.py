@@ -126,9 +126,11 @@ def mix(
 def sample(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: each row as often as ``mix`` takes it.
 
-    Documents without words weigh nothing and are taken by the same rule.
+    Documents without words weigh nothing and are taken by the same rule.  Texts of any length are
+    only counted and handed on.  The user's columns travel in a struct, whatever they are called.
     """
     edge = thresholds(_sized(docs, seed, None), weights, share, most)
     copies = F.sequence(F.lit(1).cast("bigint"), F.col("copies"))
-    found = _at_source(docs.withColumn("place", place(seed)), edge).withColumn("copies", _copies())
-    return found.where("copies > 0").withColumn("copy", F.explode(copies)).select(*docs.columns)
+    rows = docs.select("source", place(seed).alias("place"), F.struct("*").alias("row"))
+    found = _at_source(rows, edge).withColumn("copies", _copies())
+    return found.where("copies > 0").withColumn("copy", F.explode(copies)).select("row.*")

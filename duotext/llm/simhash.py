@@ -6,10 +6,9 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duotext.llm import similar
 from duotext.llm.components import components
 from duotext.llm.texts import map_texts, stored
 
@@ -111,22 +110,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     )
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near copies, with the columns of ``docs``: that of the smallest doc_id.
+def deduplicate(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """One row of each group of near duplicates, with the columns of ``docs``.
 
-    Near copies: the sets of word shingles have a Jaccard similarity of at least ``similarity``
-    (verified, see ``similar``), and what links of such pairs reach is one group.  A 64-bit SimHash can't
-    choose the pairs: at 0.8 they differ in some 10 bits, for which blocks are no longer selective.
+    Groups are the components of ``near_duplicates``.  The row of the smallest doc_id stays; rows
+    without id lose against any other, and rows that share an id go by a digest of all their
+    columns.  So rows that repeat an id but differ in their texts are rows of their own, while of
+    rows that are equal in every column one stays.
 
-    Rows without id go by their text and lose against any row with one; of rows that repeat
-    an id one stays.
+    Whole rows are shuffled once, by (id, digest); equal ones are combined in the tasks before.
     """
-    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), nameless.alias("c")))
-    found = similar.sets(keyed.select("__key", "text"), shingle, similarity, ("__key",))
-    roots = similar.links(found, similarity).withColumnRenamed("node", "node_")
-    nodes = found.groupBy("node").agg(F.min("__key").alias("least")).join(roots, F.col("node") == F.col("node_"), "left")
-    first = stored(nodes.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("__key")).select("__key"))
-    kept = keyed.join(first, "__key", "left_semi")
-    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return kept.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.md5(F.to_json(F.struct("*"))).alias("digest"))
+    keyed = docs.select(key.alias("key"), "text", F.struct("*").alias("row"))
+    prints = stored(fingerprints(keyed.select("key", "text"), shingle, ("key",)))
+    roots = components(links(prints, distance))
+    nodes = prints.groupBy("fp").agg(F.min("key").alias("key")).join(roots, F.col("fp") == F.col("node"), "left")
+    first = stored(nodes.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("key").alias("key")).select("key"))
+    once = keyed.groupBy("key").agg(F.any_value("row").alias("row"))
+    return once.join(first, "key", "left_semi").select("row.*")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duotext.runtime import shared_dir
+
 #: Texts are handed to Python functions in groups of about this many bytes (or one text).
 GROUP_BYTES = 2 << 20
 
@@ -25,13 +26,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the folder of ``spark.checkpoint.dir``.
 
-    An executor that is lost later costs no recomputation.  Only where the session names
-    no folder (tests, one machine) is a temporary one taken.
+    An executor that is lost later costs no recomputation.  Without that setting a local
+    session (tests) takes a folder of its own, and a cluster session fails.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -46,6 +46,19 @@ def shared_copy(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, taken: Sequence[str]) -> tuple[DataFrame, list[F.Column]]:
+    """``docs`` with other names for columns called like one of ``taken``, and what selects them under their own names again."""
+    used = {c.lower() for c in (*docs.columns, *taken)}
+    names = []
+    for c in docs.columns:
+        name = c
+        while name.lower() in map(str.lower, taken) or (name != c and name.lower() in used):
+            name = f"{name}_"
+        used.add(name.lower())
+        names.append(name)
+    return docs.toDF(*names), [F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def folded(word_text: F.Column) -> F.Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(word_text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -95,7 +108,9 @@ def map_texts(
     """
     new = T.StructType.fromDDL(added)
     names = [c for c in keep if c not in new.names]
-    column = text_col if text_col in names else "__text"
+    column = text_col
+    while column not in names and column in docs.columns and column != text_col or column in new.names:
+        column = f"_{column}"
     source = docs.select(*names, *[F.col(text_col).alias(column)] * (column not in names))
     schema = T.StructType([source.schema[c] for c in names] + new.fields)
     from pyspark.sql.pandas.types import to_arrow_schema
