@@ -11,19 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duotext.llm import bpe, knn_quality, mixing, secret_spans, simhash
-from duotext.llm.texts import documents, shared_copy
+from duotext.llm.texts import apart, documents, shared_copy
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = knn_quality.quality(docs, labels, keep=tuple(docs.columns))
-    return judged.where("predicted = 1").select(*docs.columns)
+    renamed, own = apart(docs, ("held_out", "score", "predicted"))
+    return knn_quality.quality(renamed, labels, keep=tuple(renamed.columns)).where("predicted = 1").select(*own)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near duplicates: SimHash of three-word shingles, at most two differing bits."""
+    return simhash.deduplicate(docs, shingle=3, distance=2)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
