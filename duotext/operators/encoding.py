@@ -1,18 +1,24 @@
 """Vocabulary and fixed-length encoding of texts and text pairs.
 
-The ``INLINE_VOCAB`` most frequent tokens of a vocabulary are folded into the plan as
-a hash-bucketed literal, so nearly all tokens are encoded by a map over the rows: no
-shuffle, no Python.  Only if a vocabulary is larger are the tokens that the literal
-misses joined, each once per row.
+The ``INLINE_VOCAB`` most frequent tokens of a vocabulary are a broadcast dictionary of checked
+size, so nearly all tokens are encoded by a map over Arrow batches without a shuffle.  Only
+if a vocabulary is larger are the tokens that the dictionary misses joined, each once per
+chunk of rows.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Mapping, Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duotext.functions import text as tx
 from duotext.functions.hashing import as_list
@@ -20,10 +26,11 @@ from duotext.operators.ordering import global_index
 from duotext.runtime import cut_lineage
 from duotext.schema import MAX_LENGTH
 
-INLINE_VOCAB = 100_000
+INLINE_VOCAB = 1 << 20
+DICTIONARY_BYTES = 64 << 20  # a dictionary of fewer tokens is broadcast if they take more
+CHUNK_ROWS = 4096  # rows that ask together for the ids of rare tokens
 VOCAB_SIZE = 50_000
 _BANDS = 8  # bands of counts per doubling
-_PER_BUCKET = 16  # tokens a lookup compares with
 
 
 def build_vocab(df: DataFrame, columns: str | Sequence[str] = "text", size: int | None = VOCAB_SIZE) -> DataFrame:
@@ -64,20 +71,30 @@ def unknown_share(df: DataFrame, ids: str = "input_ids") -> DataFrame:
     return df.agg(F.coalesce(share, F.lit(0.0)).alias("unknown_share"))
 
 
-def _inline_lookup(rows: Sequence) -> Callable[[Column], Column]:
-    """Part of a vocabulary as ``array<map<token, id>>``, bucketed by token hash; NULL for other tokens."""
-    width = max(1, len(rows) // _PER_BUCKET)
-    buckets: list[dict] = [{} for _ in range(width)]
-    for r in rows:
-        buckets[r["h"] % width][r["token"]] = r["id"]
-    # folded into a constant of the plan
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>", {"mode": "FAILFAST"})
+def _dictionary(vocab: DataFrame, most: int | None) -> tuple[pa.Array, pa.Array, bool]:
+    """(tokens, ids, is that the whole vocabulary) of the ``most`` most frequent tokens (``None``: all), fewer if they exceed ``DICTIONARY_BYTES``."""
+    while most is not None:
+        held = vocab.agg(
+            F.count_if(F.col("id") >= tx.FIRST_TOKEN_ID + most).alias("rest"),
+            F.sum(F.when(F.col("id") < tx.FIRST_TOKEN_ID + most, F.octet_length("token") + 8)).alias("bytes"),
+        ).first()
+        if (held["bytes"] or 0) <= DICTIONARY_BYTES:
+            break
+        most //= 2
+    head = vocab if most is None else vocab.where(F.col("id") < tx.FIRST_TOKEN_ID + most)
+    rows = head.select(F.col("token").cast("string"), F.col("id").cast("int")).toArrow().combine_chunks()
+    first = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns]
+    return first[0], first[1], most is None or not held["rest"]
+
+
+def _numbers(lists: pa.Array, tokens: pa.Array, ids: pa.Array) -> pa.Array:
+    """Ids of token lists, NULL for tokens that are not among ``tokens``."""
+    return ids.take(pc.index_in(lists.flatten(), value_set=tokens))
 
-    def lookup(token: Column) -> Column:
-        bucket = F.element_at(table, (F.pmod(F.xxhash64(token), F.lit(width)) + 1).cast("int"))
-        return F.try_element_at(bucket, token)
 
-    return lookup
+def _lists(like: pa.Array, values: pa.Array) -> pa.Array:
+    """``values`` cut into lists as long as those of ``like``."""
+    return pa.ListArray.from_arrays(pc.subtract(like.offsets, like.offsets[0]), values)
 
 
 def token_ids(
@@ -88,30 +105,67 @@ def token_ids(
 
     ``limit`` is the fixed encoded length: no id behind it can reach an output row.
     Unknown tokens get the unknown id.  The ``inline`` most frequent tokens (default
-    ``INLINE_VOCAB``) are looked up in the plan, others by a join.  A stream can't pass a
-    join, so for it the plan holds the whole vocabulary, whatever its size.
+    ``INLINE_VOCAB``, of ``DICTIONARY_BYTES`` at most) are a broadcast dictionary, looked up for whole Arrow
+    batches: a map over the rows.  Only if the vocabulary is larger, the distinct tokens of each chunk of rows that
+    the dictionary misses are joined with the rest of it.  A stream can't pass a
+    join, so for it the dictionary holds the whole vocabulary, whatever its size.
     """
     cut = {out: tx.first_tokens(F.col(c), limit) for out, c in columns.items()}
-    inline = INLINE_VOCAB if inline is None else inline
-    hashed = vocab.select("token", "id", F.xxhash64("token").alias("h"))
-    first = F.col("id") < tx.FIRST_TOKEN_ID + inline
-    rows = (hashed if df.isStreaming else hashed.where(first)).collect()
-    lookup = _inline_lookup(rows)
-    unknown = F.lit(tx.UNK_ID)
-    if df.isStreaming or vocab.where(~first).isEmpty():
-        return df.withColumns({out: F.transform(c, lambda t: F.coalesce(lookup(t), unknown)) for out, c in cut.items()})
-    keys = as_list(key)
-    missed = F.array_distinct(F.filter(F.concat(*cut.values()), lambda t: lookup(t).isNull()))
-    # frequent tokens are never missed, so no token is in a large share of these rows but one outside the vocabulary
-    missing = df.select(*keys, F.explode(missed).alias("token"))
-    found = missing.join(vocab.where(~first).select("token", "id"), "token").groupBy(*keys).agg(
-        # one row's own tokens, at most `limit` per text
-        F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("__found")
-    )
-    def either(t: Column) -> Column:
-        return F.coalesce(lookup(t), F.try_element_at("__found", t), unknown)
+    tokens, ids, whole = _dictionary(vocab, None if df.isStreaming else INLINE_VOCAB if inline is None else inline)
+    shipped = df.sparkSession.sparkContext.broadcast((tokens, ids))
+    if not whole:
+        rest = vocab.where(F.col("id") >= tx.FIRST_TOKEN_ID + len(tokens)).select("token", "id")
+        return _joined_ids(df, rest, cut, as_list(key), shipped)
+    numbers, lists, unknown = _numbers, _lists, tx.UNK_ID
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def lookup(texts: pa.Array) -> pa.Array:
+        return lists(texts, numbers(texts, *shipped.value).fill_null(unknown))
+
+    return df.withColumns({out: lookup(c) for out, c in cut.items()})
 
-    return df.join(found, keys, "left").withColumns({out: F.transform(c, either) for out, c in cut.items()}).drop("__found")
+
+def _joined_ids(df: DataFrame, rest: DataFrame, cut: Mapping[str, Column], keys: list[str], shipped: Broadcast) -> DataFrame:
+    """The ids where the vocabulary has more than the dictionary: ``rest``.
+
+    Rows are dealt over chunks of about ``CHUNK_ROWS`` by a hash of their keys.  Each chunk asks once for each of
+    its distinct missing tokens; a token of every text is asked for once per chunk and never by frequent
+    tokens, which the dictionary holds.  Then a chunk's lists meet the ids found for it; no
+    text travels with them.
+    """
+    chunks = max(1, -(-df.count() // CHUNK_ROWS))
+    lists = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(chunks)).alias("__chunk"), *[c.alias(out) for out, c in cut.items()])
+    outs, numbers, as_lists, unknown = list(cut), _numbers, _lists, tx.UNK_ID
+
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for out in outs:
+                tokens = batch.column(out)
+                chunk = batch.column("__chunk").take(pc.list_parent_indices(tokens))
+                unseen = pc.is_null(numbers(tokens, *shipped.value))
+                parts.append(pa.table({"__chunk": chunk, "token": tokens.flatten()}).filter(unseen))
+            yield from pa.concat_tables(parts).group_by(["__chunk", "token"]).aggregate([]).to_batches()
+
+    found = lists.select("__chunk", *outs).mapInArrow(missing, "__chunk bigint, token string").distinct().join(rest, "token")
+
+    def fill(rows: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.combine_chunks()
+        more = [words.column(c).combine_chunks() for c in ("token", "id")]
+        more = [c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c for c in more]
+        for out in outs:
+            tokens = rows.column(out).combine_chunks()
+            known = numbers(tokens, *shipped.value)
+            if words.num_rows:
+                known = pc.coalesce(known, numbers(tokens, *more))
+            rows = rows.set_column(rows.schema.get_field_index(out), out, as_lists(tokens, known.fill_null(unknown)))
+        return rows.drop_columns(["__chunk"])
+
+    schema = T.StructType([*df.select(*keys).schema.fields, *[T.StructField(out, T.ArrayType(T.IntegerType())) for out in outs]])
+    made = lists.groupBy("__chunk").cogroup(found.select("__chunk", "token", F.col("id").cast("int").alias("id")).groupBy("__chunk")).applyInArrow(fill, schema)
+    made = made.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return df.join(made, same, "left").drop(*[f"__{k}" for k in keys])
 
 
 def encode_text(
@@ -171,3 +225,7 @@ def encode_pair(
     )
     scratch = ["__a", "__b", "__la", "__lb", "__ka", "__kb"]
     return pad_and_mask(cut.withColumn("input_ids", ids).drop(*scratch), max_length)
+
+
+# functions that look tokens up travel to the executors with the query
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
