@@ -263,6 +263,48 @@ def _unseen(condition: str) -> str:
     )
 
 
+# Logistic regression of (label >= 5) on two components and an intercept, penalty |w|^2 / 2, by Newton steps;
+# the three unknowns of a step by determinants.
+PLANE = "plane AS (SELECT vec_id AS row_id, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, (label >= 5)::INTEGER AS y FROM embeddings)"
+ODDS = "1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2)))"
+DET = "h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02)"
+MOVES = [
+    "(g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det",
+    "(h00 * (g1 * h22 - g2 * h12) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det",
+    "(h00 * (h11 * g2 - h12 * g1) - h01 * (h01 * g2 - h02 * g1) + g0 * (h01 * h12 - h11 * h02)) / det",
+]
+
+
+def _derivatives(over: str, weight: str) -> str:
+    def total(e: str) -> str:
+        return f"sum({e}){over}"
+
+    first = [total("p - y"), *[f"{total(f'(p - y) * x{i}')} + {weight.format(i)}" for i in (1, 2)]]
+    names = {"00": "1", "01": "x1", "02": "x2", "11": "x1 * x1", "12": "x1 * x2", "22": "x2 * x2"}
+    second = [f"{total(f'p * (1 - p) * {e}')}{' + 1' * (n in ('11', '22'))} AS h{n}" for n, e in names.items()]
+    return ", ".join([f"{e} AS g{i}" for i, e in enumerate(first)] + second)
+
+
+NEWTON = f"""{PLANE}, fit AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2
+  UNION ALL
+  SELECT step + 1, b0 - {MOVES[0]}, b1 - {MOVES[1]}, b2 - {MOVES[2]}
+  FROM (SELECT *, {DET} AS det FROM (
+    SELECT any_value(step) AS step, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, {_derivatives("", "any_value(b{0})")}
+    FROM (SELECT *, {ODDS} AS p FROM fit, plane WHERE step < 25 AND row_id % 2 = 0))) WHERE step IS NOT NULL),
+scored AS (SELECT row_id, y AS label, {ODDS} AS p FROM plane, fit WHERE step = 25 AND row_id % 2 = 1)"""
+
+# 25 steps, then rows that are sure move to the training rows; until fewer than 5 do or none is left
+SELF_TRAIN = f"""{PLANE}, loop AS (
+  SELECT 1 AS step, row_id, x1, x2, CASE WHEN row_id % 2 = 0 THEN y END AS y, CASE WHEN row_id % 2 = 0 THEN 'train' ELSE 'pool' END AS origin,
+    0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, false AS done FROM plane
+  UNION ALL
+  SELECT step + 1, row_id, x1, x2, CASE WHEN moves THEN (p > 0.5)::INTEGER ELSE y END, CASE WHEN moves THEN 'pseudo' ELSE origin END,
+    {", ".join(f"CASE WHEN step % 26 = 0 THEN b{i} ELSE b{i} - {m} END" for i, m in enumerate(MOVES))},
+    step % 26 = 0 AND (count(*) FILTER (moves) OVER () < 5 OR count(*) FILTER (origin = 'pool' AND NOT moves) OVER () = 0)
+  FROM (SELECT *, {DET} AS det, step % 26 = 0 AND origin = 'pool' AND greatest(p, 1 - p) > 0.55 AS moves FROM (
+    SELECT *, {_derivatives(" FILTER (origin <> 'pool') OVER ()", "b{0}")} FROM (SELECT *, {ODDS} AS p FROM loop WHERE NOT done))))"""
+
 SUMMED = "sum((tp + fn) * f1) / sum(tp + fn)"
 ACC = "sum(tp) / sum(tp + fn)::DOUBLE"
 F1_ONE = "coalesce(max(f1) FILTER (cls = 1), 0)"
@@ -447,16 +489,17 @@ agree AS (SELECT *, (tp + tn) / n AS po, ((tp + fn) * (tp + fp) + (tn + fp) * (t
     ),
     # learning: properties that hold for the right model and no other, or for any model, over unseen rows
     "fit_linear_probe": _slopes([1], 64),
-    "two_phase_fit": _slopes([0, 1, 2], 64),
+    "two_phase_fit": f"SELECT phase::INTEGER AS phase, s.* FROM (SELECT unnest([1, 2]) AS phase), ({_slopes([0, 1, 2], 64)}) s",
+    "two_phase_fit_weighted": _slopes([0, 1, 2], 64),
     "two_phase_fit_held_out": "SELECT vec_id AS row_id, CAST(label % 3 AS INTEGER) AS label, CAST(3 AS INTEGER) AS k, 1.0::DOUBLE AS total, true AS best FROM embeddings WHERE vec_id % 3 = 2",
     "transfer_fit": _slopes([1], 67),
     "transfer_fit_held_out": _unseen("vec_id % 3 = 2"),
-    "fit_mlp_head": _unseen("vec_id % 2 = 1"),
-    "predict": "SELECT vec_id AS row_id, CAST(label >= 5 AS INTEGER) AS label, true AS valid FROM embeddings WHERE vec_id % 2 = 1",
-    "predict_proba": _unseen("vec_id % 2 = 1"),
-    "fit_text_classifier": _with(DOCLABELS, "SELECT row_id, label, CAST(3 AS INTEGER) AS k, 1.0::DOUBLE AS total, true AS best FROM doclabels WHERE row_id % 2 = 1"),
+    "fit_mlp_head": f"SELECT *, 0.0::DOUBLE AS bias FROM ({_unseen('vec_id % 2 = 1')})",
+    "predict": _with("RECURSIVE " + NEWTON, "SELECT row_id, label, (p > 0.5)::INTEGER AS prediction FROM scored"),
+    "predict_proba": _with("RECURSIVE " + NEWTON, "SELECT row_id, 0::INTEGER AS pos, round(1 - p, 6) AS prob FROM scored UNION ALL SELECT row_id, 1, round(p, 6) FROM scored"),
+    "fit_text_classifier": _with(DOCLABELS, "SELECT row_id, label, CAST(3 AS INTEGER) AS k, 1.0::DOUBLE AS total, true AS best, 0.0::DOUBLE AS bias, true AS beats_majority FROM doclabels WHERE row_id % 2 = 1"),
     "train_and_correct": "SELECT unnest(['before', 'after']) AS stage, true AS valid, (SELECT count(*) FROM embeddings WHERE vec_id % 3 = 2) AS n, 1.0::DOUBLE AS mean_weight",
-    "self_train": "SELECT vec_id AS row_id, vec_id % 2 = 0 AS given, CASE WHEN vec_id % 2 = 0 THEN CAST(label >= 5 AS INTEGER) END AS label, true AS converged FROM embeddings",
+    "self_train": _with("RECURSIVE " + SELF_TRAIN, "SELECT row_id, y AS label, origin, (step // 26)::INTEGER AS rounds, done AS converged FROM loop WHERE done"),
     # recipes
     "prepare_splits": _prepare_splits(),
     "prepare": _prepare(),

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from inspect import signature
 from itertools import count
 
 from pyspark.ml import Model, Pipeline, PipelineModel
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from duotext.functions import scores as sc
 from duotext.functions import text as tx
 from duotext.functions.hashing import as_list
+from duotext.operators.newton import Logistic, fit_logistic
 from duotext.operators.pairs import append_pseudo_labels
 from duotext.runtime import cut_lineage
 from duotext.schema import VECTOR_SIZE
@@ -77,8 +79,10 @@ def pack_features(df: DataFrame, col: str = "hidden_state", out: str = "features
 MAX_ITER = 10_000  # a safeguard: a fit that gets there has not converged, and fails
 
 
-def iterations(model: Model) -> int:
+def iterations(model: Model | Logistic) -> int:
     """Iterations that a fit took."""
+    if isinstance(model, Logistic):
+        return model.iterations
     last = model.stages[-1] if isinstance(model, PipelineModel) else model
     summary = last.summary
     return (summary() if callable(summary) else summary).totalIterations
@@ -119,14 +123,18 @@ def fit_mlp_head(
     ).fit(train), max_iter)
 
 
-def predict(model: Model, df: DataFrame, out: str = "prediction") -> DataFrame:
+def predict(model: Model | Logistic, df: DataFrame, out: str = "prediction") -> DataFrame:
     """The input columns and the predicted class."""
+    if isinstance(model, Logistic):
+        return df.withColumn(out, sc.argmax_label(model.probs()))
     scored = model.transform(df)
     return scored.select(*df.columns, F.col(model_column(model, "predictionCol")).cast("int").alias(out))
 
 
-def predict_proba(model: Model, df: DataFrame, out: str = "probs") -> DataFrame:
+def predict_proba(model: Model | Logistic, df: DataFrame, out: str = "probs") -> DataFrame:
     """The input columns and the probabilities of all classes."""
+    if isinstance(model, Logistic):
+        return df.withColumn(out, model.probs())
     scored = model.transform(df)
     return scored.select(*df.columns, vector_to_array(F.col(model_column(model, "probabilityCol"))).alias(out))
 
@@ -137,11 +145,26 @@ def model_column(model: Model, name: str) -> str:
     return last.getOrDefault(name)
 
 
+def phase_fits(
+    gold: DataFrame, silver: DataFrame, label: str = "label", features: str = "features", C: float = 1.0, tie: float = 1.0,
+    classes: int = 2,
+) -> tuple[Logistic, Logistic]:
+    """The models after two phases: mixed data first, then gold alone.
+
+    The second phase starts at the weights of the first and stays tied to them: its penalty is
+    the squared distance from them, divided by ``2 * tie``.  The smaller ``tie``, the less gold moves them.
+    """
+    columns = [label, features]
+    mixed = cut_lineage(gold.select(*columns, F.lit(True).alias("gold")).unionByName(silver.select(*columns, F.lit(False).alias("gold"))), "phases")
+    first = fit_logistic(mixed, label, features, C, classes)
+    return first, fit_logistic(mixed.where("gold"), label, features, tie, classes, start=first, center=first)
+
+
 def two_phase_fit(
     gold: DataFrame, silver: DataFrame, label: str = "label", features: str = "features", phase1: int = 2,
     phase2: int = 7, C: float = 1.0, max_iter: int = MAX_ITER,
 ) -> Model:
-    """Mixed data for ``phase1`` passes, then gold for ``phase2``: one fit weighted by exposure."""
+    """Mixed data for ``phase1`` passes, then gold for ``phase2``, as one fit weighted by exposure (``phase_fits`` keeps them apart)."""
     def weighted(df: DataFrame, times: int) -> DataFrame:
         return df.select(label, features, F.lit(float(times)).alias("weight"))
 
@@ -197,15 +220,20 @@ def _times(x: Column, factor: Column) -> Column:
 
 
 def loss_slopes(
-    model: Model, df: DataFrame, reg: float, label: str = "label", features: str = "features", weight: str | None = None
+    model: Model | Logistic, df: DataFrame, reg: float, label: str = "label", features: str = "features", weight: str | None = None,
+    center: Logistic | None = None,
 ) -> DataFrame:
     """Derivative of the regularised mean log loss by each coefficient: ``(cls, pos, slope)``.
 
     All zero at the optimum.  ``pos`` -1 is the intercept, which is not regularised.  Two
-    classes of a binomial model share one coefficient row, that of class 1.
+    classes of a binomial model share one coefficient row, that of class 1.  The penalty is centred at
+    the weights of ``center``, if given.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    coefficients, k = model.coefficientMatrix.toArray(), model.numClasses
+    own = isinstance(model, Logistic)
+    coefficients, k = (model.weights[:, 1:], model.classes) if own else (model.coefficientMatrix.toArray(), model.numClasses)
+    if center is not None:
+        coefficients = coefficients - center.weights[:, 1:]
     classes = [1] if len(coefficients) == 1 else list(range(k))
     scored = predict_proba(model, df, "__p").select(
         w.alias("w"), F.concat(F.array(F.lit(1.0)), vector_to_array(F.col(features))).alias("x"),
@@ -254,29 +282,32 @@ def self_train_step(
 
 
 def self_train(
-    train: DataFrame, pool: DataFrame, fit: Callable[[DataFrame], Model] = fit_linear_probe,
+    train: DataFrame, pool: DataFrame, fit: Callable[..., Model | Logistic] = fit_logistic,
     threshold: float = THRESHOLD, min_moved: int = MIN_MOVED, max_rounds: int | None = None, label: str = "label",
-) -> tuple[Model, DataFrame, DataFrame, list[dict]]:
+) -> tuple[Model | Logistic, DataFrame, DataFrame, list[dict]]:
     """Fit, score the pool, move the confident rows; repeat until few rows move or the pool is empty.
 
     The training rows are stored once; each round scores the pool once and writes the
     result to the shared folder, so plans do not grow with the rounds and lost executors
-    cost no earlier round.  Every round fits anew: the learners of ``pyspark.ml`` take no
-    initial weights in Python, and as their losses are convex a warm start ends at the
-    same weights.  Returns the last model, training rows, remaining pool and one record per
-    round, whose ``converged`` tells why it ended (false only under ``max_rounds``).
+    cost no earlier round.  A ``fit`` with a parameter ``start`` goes on from the model of the round before
+    (the learners of ``pyspark.ml`` take no initial weights in Python; they fit anew).  Returns the last
+    model, training rows, remaining pool and one record per round, with the ``iterations`` of its fit, whose
+    ``converged`` tells why it ended (false only under ``max_rounds``).
     """
     history: list[dict] = []
-    train = cut_lineage(train, "self-train")
+    train, model = cut_lineage(train, "self-train"), None
+    warm = "start" in signature(fit).parameters
     for step in count(1):
-        model = fit(train)
+        model = fit(train, start=model) if warm else fit(train)
         scored = cut_lineage(predict_proba(model, pool, "__probs"), f"self-train-{step}")
         sure, unsure, sizes = _split_by_confidence(scored, "__probs", threshold)
         size = sizes.first()
         train = append_pseudo_labels(train, sure.withColumn(label, sc.argmax_label(F.col("__probs"))))
         pool = unsure.select(*pool.columns)
         converged = size["moved"] < min_moved or size["left"] == 0
-        history.append({"round": step, "moved": size["moved"], "left": size["left"], "converged": converged})
+        history.append({
+            "round": step, "iterations": iterations(model), "moved": size["moved"], "left": size["left"], "converged": converged
+        })
         if converged or step == max_rounds:
             break
     return model, train, pool, history

@@ -55,6 +55,55 @@ def test_two_phases_weigh_rows_by_exposure(spark):
     assert np.abs(p - q).max() < 0.02
 
 
+def test_newton_steps_reach_the_optimum_from_anywhere(spark):
+    x, y, df = points(spark)
+    b, cold = newton(x, y), ln.fit_logistic(df)
+    assert np.allclose(cold.weights[0], b[[2, 0, 1]], atol=1e-8)
+    for start in (cold, ln.Logistic(np.array([[0.3, -2.0, 5.0]])), ln.Logistic(np.array([[40.0, -30.0, 20.0]]))):
+        assert np.allclose(ln.fit_logistic(df.repartition(5), start=start).weights, cold.weights, atol=1e-7)
+    assert ln.fit_logistic(df, start=cold).iterations == 0 < cold.iterations
+    p = np.array([r["probs"][1] for r in ln.predict_proba(cold, df).orderBy("row_id").collect()])
+    assert np.allclose(p, 1 / (1 + np.exp(-(np.c_[x, np.ones(len(x))] @ b))))
+
+
+def test_newton_steps_of_three_classes_and_weights(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    x, _, df = points(spark, 90)
+    df = df.withColumns({"label": (F.col("row_id") % 3).cast("int"), "w": 1.0 + F.col("row_id") % 4})
+    own = ln.fit_logistic(df, classes=3, weight="w", C=0.5)
+    n = df.agg(F.sum("w")).first()[0]
+    given = LogisticRegression(weightCol="w", regParam=1 / (0.5 * n), standardization=False, family="multinomial", tol=1e-12, maxIter=500).fit(df)
+    assert np.allclose(own.weights[:, 1:], given.coefficientMatrix.toArray(), atol=1e-4)
+    assert max(abs(r["slope"]) for r in ln.loss_slopes(own, df, 1 / (0.5 * n), weight="w").collect()) < 1e-9
+    with pytest.raises(Exception, match="not below 2"):
+        ln.fit_logistic(df)
+
+
+def test_a_second_phase_is_tied_to_the_first(spark):
+    _, _, df = points(spark)
+    gold, silver = df.where("row_id % 3 = 0"), df.where("row_id % 3 > 0")
+    alone = ln.fit_logistic(gold, C=10.0)
+    first, free = ln.phase_fits(gold, silver, tie=1e6)
+    assert np.allclose(first.weights, ln.fit_logistic(df).weights, atol=1e-7)
+    assert np.allclose(ln.phase_fits(gold, silver, tie=1e-6)[1].weights[:, 1:], first.weights[:, 1:], atol=1e-3)
+    assert np.allclose(free.weights, ln.fit_logistic(gold, C=1e6).weights, atol=1e-2)
+    tied = ln.phase_fits(gold, silver, tie=10.0)[1]
+    assert not np.allclose(tied.weights, alone.weights, atol=1e-2)
+    assert max(abs(r["slope"]) for r in ln.loss_slopes(tied, gold, 1 / (10.0 * gold.count()), center=first).collect()) < 1e-9
+
+
+def test_self_training_goes_on_from_its_last_weights(spark, features):
+    df = features.drop("stance")
+    train, pool = df.where("row_id % 2 = 0"), df.where("row_id % 2 = 1").drop("label")
+    warm, grown, _, history = ln.self_train(train, pool, threshold=0.6)
+    cold, grown2, _, again = ln.self_train(train, pool, fit=lambda t: ln.fit_logistic(t), threshold=0.6)
+    assert [(h["moved"], h["left"]) for h in history] == [(h["moved"], h["left"]) for h in again] and len(history) > 2
+    assert sum(h["iterations"] for h in history[1:]) < sum(h["iterations"] for h in again[1:])
+    assert sorted(grown.select("row_id", "label", "origin").collect()) == sorted(grown2.select("row_id", "label", "origin").collect())
+    assert np.allclose(warm.weights, cold.weights, atol=1e-6)
+
+
 def test_models_learn_the_vectors(features):
     def accuracy(model, label="label"):
         out = ln.predict(model, features)
@@ -147,18 +196,20 @@ def test_loop_stops_on_an_empty_pool(spark, features):
     assert grown.count() == 2 * df.count()
 
 
-@pytest.mark.parametrize("name", ["fit_linear_probe", "two_phase_fit", "transfer_fit"])
-def test_registered_fits_take_every_row(spark, sf_dir, monkeypatch, name):
+@pytest.mark.parametrize("name,used", [
+    ("fit_linear_probe", "fit_linear_probe"), ("two_phase_fit", "phase_fits"), ("two_phase_fit_weighted", "two_phase_fit"), ("transfer_fit", "transfer_fit"),
+])
+def test_registered_fits_take_every_row(spark, sf_dir, monkeypatch, name, used):
     from duotext.catalog import queries
 
-    fit, seen = getattr(ln, name), []
+    fit, seen = getattr(ln, used), []
 
     def watched(*frames, **named):
         given = [df for df in frames if hasattr(df, "toDF")]
         seen.extend(r.row_id for df in given for r in df.select("row_id").collect())
         return fit(*frames, **named)
 
-    monkeypatch.setattr(ln, name, watched)
+    monkeypatch.setattr(ln, used, watched)
     queries.QUERIES[name](spark, sf_dir)
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()
     assert sorted(seen) == sorted(r.vec_id for r in rows)
