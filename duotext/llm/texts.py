@@ -69,6 +69,15 @@ def words(text: F.Column) -> F.Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
 
 
+#: Digits, letters and all bytes from 0x80 on stay, A-Z in lower case; everything else separates.
+_TERM_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
+
+
+def terms(text: bytes) -> list[bytes]:
+    """Maximal runs of ASCII letters and digits and of characters beyond ASCII, only A-Z lower-cased."""
+    return text.translate(_TERM_BYTES).split()
+
+
 def let(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
     """``body`` of a value that is computed once per row, however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]
@@ -104,7 +113,7 @@ def map_texts(
     """The columns ``keep`` and those of the DDL string ``added``, row by row from the text.
 
     ``make`` runs once per task and returns the function that turns a list of UTF-8 texts
-    into one sequence per added column.  Added columns replace kept ones of the same name.
+    into one sequence (or Arrow array of the type) per added column.  Added columns replace kept ones of the same name.
     """
     new = T.StructType.fromDDL(added)
     names = [c for c in keep if c not in new.names]
@@ -123,7 +132,7 @@ def map_texts(
         try:
             for batch in batches:
                 for part, texts in groups(batch, column):
-                    made = [pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
+                    made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
                     yield pa.RecordBatch.from_arrays(part.columns[:len(names)] + made, names + new.names)
         finally:
             gc.enable()
