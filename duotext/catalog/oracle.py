@@ -511,3 +511,4 @@ agree AS (SELECT *, (tp + tn) / n AS po, ((tp + fn) * (tp + fp) + (tn + fp) * (t
     "prepare_annotated_test": _with(ANNOTATED, "SELECT row_id, CASE WHEN annotation = 'c' THEN 1 ELSE 0 END AS label FROM annotated WHERE annotation <> 'other'"),
 }
 ORACLE["encode_text_by_join"] = ORACLE["encode_text"]
+ORACLE["read_records"] = "SELECT doc_id, length(text)::INTEGER AS length, md5(text) AS digest, source FROM documents"

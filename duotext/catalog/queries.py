@@ -82,6 +82,17 @@ def read_csv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_csv_splits(spark, files)
 
 
+@query
+def read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, line breaks and quotes included, as CSV files and back."""
+    path = scratch_path(spark, "records")
+    docs = fr.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    _csv_out(docs, path)
+    return readers.read_records(spark, path, docs.schema).select(
+        "doc_id", F.length("text").alias("length"), F.md5("text").alias("digest"), "source"
+    )
+
+
 @query
 def read_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "tiered")

@@ -7,9 +7,11 @@ from duotext.sources.artifacts import (
     write_artifact,
     write_recipe,
 )
+from duotext.sources.csv_records import read_records
 from duotext.sources.readers import read_annotated_csv, read_csv_splits, read_jsonl, read_tiered
 
 __all__ = [
     "materialize_if_absent", "read_annotated_csv", "read_artifact", "read_csv_splits", "read_jsonl",
-    "read_recipe", "read_tiered", "write_artifact", "write_recipe",
+    "read_recipe", "read_records", "read_tiered",
+    "write_artifact", "write_recipe",
 ]

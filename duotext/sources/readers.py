@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duotext.schema import PAIR_SCHEMA, STANCE_SCHEMA, TIER_SPLITS
+from duotext.sources.csv_records import read_records
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType = PAIR_SCHEMA) -> DataFrame:
@@ -18,11 +19,12 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
-    # fields may hold quotes, doubled inside quotes, and (multi_line: one task per file) line breaks;
-    # without multi_line files are split by line, and a row broken by a line break fails the query
+    # fields may hold quotes, doubled inside quotes, and (multi_line) line breaks; either way large files are
+    # read by many tasks; without multi_line by the plain reader, for which a row broken by a line break fails the query
+    if multi_line:
+        return read_records(spark, path, schema)
     return (
-        spark.read.schema(schema)
-        .option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+        spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
         .option("mode", "FAILFAST").option("enforceSchema", False)  # header must match
         .csv(path)
     )
@@ -34,7 +36,7 @@ def read_annotated_csv(
 ) -> DataFrame:
     """Some columns of a CSV file with a header, renamed.
 
-    ``multi_line=False`` reads large files in parallel; no field may hold a line break then.
+    ``multi_line=False`` scans files once instead of twice; no field may hold a line break then.
 
     ``columns`` are all columns of the file in order, ``usecols`` those to keep;
     the others are not parsed.

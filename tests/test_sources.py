@@ -184,6 +184,71 @@ def test_csv_lines_can_be_split(spark, tmp_path):
     assert readers.read_csv_splits(spark, {"train": str(tmp_path / "y.csv")}).first()["all_text"] == "a\nb"
 
 
+@pytest.fixture
+def small_ranges(spark):
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    yield lambda size: [spark.conf.set(n, v) for n, v in zip(names, (size, 0), strict=True)]
+    for n, v in zip(names, before, strict=True):
+        spark.conf.set(n, v)
+
+
+WORDS = ["", "plain", "comma, here", 'a "quoted" one', "two\nlines", "\n", "\n\n\n", '"', '""', 'x"\n"y', "é\r\n😀", "long " * 30, "one\n" * 40, " edge "]
+
+
+@pytest.mark.parametrize("size,broadcast", [(40, True), (300, False), (1 << 27, True)])
+def test_records_of_any_range_size(spark, tmp_path, small_ranges, monkeypatch, size, broadcast):
+    import csv
+    import random
+
+    from duotext.sources import csv_records
+
+    rnd = random.Random(size)
+    rows = [(str(i), rnd.choice(WORDS), rnd.choice(WORDS)) for i in range(36)]
+    for part in range(3):
+        for end, name in (("\n", "lf"), ("\r\n", "crlf")):
+            with open(tmp_path / f"{name}-{part}.csv", "w", newline="") as f:
+                out = csv.writer(f, lineterminator=end, quoting=[csv.QUOTE_MINIMAL, csv.QUOTE_ALL, csv.QUOTE_MINIMAL][part])
+                out.writerows([("id", "first one", "second"), *rows[12 * part:12 * part + 12]])
+    small_ranges(size)
+    if not broadcast:
+        monkeypatch.setattr(csv_records, "RANGES", 0)
+    found = csv_records.read_records(spark, str(tmp_path), schema.T.StructType.fromDDL("id string, `first one` string, second string"))
+    assert found.columns == ["id", "first one", "second"]
+    got = sorted(tuple("" if v is None else v for v in r) for r in found.collect())
+    assert got == sorted(rows + rows)
+    assert size > 40 or csv_records._lines(spark, str(tmp_path)).rdd.getNumPartitions() > 60
+
+
+def test_records_equal_the_whole_file_reader(spark, sf_dir, tmp_path, small_ranges):
+    from duotext.sources import csv_records
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs.coalesce(1).write.option("header", True).option("escape", '"').csv(f"{tmp_path}/docs")
+    plain = spark.read.schema(docs.schema).option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/docs")
+    expected = sorted(map(str, plain.collect()))
+    small_ranges(100_000)
+    found = csv_records.read_records(spark, f"{tmp_path}/docs", docs.schema)
+    assert sorted(map(str, found.collect())) == expected
+    assert csv_records._lines(spark, f"{tmp_path}/docs").rdd.getNumPartitions() > 10
+
+
+@pytest.mark.parametrize("content", ['a,b\n"x\ny,1\n', "b,a\nx,1\n", "a,b\nx,y\n", "a,b\nx,1,2,3\n"])
+def test_broken_records_fail(spark, tmp_path, content):
+    from duotext.sources import csv_records
+
+    (tmp_path / "x.csv").write_text(content)
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        csv_records.read_records(spark, str(tmp_path), schema.T.StructType.fromDDL("a string, b int")).collect()
+
+
+def test_no_records(spark, tmp_path):
+    from duotext.sources import csv_records
+
+    (tmp_path / "x.csv").write_text("a,b\n")
+    assert csv_records.read_records(spark, str(tmp_path), schema.T.StructType.fromDDL("a string, b int")).count() == 0
+
+
 def test_recipe_values_keep_their_types(spark, tmp_path):
     artifacts.write_recipe(spark.range(2), f"{tmp_path}/s", "1", "train", upsampled=True)
     row = artifacts.read_recipe(spark, f"{tmp_path}/s", tier="1", upsampled=True).first()
