@@ -512,3 +512,11 @@ agree AS (SELECT *, (tp + tn) / n AS po, ((tp + fn) * (tp + fp) + (tn + fp) * (t
 }
 ORACLE["encode_text_by_join"] = ORACLE["encode_text"]
 ORACLE["read_records"] = "SELECT doc_id, length(text)::INTEGER AS length, md5(text) AS digest, source FROM documents"
+ORACLE["embed_rows"] = f"""WITH {TEXTS},
+terms AS (SELECT row_id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 768 AS slot, count(*) AS tf
+  FROM (SELECT row_id, unnest({_tokens('text')}) AS token FROM texts) GROUP BY ALL),
+idf AS (SELECT slot, ln(((SELECT count(*) FROM texts) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM terms GROUP BY slot),
+vectors AS (SELECT row_id, slot, (tf * idf)::FLOAT::DOUBLE AS v FROM terms JOIN idf USING (slot))
+SELECT row_id, 768::INTEGER AS width, round(sqrt(coalesce(sum(v * v), 0)), 6) AS norm,
+  {', '.join(f"round(coalesce(max(v) FILTER (slot = {i}), 0), 6) AS slot_{i}" for i in (0, 300, 767))}
+FROM texts LEFT JOIN vectors USING (row_id) GROUP BY row_id"""

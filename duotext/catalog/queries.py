@@ -295,8 +295,9 @@ def unknown_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def embed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = learning.embed_rows(pairs.pair_text(fr.pairs(spark, sf_dir)))
-    norm = F.sqrt(F.aggregate("hidden_state", F.lit(0.0), lambda a, v: a + v * v))
-    return made.select("row_id", F.size("hidden_state").alias("width"), F.round(norm, 4).alias("norm"))
+    norm = F.sqrt(F.aggregate("hidden_state", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    slots = [F.round(F.col("hidden_state")[i].cast("double"), 6).alias(f"slot_{i}") for i in (0, 300, 767)]
+    return made.select("row_id", F.size("hidden_state").alias("width"), F.round(norm, 6).alias("norm"), *slots)
 
 
 @query

@@ -5,17 +5,25 @@ Fitting runs as distributed gradient aggregation; scoring is a map over the rows
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+import math
+import sys
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from inspect import signature
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,18 +41,39 @@ THRESHOLD = 0.8  # fixed value: confidence above which a row is moved
 
 # -- vectors ---------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class DocumentFrequencies:
+    """How many of ``documents`` texts have a term in each slot of a vector."""
+
+    documents: int
+    counts: tuple[int, ...]
+
+    def weights(self) -> list[float]:
+        return [math.log((self.documents + 1) / (n + 1)) for n in self.counts]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(slot, n, self.documents) for slot, n in enumerate(self.counts)]
+        return spark.createDataFrame(rows, "slot int, n bigint, documents bigint")
+
+    @staticmethod
+    def of(table: DataFrame) -> DocumentFrequencies:
+        rows = sorted(table.collect())
+        return DocumentFrequencies(rows[0]["documents"], tuple(r["n"] for r in rows))
+
+
 def embed_rows(
     df: DataFrame, text: str = "text", make_predict_fn: Callable | None = None,
     inputs: Sequence[str] = ("input_ids", "attention_mask"), shapes: Sequence[Sequence[int]] | None = None,
-    batch_size: int = 32, size: int = VECTOR_SIZE, out: str = "hidden_state", idf: IDFModel | None = None,
+    batch_size: int = 32, size: int = VECTOR_SIZE, out: str = "hidden_state", idf: DocumentFrequencies | None = None,
 ) -> DataFrame:
     """One vector per row.
 
     With ``make_predict_fn`` (a function that loads a model and returns a batch
     function over numpy arrays) the model runs over Arrow batches of ``inputs``; a
     batch of ``batch_size`` rows is what one call sees.  Without it, vectors are
-    hashed term counts of ``text`` weighted by inverse document frequency: that of
-    ``idf`` (see ``fit_idf``; one model for all splits), or else of this table.
+    hashed term counts of ``text`` (a term's slot: the first 8 hex digits of its md5 modulo ``size``) times the
+    logarithm of (n + 1) / (texts with the slot + 1): those of ``idf`` (see ``fit_idf``; the same for all splits), or
+    else of this table.
     """
     if make_predict_fn is not None:
         udf = predict_batch_udf(
@@ -53,20 +82,42 @@ def embed_rows(
         )
         return df.withColumn(out, udf(*inputs))
     model = fit_idf(df, text, size) if idf is None else idf
-    counted = _term_counts(df, text, model.idf.size)
-    vector = vector_to_array(F.col("__tfidf"), "float32")
-    return model.transform(counted).withColumn(out, vector).drop("__tokens", "__tf", "__tfidf")
+    weights, width, counts_of = np.array(model.weights()), len(model.counts), _slot_counts
 
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(tokens: pa.Array) -> pa.Array:
+        vectors = [(counts * weights).astype(np.float32).ravel() for counts in counts_of(tokens, width)]
+        ends = pa.array(np.arange(len(tokens) + 1) * width, pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(vectors) if vectors else np.zeros(0, np.float32)))
 
-def _term_counts(df: DataFrame, text: str, size: int) -> DataFrame:
-    return HashingTF(numFeatures=size, inputCol="__tokens", outputCol="__tf").transform(
-        df.withColumn("__tokens", tx.tokens(F.col(text)))
-    )
+    return df.withColumn(out, embed(tx.tokens(F.col(text))))
 
 
-def fit_idf(df: DataFrame, text: str = "text", size: int = VECTOR_SIZE) -> IDFModel:
-    """Inverse document frequencies of hashed terms."""
-    return IDF(inputCol="__tf", outputCol="__tfidf").fit(_term_counts(df, text, size))
+def _slot_counts(tokens: pa.Array, size: int, rows: int = 2048) -> Iterator[np.ndarray]:
+    """Counts of the slots of each token list, for some lists at a time; each distinct token is hashed once."""
+    for start in range(0, len(tokens), rows):
+        part = tokens.slice(start, rows)
+        words = part.flatten().dictionary_encode()
+        slots = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size for w in words.dictionary.to_pylist()], np.int64)
+        cells = pc.list_parent_indices(part).to_numpy() * size + (slots[words.indices.to_numpy()] if len(words) else 0)
+        yield np.bincount(cells, minlength=len(part) * size).reshape(len(part), size)
+
+
+def fit_idf(df: DataFrame, text: str = "text", size: int = VECTOR_SIZE) -> DocumentFrequencies:
+    """Document frequencies of hashed terms; a task sends one row per slot."""
+    counts_of = _slot_counts
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for counts in counts_of(batch.column(0), size):
+                total[:size] += (counts > 0).sum(0)
+                total[size] += len(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1), pa.int32()), pa.array(total)], ["slot", "n"])
+
+    rows = df.select(tx.tokens(F.col(text)).alias("tokens")).mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = dict(map(tuple, rows.collect()))
+    return DocumentFrequencies(found.get(size, 0), tuple(found.get(i, 0) for i in range(size)))
 
 
 def pack_features(df: DataFrame, col: str = "hidden_state", out: str = "features") -> DataFrame:
@@ -311,3 +362,7 @@ def self_train(
         if converged or step == max_rounds:
             break
     return model, train, pool, history
+
+
+# functions that hash terms travel to the executors with the query
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

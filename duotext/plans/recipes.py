@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import IDFModel
 from pyspark.sql import DataFrame, SparkSession
 
 from duotext.operators import pairs
 from duotext.operators.encoding import VOCAB_SIZE, build_vocab, encode_pair
-from duotext.operators.learning import embed_rows, fit_idf
+from duotext.operators.learning import DocumentFrequencies, embed_rows, fit_idf
 from duotext.operators.sampling import SEED, inject_null_context, upsample_by_factor, upsample_to_majority
 from duotext.runtime import cut_lineage, path_exists
 from duotext.schema import MAX_LENGTH, VECTOR_SIZE
@@ -47,7 +46,7 @@ class Encoding:
 
     path: str
     vocab: DataFrame
-    idf: IDFModel
+    idf: DocumentFrequencies
 
 
 def fit_encoding(
@@ -63,14 +62,13 @@ def fit_encoding(
     if overwrite and path_exists(spark, f"{path}/tables"):
         raise ValueError(f"{path} is in use: delete the tables made with it first, or take another name")
     materialize_if_absent(spark, f"{path}/vocab", lambda: build_vocab(train, columns, vocab_size), overwrite)
-    if overwrite or not path_exists(spark, f"{path}/idf/metadata/_SUCCESS"):
-        fit_idf(pairs.pair_text(train), size=vector_size).write().overwrite().save(f"{path}/idf")
+    materialize_if_absent(spark, f"{path}/idf", lambda: fit_idf(pairs.pair_text(train), size=vector_size).table(spark), overwrite)
     return load_encoding(spark, path)
 
 
 def load_encoding(spark: SparkSession, path: str) -> Encoding:
     """A stored encoding."""
-    return Encoding(path, spark.read.parquet(f"{path}/vocab"), IDFModel.load(f"{path}/idf"))
+    return Encoding(path, spark.read.parquet(f"{path}/vocab"), DocumentFrequencies.of(spark.read.parquet(f"{path}/idf")))
 
 
 def keyed_source(
