@@ -213,24 +213,25 @@ batched AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY row_id) - 1) / 16)
 
 SPLIT = f"CASE WHEN {_number(_hash(123, 'row_id'))} % 10 < 9 THEN 'train' ELSE 'val' END"
 
-# content key of a gold pair: presence flag and text of each column, then the number of the copy
-GOLD_KEYED = PAIRS + """,
+# content key of a pair: presence flag and text of each column, then the number of the copy
+def _keyed(tier: str) -> str:
+    return PAIRS + f""",
 content AS (SELECT context, target, label,
-  md5('1:' || length(context) || ':' || context || '1:' || length(target) || ':' || target || '1:1:' || label) AS digest FROM pairs WHERE tier = 'gold'),
+  md5('1:' || length(context) || ':' || context || '1:' || length(target) || ':' || target || '1:1:' || label) AS digest FROM pairs WHERE tier = '{tier}'),
 keyed AS (SELECT digest || '-' || (row_number() OVER (PARTITION BY digest) - 1) AS row_id, context, target,
   CASE WHEN label IN ('0', '1') THEN 0 ELSE 1 END AS label FROM content)"""
 
 
-def _prepare() -> str:
+def _prepare(tier: str) -> str:
     key = "(row_id || ':' || draw_no)"
     return _with(
-        f"""{GOLD_KEYED}, {_upsample('keyed', 'row_id', 'n0', 'row_id, context, target, label')},
+        f"""{_keyed(tier)}, {_upsample('keyed', 'row_id', 'n0', 'row_id, context, target, label')},
 ranked AS (SELECT *, row_number() OVER (ORDER BY {_hash(123, key)}, row_id, draw_no) AS place FROM ups),
 nulled AS (SELECT {key} AS row_id, row_id AS pair_id, draw_no, label, target,
   CASE WHEN place <= floor(0.25 * (SELECT count(*) FROM ups)) THEN '' ELSE context END AS context FROM ranked),
 {_vocab("SELECT context AS text FROM keyed UNION ALL SELECT target FROM keyed")},
 {_pair_frame('nulled', 512)}""",
-        f"""SELECT pair_id AS row_id, draw_no, label, ids, mask, CAST(768 AS INTEGER) AS width FROM nulled JOIN
+        f"""SELECT '{tier}' AS tier, pair_id AS row_id, draw_no, label, ids, mask, CAST(768 AS INTEGER) AS width FROM nulled JOIN
   (SELECT row_id, {_padded('full_ids', '512')} FROM framed) f USING (row_id)""",
     )
 
@@ -502,7 +503,11 @@ agree AS (SELECT *, (tp + tn) / n AS po, ((tp + fn) * (tp + fp) + (tn + fp) * (t
     "self_train": _with("RECURSIVE " + SELF_TRAIN, "SELECT row_id, y AS label, origin, (step // 26)::INTEGER AS rounds, done AS converged FROM loop WHERE done"),
     # recipes
     "prepare_splits": _prepare_splits(),
-    "prepare": _prepare(),
+    "prepare": f"SELECT * FROM ({_prepare('gold')}) UNION ALL SELECT * FROM ({_prepare('silver')})",
+    "prepared_recipes": _with(
+        BINARY_PAIRS,
+        "SELECT tier, 2::INTEGER AS num_label, false AS upsampled, label, count(*) AS n, 64 * count(*) AS ids FROM twoclass GROUP BY tier, label",
+    ),
     "prepare_gold_silver": _with(BINARY_PAIRS, "SELECT row_id, tier, label FROM twoclass"),
     "prepare_minority_boost": _with(
         BINARY_PAIRS + ", boosted AS (SELECT * FROM twoclass WHERE tier = 'gold' OR label = 1), " + _upsample("boosted", "row_id", "round_even(1.3::DOUBLE * n1, 0)", "row_id, tier, label"),

@@ -870,15 +870,34 @@ def fit_text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold and silver training rows, each upsampled, with a quarter of the contexts blanked, under an encoding of its own."""
     root, store = scratch_path(spark, "corpus"), scratch_path(spark, "store")
-    gold, _ = fr.tiers(spark, sf_dir)
-    gold.select(*PAIR_COLUMNS).write.json(f"{root}/gold/train.jsonl")
-    made = recipes.prepare(
-        spark, root, store, "gold", "train", upsampling=True, num_label=2, null_ratio=0.25, vocab_size=None
-    )
-    width = made["hidden"].select("row_id", "draw_no", F.size("hidden_state").alias("width"))
-    return made["tokens"].join(width, ["row_id", "draw_no"]).select(
-        "row_id", "draw_no", "label", joined("input_ids").alias("ids"), joined("attention_mask").alias("mask"), "width"
+    out = None
+    for tier, rows in zip(("gold", "silver"), fr.tiers(spark, sf_dir), strict=True):
+        rows.select(*PAIR_COLUMNS).write.json(f"{root}/{tier}/train.jsonl")
+        made = recipes.prepare(
+            spark, root, store, tier, "train", upsampling=True, num_label=2, null_ratio=0.25, vocab_size=None
+        )
+        width = made["hidden"].select("row_id", "draw_no", F.size("hidden_state").alias("width"))
+        part = made["tokens"].join(width, ["row_id", "draw_no"]).select(
+            F.lit(tier).alias("tier"), "row_id", "draw_no", "label", joined("input_ids").alias("ids"), joined("attention_mask").alias("mask"), "width"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def prepared_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes of both tiers under one encoding, read back as partitions of one table; the second call finds them stored."""
+    root, store = scratch_path(spark, "corpus"), scratch_path(spark, "store")
+    for tier, rows in zip(("gold", "silver"), fr.tiers(spark, sf_dir), strict=True):
+        rows.select(*PAIR_COLUMNS).write.json(f"{root}/{tier}/train.jsonl")
+    words = recipes.fit_encoding(recipes.keyed_source(spark, root, store, "gold", "train"), store, "words", vocab_size=None)
+    for _ in range(2):
+        for tier, n in (("gold", 2), ("silver", 2), ("silver", 3)):
+            recipes.prepare(spark, root, store, tier, "train", words, num_label=n, output_vectors=False, max_length=64)
+    return recipes.read_prepared(spark, words, num_label=2).groupBy("tier", "num_label", "upsampled", "label").agg(
+        F.count("*").alias("n"), F.sum(F.size("input_ids")).alias("ids")
     )
 
 

@@ -32,34 +32,63 @@ def _class_sizes(df: DataFrame, label: str, majority: int) -> tuple[int, int, in
     return sizes.get(majority, 0), sizes[others[0]], others[0]
 
 
-def _with_draws(
-    df: DataFrame, label: str, key: Sequence[str], majority: int, minority: int, pool: int, draws: int,
-    seed: int, bucket_rows: int,
-) -> DataFrame:
-    """Majority rows plus ``draws`` draws with replacement from the minority.
+def _draw_counts(
+    keys: DataFrame, key: Sequence[str], pool: int, draws: int, seed: int, bucket_rows: int
+) -> tuple[DataFrame, bool]:
+    """(key, __n): how often each of the ``pool`` keys is drawn, if at all, in ``draws`` draws with replacement; may a count be high?
 
-    Draw j takes the minority row at position ``md5(seed:draw:j) mod pool`` of the
-    hash order.  Draws are counted per position and positions are resolved on the
-    keys alone; whole rows are shuffled once, and all join keys are unique however
-    small the pool is.
+    Draw j takes the key at position ``md5(seed:draw:j) mod pool`` of the hash order.  Draws
+    are counted per position, so all join keys are unique however small the pool is.
     """
-    spark = df.sparkSession
-    rows = df.where(F.col(label) == minority)
-    numbered = hash_index(rows.select(*key), key, seed, "__at", n=pool, bucket_rows=bucket_rows)
+    spark = keys.sparkSession
+    numbered = hash_index(keys.select(*key), key, seed, "__at", n=pool, bucket_rows=bucket_rows)
     tasks = max(draws // DRAWS_PER_TASK + 1, min(draws // 1_000, spark.sparkContext.defaultParallelism))
     drawn = (
         spark.range(0, draws, 1, tasks)
         .groupBy((hash_int(hash_key(f"{seed}:draw", "id")) % pool).alias("__at"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    hits = numbered.join(drawn, "__at").select(*key, "__n")
-    may_be_hot = draws / pool > COPIES_PER_TASK / 4
+    return numbered.join(drawn, "__at").select(*key, "__n"), draws / pool > COPIES_PER_TASK / 4
+
+
+def _copied(df: DataFrame, hits: DataFrame, label: str, key: Sequence[str], majority: int, minority: int, may_be_hot: bool) -> DataFrame:
+    """Majority rows as they are (draw -1) and minority rows as often as ``hits`` says; whole rows are shuffled once."""
+    hit = df.where(F.col(label) == minority).join(hits, list(key)).select(*df.columns, "__n")
+    copies = spread_copies(hit, "__n", "draw_no", may_be_hot)
+    return df.where(F.col(label) == majority).withColumn("draw_no", F.lit(-1).cast("bigint")).unionByName(copies)
+
+
+def _with_draws(
+    df: DataFrame, label: str, key: Sequence[str], majority: int, minority: int, pool: int, draws: int,
+    seed: int, bucket_rows: int,
+) -> DataFrame:
+    """Majority rows plus ``draws`` draws with replacement from the minority."""
+    hits, may_be_hot = _draw_counts(df.where(F.col(label) == minority), key, pool, draws, seed, bucket_rows)
     if may_be_hot:  # rows with few and with many copies are joined apart, to counts that are stored
         hits = cut_lineage(hits, "draws")
-    hit = rows.join(hits, list(key)).select(*df.columns, "__n")
-    copies = spread_copies(hit, "__n", "draw_no", may_be_hot)
-    kept = df.where(F.col(label) == majority).withColumn("draw_no", F.lit(-1).cast("bigint"))
-    return kept.unionByName(copies)
+    return _copied(df, hits, label, key, majority, minority, may_be_hot)
+
+
+def upsample_and_blank(
+    df: DataFrame, keys: DataFrame, ratio: float, label: str, key: str | Sequence[str], seed: int = SEED,
+    majority: int = 0, context: str = "context", bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """``upsample_to_majority``, then ``inject_null_context`` on what it returns, with one read of the whole rows.
+
+    Everything is decided on ``keys``, the (key, label) of ``df`` as a stored narrow table: how often a row is
+    drawn, and from the hash order of (key, draw) which of the resulting rows lose their context.  The draws and that key
+    table are written once each; then every whole row is read once, and the minority is shuffled once.
+    """
+    key = as_list(key)
+    big, small, minority = _class_sizes(keys, label, majority)
+    found, may_be_hot = _draw_counts(keys.where(F.col(label) == minority), key, small, big, seed, bucket_rows)
+    hits = cut_lineage(found, "draws")
+    out = _copied(df, hits, label, key, majority, minority, may_be_hot)
+    if not ratio:
+        return out
+    narrow = keys.select(*key, label)
+    drawn = cut_lineage(_copied(narrow, hits, label, key, majority, minority, may_be_hot).select(*key, "draw_no"), "drawn-keys")
+    return inject_null_context(out, ratio, [*key, "draw_no"], seed, context, keys=drawn)
 
 
 def upsample_to_majority(

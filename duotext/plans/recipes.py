@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from duotext.operators import pairs
 from duotext.operators.encoding import VOCAB_SIZE, build_vocab, encode_pair
 from duotext.operators.learning import DocumentFrequencies, embed_rows, fit_idf
-from duotext.operators.sampling import SEED, inject_null_context, upsample_by_factor, upsample_to_majority
+from duotext.operators.sampling import SEED, inject_null_context, upsample_and_blank, upsample_by_factor
 from duotext.runtime import cut_lineage, path_exists
 from duotext.schema import MAX_LENGTH, VECTOR_SIZE
-from duotext.sources.artifacts import materialize_if_absent
+from duotext.sources import versions
+from duotext.sources.artifacts import RECIPE_COLUMNS, materialize_if_absent, read_recipe
 from duotext.sources.readers import read_tiered
 
 
@@ -25,19 +26,20 @@ def recipe_name(tier: str, split: str, upsampling: bool, num_label: int, null_ra
 
 def prepare_pairs(
     df: DataFrame, upsampling: bool = False, num_label: int = 2, null_ratio: float = 0.0, seed: int = SEED,
-    key: str = "row_id",
+    key: str = "row_id", keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Recode, upsample and blank contexts of a pair table."""
+    """Recode, upsample and blank contexts of a pair table.
+
+    ``keys``: the key and label columns of ``df`` as a stored table, if there is one; else it is written here for upsampling.
+    """
     if num_label not in (2, 3):
         raise ValueError("num_label must be 2 or 3")
-    out = pairs.binarize_01(df) if num_label == 2 else pairs.label_to_int(df)
-    if not upsampling:
-        return inject_null_context(out, null_ratio, [key], seed)
-    out = upsample_to_majority(out, "label", key, seed)
-    keys = [key, "draw_no"]
-    # the draws are joined to whole rows once: the rows to blank are chosen on stored keys
-    known = cut_lineage(out.select(*keys), "drawn-keys") if null_ratio else None
-    return inject_null_context(out, null_ratio, keys, seed, keys=known)
+    recode = pairs.binarize_01 if num_label == 2 else pairs.label_to_int
+    out = recode(df)
+    if upsampling:
+        narrow = cut_lineage(out.select(key, "label"), "keys") if keys is None else recode(keys)
+        return upsample_and_blank(out, narrow, null_ratio, "label", key, seed)
+    return inject_null_context(out, null_ratio, [key], seed, keys=keys)
 
 
 @dataclass(frozen=True)
@@ -71,14 +73,25 @@ def load_encoding(spark: SparkSession, path: str) -> Encoding:
     return Encoding(path, spark.read.parquet(f"{path}/vocab"), DocumentFrequencies.of(spark.read.parquet(f"{path}/idf")))
 
 
-def keyed_source(
-    spark: SparkSession, root: str, store: str, tier: str, split: str, file_type: str = "jsonl", overwrite: bool = False
-) -> DataFrame:
-    """The rows of one tier and split with their keys; parsed and keyed once for all recipes."""
+def _source(
+    spark: SparkSession, root: str, store: str, tier: str, split: str, file_type: str, overwrite: bool = False
+) -> tuple[str, str]:
+    """Paths of the stored keyed rows of one tier and split and of their (row_id, label), as of the present files."""
+    files, recipe = [f"{root}/{tier}/{split}.{file_type}"], {"tier": tier, "split": split, "file_type": file_type}
+
     def read() -> DataFrame:
         return pairs.with_row_id(read_tiered(spark, root, [(tier, split)], file_type).drop("tier", "split"))
 
-    return materialize_if_absent(spark, f"{store}/sources/{tier}_{split}", read, overwrite)
+    rows = versions.current(spark, f"{store}/sources/{tier}_{split}", read, files, recipe, overwrite)
+    keys = versions.current(spark, f"{store}/keys/{tier}_{split}", lambda: spark.read.parquet(rows).select("row_id", "label"), [rows])
+    return rows, keys
+
+
+def keyed_source(
+    spark: SparkSession, root: str, store: str, tier: str, split: str, file_type: str = "jsonl", overwrite: bool = False
+) -> DataFrame:
+    """The rows of one tier and split with their keys; parsed and keyed once for all recipes, again if the file changes."""
+    return spark.read.parquet(_source(spark, root, store, tier, split, file_type, overwrite)[0])
 
 
 def prepare(
@@ -90,21 +103,29 @@ def prepare(
     """Read, prepare and encode one tier and split; store tokens and, unless told not to, vectors.
 
     ``encoding`` is the one fitted on the training table (``fit_encoding``).  Without it one
-    named after the split is fitted on this split, with ``vocab_size`` tokens.  Tables that
-    are stored already are reused; ``overwrite`` reads the text files again.
+    named after the split and the state of its file is fitted on this split, with ``vocab_size`` tokens.  Tables are stored
+    as partitions of their recipe (``read_prepared`` reads several) in versions that know their inputs: what is
+    made of the same file in the same way is reused, a changed file is prepared again; ``overwrite`` does so in any case.
     """
-    name = recipe_name(tier, split, upsampling, num_label, null_ratio)
     keys = ["row_id", *(["draw_no"] if upsampling else [])]
-    source = keyed_source(spark, root, store, tier, split, file_type, overwrite)
+    rows, narrow = _source(spark, root, store, tier, split, file_type, overwrite)
+    source = spark.read.parquet(rows)
     if encoding is None:
-        encoding = fit_encoding(source, store, f"{tier}_{split}", vocab_size=vocab_size)
-    tables = f"{encoding.path}/tables/{name}"
+        mark = rows.rsplit("/", 1)[1].removeprefix("version=")
+        encoding = fit_encoding(source, store, f"{tier}_{split}_{mark}", vocab_size=vocab_size)
+    recipe = {"tier": tier, "split": split, "num_label": num_label, "upsampled": upsampling, "null_ratio": float(null_ratio)}
+    more = {"seed": seed, "max_length": max_length, "encoding": encoding.path}
+
+    def stored(kind: str, compute: Callable[[], DataFrame], made_of: list[str], **said: object) -> str:
+        folder = versions.recipe_path(f"{encoding.path}/tables/{kind}", recipe, RECIPE_COLUMNS)
+        return versions.current(spark, folder, compute, made_of, recipe | more | said, overwrite, staging=f"{encoding.path}/staging")
 
     def tokens() -> DataFrame:
-        ready = prepare_pairs(source, upsampling, num_label, null_ratio, seed)
+        ready = prepare_pairs(source, upsampling, num_label, null_ratio, seed, keys=spark.read.parquet(narrow))
         return encode_pair(ready, encoding.vocab, key=keys, max_length=max_length)
 
-    out = {"tokens": materialize_if_absent(spark, f"{tables}_tokens", tokens, overwrite)}
+    encoded = stored("tokens", tokens, [rows, f"{encoding.path}/vocab"])
+    out = {"tokens": spark.read.parquet(encoded)}
     if output_vectors:
         def vectors() -> DataFrame:
             shape = [[max_length], [max_length]]
@@ -112,10 +133,16 @@ def prepare(
             made = embed_rows(given, make_predict_fn=make_predict_fn, shapes=shape, idf=encoding.idf)
             return made.select(*keys, "hidden_state", "label")
 
-        out["hidden"] = materialize_if_absent(spark, f"{tables}_hidden", vectors, overwrite)
+        model = getattr(make_predict_fn, "__qualname__", None)
+        out["hidden"] = spark.read.parquet(stored("hidden", vectors, [encoded, f"{encoding.path}/idf"], model=model))
     return out
 
 
+def read_prepared(spark: SparkSession, encoding: Encoding, kind: str = "tokens", **recipe: object) -> DataFrame:
+    """The prepared tables of an encoding (``tokens`` or ``hidden``) whose recipes match, with the recipe's columns."""
+    return read_recipe(spark, f"{encoding.path}/tables/{kind}", **recipe)
+
+
 def prepare_gold_silver(gold: DataFrame, silver: DataFrame) -> DataFrame:
     """Gold and silver rows with the binary label."""
     return pairs.binarize_01(pairs.union_tiers(gold, silver))

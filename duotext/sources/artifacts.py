@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duotext.runtime import path_exists
+from duotext.sources.versions import newest_of_each
 
 RECIPE_COLUMNS = ["tier", "split", "num_label", "upsampled", "null_ratio"]
 
@@ -29,7 +30,7 @@ def materialize_if_absent(
     """The stored table if it is complete, else compute, store and re-read it.
 
     Reading back also cuts the lineage.  A table without its ``_SUCCESS`` mark is
-    the rest of a failed write and is replaced.
+    the rest of a failed write and is replaced.  (``versions.materialize`` also knows when its inputs change.)
     """
     if overwrite or not path_exists(spark, f"{path}/_SUCCESS"):
         compute().write.mode("overwrite").parquet(path)
@@ -50,15 +51,19 @@ def write_recipe(
 
 
 def read_recipe(spark: SparkSession, root: str, **recipe: object) -> DataFrame:
-    """The tables of the recipes that match; partitions of other recipes are not opened."""
+    """The tables of the recipes that match; partitions of other recipes are not read."""
     unknown = set(recipe) - set(RECIPE_COLUMNS)
     if unknown:
         raise ValueError(f"unknown recipe columns: {sorted(unknown)}")
+    # of tables stored in versions, the newest of each recipe
+    paths = newest_of_each(spark, root, len(RECIPE_COLUMNS)) or [root]
     # partition values keep their types: a tier called 1 stays a text
-    stored = spark.read.option("inferSchema", False).parquet(root)
-    kinds = {"tier": "string", "split": "string", "num_label": "int", "upsampled": "boolean", "null_ratio": "double"}
+    stored = spark.read.option("basePath", root).parquet(*paths)
+    kinds = {
+        "tier": "string", "split": "string", "num_label": "int", "upsampled": "boolean", "null_ratio": "double", "version": "string",
+    }
     schema = T.StructType([T.StructField(f.name, T._parse_datatype_string(kinds[f.name]) if f.name in kinds else f.dataType) for f in stored.schema])
-    df = spark.read.schema(schema).parquet(root)
+    df = spark.read.schema(schema).option("basePath", root).parquet(*paths).drop("version")
     for column, value in recipe.items():
         df = df.where(F.col(column) == F.lit(value))
     return df

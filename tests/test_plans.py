@@ -26,12 +26,13 @@ def test_row_operators_do_not_shuffle(spark, sf_dir, steps):
     vocab = encoding.build_vocab(texts, "text", 1000)
     blank = sampling.inject_null_context(steps.withColumn("context", F.lit("x")), 0.25, "row_id")
     for df in (
-        shift.update_probs(scored, weights), encoding.encode_text(texts, vocab), blank,
+        shift.update_probs(scored, weights), blank,
         sampling.random_split(steps, "row_id"), pairs.confident_rows(scored),
         ordering.exact_k_by_hash(steps, 100, "row_id", 1),
         sampling.upsample_poisson(frames.imbalanced(spark, sf_dir), "label", "row_id"),
     ):
         assert "Exchange" not in plan(df) and "Python" not in plan(df)
+    assert "Exchange" not in plan(encoding.encode_text(texts, vocab))
 
 
 def test_score_plans_do_not_grow_with_the_classes(spark):

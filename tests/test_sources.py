@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from duotext import runtime, schema
 from duotext.operators import learning, pairs
 from duotext.plans import recipes
-from duotext.sources import artifacts, readers
+from duotext.sources import artifacts, readers, versions
 
 ROWS = [("ctx", "first", "0"), ("", "empty context", "2"), (None, "no context", "1"), ("ctx", "first", "0")]
 
@@ -127,9 +127,11 @@ def test_prepare(spark, tmp_path):
     out = recipes.prepare(spark, root, store, "gold", "train", upsampling=True, null_ratio=0.25, max_length=16)
     n0 = sum(r[2] != "2" for r in rows)
     tokens = out["tokens"]
-    assert sorted(os.listdir(f"{store}/gold_train/tables")) == [
-        "gold_null_context_upsample_2-label_train_hidden", "gold_null_context_upsample_2-label_train_tokens",
-    ]
+    (encoding,) = [n for n in os.listdir(store) if n.startswith("gold_train_")]
+    words = recipes.load_encoding(spark, f"{store}/{encoding}")
+    assert recipes.read_prepared(spark, words, tier="gold", upsampled=True, null_ratio=0.25).count() == tokens.count()
+    assert recipes.read_prepared(spark, words, "hidden").drop("tier", "split", "num_label", "upsampled", "null_ratio").columns == out["hidden"].columns
+    assert recipes.read_prepared(spark, words, num_label=3).count() == 0
     assert tokens.count() == 2 * n0 == out["hidden"].count()
     assert tokens.where("context = ''").count() == int(0.25 * 2 * n0)
     assert tokens.where("size(input_ids) <> 16 or size(attention_mask) <> 16").count() == 0
@@ -142,10 +144,11 @@ def test_prepare_reuses_and_overwrites(spark, tmp_path):
     def run(**kw):
         return recipes.prepare(spark, root, store, "gold", "train", num_label=3, output_vectors=False, max_length=16, **kw)["tokens"]
 
-    assert run().count() == len(rows)
-    jsonl(f"{root}/gold/train.jsonl", rows[:4])
-    assert run().count() == len(rows)
-    assert run(overwrite=True).count() == 4
+    first = run()
+    assert first.count() == len(rows) and run().inputFiles() == first.inputFiles()
+    jsonl(f"{root}/gold/train.jsonl", rows[:4])  # a changed file is prepared again
+    assert run().count() == 4
+    assert run(overwrite=True).inputFiles() != run(overwrite=True).inputFiles()
 
 
 def test_one_encoding_for_all_splits(spark, tmp_path):
@@ -174,6 +177,64 @@ def test_recipes_share_one_keyed_source(spark, tmp_path):
         assert made["tokens"].count() == source.count() == len(rows)
 
 
+def test_versions_follow_their_inputs(spark, tmp_path):
+    path, calls = f"{tmp_path}/table", []
+    given = [str(tmp_path / "in")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one")
+
+    def compute():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    def get(recipe="x", **kw):
+        return versions.materialize(spark, path, compute, given, {"name": recipe}, **kw).count()
+
+    assert [get(), get(), get(overwrite=True), get()] == [1, 1, 2, 2]
+    (tmp_path / "in" / "a.txt").write_text("longer")
+    assert [get(), get()] == [3, 3]
+    (tmp_path / "in" / "_hidden").write_text("no input")
+    assert get() == 3 and get("y") == 4
+    newest = versions.versions(spark, path)
+    assert len(newest) == versions.KEPT
+    made = versions.manifest(spark, newest[-1])
+    assert made["recipe"] == {"name": "y"} and [f[1] for f in made["inputs"]] == [6]
+    os.rename(tmp_path / "in", tmp_path / "gone")
+    assert get("y") == 4  # what there is, since it can't be made again
+    with pytest.raises(FileNotFoundError):
+        get("z")
+
+
+def test_a_failed_write_leaves_the_table(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    (tmp_path / "in").write_text("one")
+    assert versions.materialize(spark, path, lambda: spark.range(3), [f"{tmp_path}/in"]).count() == 3
+    before = versions.versions(spark, path)
+    (tmp_path / "in").write_text("other")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        versions.materialize(spark, path, lambda: spark.range(5).select(F.raise_error(F.lit("killed")).cast("int").alias("id")), [f"{tmp_path}/in"])
+    assert versions.versions(spark, path) == before and spark.read.parquet(before[-1]).count() == 3
+
+    def changes_its_input():
+        (tmp_path / "in").write_text("changed meanwhile")
+        return spark.range(9)
+
+    with pytest.raises(RuntimeError, match="changed"):
+        versions.materialize(spark, path, changes_its_input, [f"{tmp_path}/in"])
+    assert versions.versions(spark, path) == before
+
+
+def test_whole_rows_are_read_once_per_class(spark, tmp_path):
+    root, store, rows = corpus(tmp_path)
+    source = recipes.keyed_source(spark, root, store, "gold", "train")
+    keys = runtime.cut_lineage(source.select("row_id", "label"))
+    whole = recipes.prepare_pairs(source, True, null_ratio=0.25, keys=keys)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3  # each class of the source, and the draws
+    plain = recipes.prepare_pairs(source, True, null_ratio=0.25)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, plain.select(*whole.columns).collect()))
+
+
 def test_csv_lines_can_be_split(spark, tmp_path):
     (tmp_path / "x.csv").write_text('all_text,label\n"a, ""b""",1\nc,0\n')
     read = readers.read_csv_splits(spark, {"train": str(tmp_path / "x.csv")}, multi_line=False)
