@@ -525,3 +525,5 @@ vectors AS (SELECT row_id, slot, (tf * idf)::FLOAT::DOUBLE AS v FROM terms JOIN
 SELECT row_id, 768::INTEGER AS width, round(sqrt(coalesce(sum(v * v), 0)), 6) AS norm,
   {', '.join(f"round(coalesce(max(v) FILTER (slot = {i}), 0), 6) AS slot_{i}" for i in (0, 300, 767))}
 FROM texts LEFT JOIN vectors USING (row_id) GROUP BY row_id"""
+ORACLE["best_so_far_stream"] = ORACLE["best_so_far"]
+ORACLE["epoch_stats_stream"] = ORACLE["epoch_stats"]

@@ -13,7 +13,8 @@ from duotext.catalog import frames as fr
 from duotext.operators import encoding, learning, metrics, ordering, pairs, sampling, shift, training_log
 from duotext.plans import recipes
 from duotext.runtime import scratch_path
-from duotext.sources import artifacts, readers
+from duotext.sources import artifacts, readers, versions
+from duotext.streaming import step_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -487,6 +488,36 @@ def select_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_log.select_checkpoint(_flagged(spark, sf_dir), "row_id", "run")
 
 
+def _arriving(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
+    """The step log as a stream of files that were written one after another, each a range of row ids; one per micro-batch."""
+    path, steps = scratch_path(spark, "arriving"), fr.steps(spark, sf_dir)
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = [None, *sorted(set(steps.agg(F.percentile_approx("row_id", shares, 10_000)).first()[0] or [])), None]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = steps if low is None else steps.where(F.col("row_id") >= low)
+        part = part if high is None else part.where(F.col("row_id") < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def best_so_far_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags of ``best_so_far``, from micro-batches with the state of each run."""
+    steps = _arriving(spark, sf_dir).withColumn("loss", F.col("loss") / 10)
+    flagged = step_log.best_so_far_stream(steps, "loss", "row_id", "run")
+    out = scratch_path(spark, "flags")
+    step_log.write_flags(flagged, out, scratch_path(spark, "flags-checkpoint"), availableNow=True).awaitTermination()
+    return spark.read.schema(flagged.schema).parquet(out).select("run", "row_id", "loss", "saved")
+
+
+@query
+def epoch_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``epoch_stats`` after the last micro-batch."""
+    out = scratch_path(spark, "epochs")
+    step_log.write_epoch_stats(_arriving(spark, sf_dir), out, scratch_path(spark, "epochs-checkpoint"), availableNow=True).awaitTermination()
+    return rounded(spark.read.parquet(versions.versions(spark, out)[-1]), "train_loss", "valid_loss", "valid_accuracy")
+
+
 # -- evaluation ------------------------------------------------------------------------
 
 @query

@@ -1,7 +1,8 @@
 """Operators that also take a streaming DataFrame.
 
 They are maps over the rows, keep no state and start no job of their own on the
-rows, so a stream passes through them unchanged.  Everything that ranks, samples
+rows, so a stream passes through them unchanged.  ``step_log`` holds what keeps state:
+flags and statistics of a training log as it arrives.  Everything else that ranks, samples
 exactly or aggregates a whole table is for finite tables only.
 """
 
@@ -22,10 +23,11 @@ from duotext.operators.pairs import (
 )
 from duotext.operators.sampling import random_split
 from duotext.operators.shift import adjust_probs, apply_class_weights, update_probs
+from duotext.streaming.step_log import best_so_far_stream, write_epoch_stats, write_flags
 
 __all__ = [
-    "adjust_probs", "apply_class_weights", "binarize_01", "class_partition", "confident_rows",
+    "adjust_probs", "apply_class_weights", "best_so_far_stream", "binarize_01", "class_partition", "confident_rows",
     "drop_columns", "encode_pair", "encode_text", "label_isin", "label_to_int", "letter_label",
     "merge_neutral", "pair_text", "predict", "predict_proba", "random_split", "select_model_columns",
-    "silver_minority_only", "update_probs",
+    "silver_minority_only", "update_probs", "write_epoch_stats", "write_flags",
 ]
