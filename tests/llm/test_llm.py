@@ -233,36 +233,99 @@ def test_model_beats_the_base_on_held_out_texts(spark, sf_dir):
     assert (sums[0] - sums[1]) / sums[2] > 0.1
 
 
-def test_class_shares_add_up_and_steps_raise_the_likelihood():
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_scores_do_not_depend_on_partitions_and_gain_with_the_corpus(spark, name):
+    docs, gains = spark.read.parquet(f"/root/testdata/{name}/documents.parquet").select("doc_id", "text"), []
+    for n in (2, 64):
+        rows = maxent.score(docs.repartition(n)).where("held_out").collect()
+        gains.append(sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows))
+    assert gains[0] == pytest.approx(gains[1], rel=1e-4)
+    assert gains[0] > {"sf0.001": 0.1, "sf0.01": 0.16}[name]
+
+
+def test_slots_grow_with_the_corpus():
+    assert [maxent.slots_for(n) for n in (0, 1 << 18, (1 << 18) + 1, 1 << 21, 1 << 40)] == [1 << 12, 1 << 12, 1 << 13, 1 << 15, 1 << 16]
+
+
+def test_slopes_are_those_of_the_likelihood_without_the_token_itself():
     import numpy as np
 
-    texts = [b"a b c a b d", b"b a c e", b""] * 20
-    _, bounds, rows, classes, _ = maxent.Reader().read(texts)
-    assert np.diff(bounds).tolist() == [7, 5, 1] * 20
-    start = np.zeros((maxent._ROWS[-1], maxent.CLASSES), np.float32)
-    learner, likelihood = maxent.Learner(start), []
-    for _ in range(5):
-        shares = maxent.class_shares(learner.weights, rows, slice(None))
-        assert np.allclose(shares.sum(1), 1, atol=1e-5)
-        own = maxent.log_shares(learner.weights, rows, classes)
-        assert np.allclose(own, np.log(shares[np.arange(len(classes)), classes]), atol=1e-4)
-        likelihood.append(float(own.sum()))
-        learner.step(rows, classes)
-    assert likelihood == sorted(likelihood) and likelihood[0] < likelihood[-1]
-
-
-def test_changes_of_many_tasks_are_averaged(spark, monkeypatch):
+    texts, slots = [b"a b c a b d", b"b a c e", b"", b"a b c d d d"] * 5, 1 << 12
+    rows = maxent.rows_of(slots)
+    _, bounds, found, classes, _ = maxent.Reader(slots).read(texts)
+    assert np.diff(bounds).tolist() == [7, 5, 1, 7] * 5
+    counts = np.zeros((rows[-1], maxent.CLASSES))
+    for base, slot in zip(rows[1:-1], found, strict=True):
+        np.add.at(counts, (base + slot.astype(int), classes), 1)
+    prior = (np.bincount(classes, minlength=maxent.CLASSES) + 0.5) / (len(classes) + 16)
+    weights = np.log1p(counts / (maxent.PRIOR * prior)).astype(np.float32)
+    weights[0] = np.log(prior)
+
+    def likelihood(scales):
+        total = 0.0
+        for t, c in enumerate(classes):
+            x = np.log(prior)
+            for f, (base, slot) in enumerate(zip(rows[1:-1], found, strict=True)):
+                others = counts[base + int(slot[t])].copy()
+                others[c] -= 1
+                x = x + scales[f] * np.log1p(others / (maxent.PRIOR * prior))
+            total += x[c] - np.log(np.exp(x).sum())
+        return total
+
+    scales = np.array([0.3, 0.5, 0.2, 0.4, 0.1])
+    slopes = maxent.Slopes(weights, scales, rows)
+    slopes.add(found, classes)
+    for f in range(maxent.FEATURES):
+        step = np.eye(maxent.FEATURES)[f] * 1e-4
+        up, here, down = likelihood(scales + step), likelihood(scales), likelihood(scales - step)
+        assert slopes.first[f] == pytest.approx((up - down) / 2e-4, rel=1e-3, abs=1e-3)
+        assert slopes.second[f, f] == pytest.approx(-(up - 2 * here + down) / 1e-8, rel=2e-2, abs=1e-2)
+    shares = maxent.class_shares(weights, rows, found, slice(None))
+    assert np.allclose(shares.sum(1), 1, atol=1e-5)
+    own = maxent.log_shares(weights, rows, found, classes)
+    assert np.allclose(own, np.log(shares[np.arange(len(classes)), classes]), atol=1e-4)
+
+
+def test_counts_of_contexts_are_added_up_level_by_level(spark, monkeypatch):
     import numpy as np
 
     texts = frame(spark, [(i, f"a b{i % 3} c", "s") for i in range(40)]).repartition(9)
-    start = np.zeros((maxent._ROWS[-1], maxent.CLASSES), np.float32)
-    flat = maxent._round(texts, start)
+    flat = maxent.count_contexts(texts, 1 << 12)
     monkeypatch.setattr(maxent, "_FAN", 2)
-    assert np.abs(flat).max() > 0 and np.allclose(flat, maxent._round(texts, start), atol=1e-6)
+    assert (flat == maxent.count_contexts(texts, 1 << 12)).all() and flat.sum() == 6 * 160
+
+
+def test_scores_against_brute_force(spark):
+    """The model's score from its weights, token by token, in plain Python."""
+    import math
+
+    import numpy as np
+
+    rnd = random.Random(12)
+    texts = {i: " ".join(rnd.choices(["the", "a", "cat", "dog", "runs", "sleeps", "x"], [5, 4, 3, 3, 2, 2, 1], k=rnd.randint(0, 12))) for i in range(60)}
+    docs = frame(spark, [(i, t, "s") for i, t in texts.items()])
+    training = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    words_of = [[*t.encode().split(), b""] for t in training]
+    counts = Counter(w for t in words_of for w in t)
+    held = [Counter() for _ in range(maxent.CLASSES)]
+    for w, n in counts.items():
+        held[maxent.word_class(w)][w] = n
+    tokens = np.array([sum(c.values()) for c in held], float)
+    weights, slots = maxent.train(frame(spark, [(i, t, "s") for i, t in enumerate(training)]), tokens)
+    rows = maxent.rows_of(slots)
+    for r in maxent.score(docs).collect():
+        reader, total = maxent.Reader(slots), 0.0
+        _, _, found, classes, _ = reader.read([texts[r.doc_id].encode()])
+        for t, word in enumerate([*texts[r.doc_id].encode().split(), b""]):
+            x = weights[0].astype(float) + sum(weights[base + int(slot[t])].astype(float) for base, slot in zip(rows[1:-1], found, strict=True))
+            c = maxent.word_class(word)
+            inside = (counts[word] + 0.5) / (tokens[c] + 0.5 * (len(held[c]) + 1))
+            total += (x[c] - math.log(np.exp(x).sum())) / math.log(10) + math.log10(inside)
+        assert r.score == pytest.approx(total, abs=1e-3)
 
 
 def test_contexts_stay_inside_their_text():
-    alone, together = maxent.Reader(), maxent.Reader()
+    alone, together = maxent.Reader(1 << 14), maxent.Reader(1 << 14)
     texts = [b"x y z w", b"", b"Y Z", b"x y"]
     _, bounds, rows, _, _ = together.read(texts)
     for i, text in enumerate(texts):
