@@ -7,58 +7,41 @@ from pyspark.sql import functions as F
 
 from duotext.llm.texts import leading, let, words
 
-SHINGLE, SCALE, FLOOR = 5, 16, 32
+SHINGLE, SCALE = 5, 4
 #: Buckets per shuffle partition when documents are brought next to their neighbours.
 _BUCKETS = 4
 _LOWEST = -(1 << 63)
 
 
-def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE, floor: int = FLOOR) -> Column:
+def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     """Sorted distinct hashes of the text's word shingles that lie in the lowest 1/``scale`` of all hashes.
 
-    A text that has fewer than ``floor`` of them keeps its ``floor`` lowest, so that short texts
-    have a fingerprint too.  Fewer words than a shingle has: their sequence is the one
-    shingle.  NULL and empty texts have the hash of no word.
+    The fraction is the same for every text, so a sketch grows with its text, and sketches of texts of
+    any length are comparable and mergeable; a short text may retain no hash.  Fewer words than a shingle
+    has: their sequence is the one shingle.  NULL and empty texts have the hash of no word.
     """
     limit = _LOWEST + (1 << 64) // scale
 
-    def hashes(w: Column) -> Column:
+    def lowest(w: Column) -> Column:
         count = F.greatest(F.size(w) - (shingle - 1), F.lit(1))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(w, i, shingle))))
+        hashes = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(w, i, shingle)))
+        return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < limit)))
 
-    def lowest(found: Column) -> Column:
-        return let(F.filter(found, lambda h: h < limit), lambda low: F.when(F.size(low) >= floor, F.sort_array(low)).otherwise(
-            F.slice(F.sort_array(found), 1, floor)))
+    return let(words(text), lowest)
 
-    return let(words(text), lambda w: let(hashes(w), lowest))
 
-
-def merged(left: Column, right: Column, scale: int = SCALE, floor: int = FLOOR) -> Column:
+def merged(left: Column, right: Column) -> Column:
     """The sketch of two texts' shingles together, from their sketches alone."""
-    limit = _LOWEST + (1 << 64) // scale
-    return let(F.sort_array(F.array_union(left, right)), lambda both: let(
-        F.filter(both, lambda h: h < limit), lambda low: F.when(F.size(low) >= floor, low).otherwise(F.slice(both, 1, floor))))
+    return F.array_sort(F.array_union(left, right))
 
 
-def containment(left: Column, right: Column, scale: int = SCALE, floor: int = FLOOR) -> Column:
-    """The greater of the two shares of one text's shingles that the other has, 0 to 1.
+def containment(left: Column, right: Column) -> Column:
+    """The greater of the two shares of one text's shingles that the other has, 0 to 1, from sketches of one scale.
 
-    Only hashes below the bound under which both sketches are whole are compared: the fixed
-    fraction, or the highest hash kept where ``floor`` filled a sketch up beyond it.
+    0 if one of them retained no hash.
     """
-    limit = _LOWEST + (1 << 64) // scale
-
-    def bound(s: Column) -> Column:
-        top = F.element_at(s, -1)
-        # a short sketch beyond the fraction holds all the text has
-        return F.when(F.size(s) < floor, F.lit((1 << 63) - 1)).otherwise(F.greatest(top, F.lit(limit - 1)))
-
-    def estimate(top: Column) -> Column:
-        a, b = F.filter(left, lambda h: h <= top), F.filter(right, lambda h: h <= top)
-        least = F.least(F.size(a), F.size(b))
-        return F.when(left == right, 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
-
-    return let(F.least(bound(left), bound(right)), estimate)
+    least = F.least(F.size(left), F.size(right))
+    return F.when(least == 0, 0.0).otherwise(F.size(F.array_intersect(left, right)) / least)
 
 
 def shown(s: Column) -> Column:
@@ -102,19 +85,26 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
     return placed.withColumn("next", following).where(~F.col("__at.guest")).drop("__at")
 
 
-def fingerprint(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, floor: int = FLOOR) -> DataFrame:
+def fingerprint(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per document.
 
     ``near_*`` is the estimated containment, by sketch, of the document and its edited text
-    or the next document.  Equal texts have equal fingerprints, and equal ones are 1 near.
+    or the next document.  Equal texts have equal fingerprints and are 1 near, however short; different
+    texts of which one retains no hash are 0 near.  Texts are shuffled alone: sketches are made
+    where a text has met its next one.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sketched = base.withColumn("sketch", sketch(F.col("text"), shingle, scale, floor))
-    paired = with_next(sketched, ["text", "sketch"]).withColumn("edited", edited(F.col("text"), F.col("next.text")))
-    own, other = F.col("sketch"), F.col("edited_sketch")
-    return paired.withColumn("edited_sketch", sketch(F.col("edited"), shingle, scale, floor)).select(
+    paired = with_next(base, ["text"]).select("doc_id", "text", F.col("next.text").alias("following")).withColumn("edited", edited(F.col("text"), F.col("following")))
+    sketched = paired.select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        shown(own).alias("fingerprint"), shown(other).alias("edited_fingerprint"),
-        containment(own, other, scale, floor).alias("near_edited"),
-        containment(own, F.col("next.sketch"), scale, floor).alias("near_next"),
+        (F.col("text") == F.col("edited")).alias("same"), (F.col("text") == F.col("following")).alias("same_next"),
+        *[sketch(F.col(c), shingle, scale).alias(c) for c in ("text", "edited", "following")],
+    )
+
+    def near(other: str, same: str) -> Column:
+        return F.when(F.col(same), 1.0).otherwise(containment(F.col("text"), F.col(other)))
+
+    return sketched.select(
+        "doc_id", "n_chars", "edited_sha256", shown(F.col("text")).alias("fingerprint"), shown(F.col("edited")).alias("edited_fingerprint"),
+        near("edited", "same").alias("near_edited"), near("following", "same_next").alias("near_next"),
     )
