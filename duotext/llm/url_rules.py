@@ -61,6 +61,26 @@ def _bucket(cuts: list[str], key: Column) -> Column:
     return leading(len(cuts), lambda i: F.get(listed, i) <= key)
 
 
+def _cuts(keyed: DataFrame) -> tuple[list[str], list[int]]:
+    """(lower ends of the buckets after the first, sub-buckets of every bucket) from a sample of about ``SAMPLE`` rows.
+
+    Rows are drawn by their hash at a rate set by their number, and equal ones are counted in the
+    tasks, so that about ``SAMPLE`` records in all reach the driver, whatever the number of partitions or of copies.
+    """
+    rate = min(1.0, SAMPLE / max(1, keyed.count()))
+    drawn = keyed.where(F.pmod("salt", F.lit(1 << 32)) < int(rate * (1 << 32))).groupBy("key", "salt").count()
+    sample = sorted(((r["key"].encode(), r["count"]) for r in drawn.collect()))
+    width, cuts, weights, held = max(1.0, sum(n for _, n in sample) / BUCKETS), [], [0], 0
+    for i, (key, n) in enumerate(sample):
+        if weights[-1] and held >= width and key != sample[i - 1][0]:
+            cuts.append(key.decode())
+            weights.append(0)
+            held = 0
+        weights[-1] += n
+        held += n
+    return cuts, [max(1, round(n / width)) for n in weights]
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict), one row per row of ``pages``.
 
@@ -78,29 +98,21 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     urls = pages.select("page_id", host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     keyed = urls.withColumn("key", reversed_key(F.col("host")))
     salt = F.xxhash64("key", "path", "page_id")
-    drawn = keyed.select("key", salt.alias("salt")).orderBy("salt", "key").limit(SAMPLE).collect()
-    sample = sorted((r["key"] for r in drawn), key=lambda k: k.encode())
-    width = max(1, len(sample) // BUCKETS)
-    cuts = sorted(set(sample[::width]), key=lambda k: k.encode())
-    counts = [0] * (len(cuts) + 1)
-    at = 0
-    for key in sample:
-        while at < len(cuts) and cuts[at].encode() <= key.encode():
-            at += 1
-        counts[at] += 1
-    parts = F.array(*[F.lit(max(1, round(n / width))) for n in counts])
+    cuts, sizes = _cuts(keyed.select("key", salt.alias("salt")))
+    parts = F.array(*[F.lit(n) for n in sizes])
     dealt = keyed.withColumn("bucket", _bucket(cuts, F.col("key"))).select(
         "bucket", F.pmod(salt, F.get(parts, F.col("bucket"))).cast("int").alias("part"), "key", F.lit(1).alias("kind"),
         F.lit(None).cast("array<struct<path:string,rule:string,verdict:string>>").alias("stack"), "page_id", "host", "path",
     )
     events = stored(rule_events(rules).withColumn("bucket", _bucket(cuts, F.col("key"))))
-    # the stack at the lower end of each bucket: that of the last event before it
+    # the stack at the lower end of each bucket: that of the last event before it.  The last event of each bucket is
+    # an aggregate, so that the one window over all buckets sees a row per bucket, however many rules there are
     spark = pages.sparkSession
     edges = spark.createDataFrame([(i + 1, c) for i, c in enumerate(cuts)], "bucket int, key string")
-    carried = Window.orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = events.select("key", F.lit(0).alias("kind"), "stack", F.lit(None).cast("int").alias("bucket")).unionByName(
-        edges.withColumn("kind", F.lit(1)).withColumn("stack", F.lit(None).cast("array<struct<path:string,rule:string,verdict:string>>"))
-    ).withColumn("stack", F.last("stack", ignorenulls=True).over(carried)).where("bucket is not null").select("bucket", "key", "stack")
+    last = events.groupBy("bucket").agg(F.max_by("stack", "key").alias("stack"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    every = spark.range(len(cuts) + 1).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(last), "bucket", "left")
+    start = every.select("bucket", F.last("stack", ignorenulls=True).over(before).alias("stack")).join(F.broadcast(edges), "bucket").select("bucket", "key", "stack")
     opening = events.select("bucket", "key", "stack", F.lit(0).alias("kind")).unionByName(start.withColumn("kind", F.lit(-1)))
     spread = opening.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("bucket")) - 1)))
     none = F.lit(None).cast("string")
