@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import zstandard
 from pyspark.sql import DataFrame
 
 from duotext.llm.texts import map_texts
 
-KINDS = ("assign", "access", "hex", "novel")
+KINDS = ("assign", "access", "hex", "key", "webtoken", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a run is matched whole, so short ones need no match at all
@@ -27,6 +28,9 @@ IDENTIFIERS = (
     "January February March April May June July August September October November December 2020-01-01T00:00:00Z"
 )
 _WORD = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A value that is assigned to a sensitive name or follows ``bearer``: a candidate whatever its characters.
+_VALUE = re.compile(
+    r"""(?:secret|token|passw|pwd|key|credential|signature)[A-Za-z0-9_]*["']?\x20*[:=]\x20*["']?(?P<a>[A-Za-z0-9+/_=-]{16,})|bearer\x20+(?P<b>[A-Za-z0-9+/_=-]{16,})""", re.I | re.A)
 #: A candidate lies within so many characters of a sensitive word or of a span found; so much text around it primes the compressor.
 _REACH, _AROUND = 64, 256
 #: The body of a private key: up to its last line or, where that is missing, while lines (or escaped ones) are base64.
@@ -38,6 +42,27 @@ _KEY = re.compile(
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*){2,4}", re.A)
 
 
+class _Cover:
+    """Spans as disjoint sorted intervals, so that a text's length enters once, not once per span."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends = [], []
+        for s, e, _ in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def inside(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The intervals that share a character with start to end."""
+        low, high = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        return list(zip(self.starts[low:high], self.ends[low:high], strict=True))
+
+    def meets(self, start: int, end: int) -> bool:
+        return bisect_right(self.ends, start) < bisect_left(self.starts, end)
+
+
 class Scanner:
     """``novelty``: least marginal compressed bytes per byte of a candidate that is reported."""
 
@@ -52,16 +77,20 @@ class Scanner:
         return (len(self.compress(base + candidate.encode())) - len(self.compress(base))) / len(candidate)
 
     def known(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """What of private keys and web tokens lies outside ``taken``."""
-        whole = [m.span(m.lastgroup) for m in _KEY.finditer(text) if _WORD.search(m[m.lastgroup])] if "PRIVATE KEY" in text else []
-        whole += [m.span() for m in _JWT.finditer(text)] if "eyJ" in text else []
+        """What of private keys (``key``) and web tokens (``webtoken``) lies outside ``taken``."""
+        whole = [(*m.span(m.lastgroup), "key") for m in _KEY.finditer(text) if _WORD.search(m[m.lastgroup])] if "PRIVATE KEY" in text else []
+        known = [p for s, e, kind in whole for p in self._outside(text, s, e, kind, _Cover(taken))]
+        tokens = [(*m.span(), "webtoken") for m in _JWT.finditer(text)] if "eyJ" in text else []
+        cover = _Cover(taken + known) if tokens else None
+        return known + [p for s, e, kind in tokens for p in self._outside(text, s, e, kind, cover)]
+
+    @staticmethod
+    def _outside(text: str, at: int, end: int, kind: str, cover: _Cover) -> list[tuple[int, int, str]]:
         out = []
-        for at, end in whole:
-            inside = sorted((s, e) for s, e, _ in taken + out if s < end and at < e)
-            for s, e in [*inside, (end, end)]:
-                if at < s and not text[at:s].isspace():
-                    out.append((at, s, "novel"))
-                at = max(at, e)
+        for s, e in [*cover.inside(at, end), (end, end)]:
+            if at < s and not text[at:s].isspace():
+                out.append((at, s, kind))
+            at = max(at, e)
         return out
 
     def novel(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -72,7 +101,9 @@ class Scanner:
             return []
         words = {m.span() for m in _WORD.finditer(text)}
         words |= {m.span() for _, end in hints if (m := _WORD.match(text, end))}  # behind a sensitive word that it is joined to
-        spans = sorted(w for w in words if self._mixed(text[slice(*w)]) and not any(s < w[1] and w[0] < e for s, e, _ in taken))
+        values = {m.span(m.lastgroup) for m in _VALUE.finditer(text)}
+        cover = _Cover(taken)
+        spans = sorted(w for w in words | values if (w in values or self._mixed(text[slice(*w)])) and not cover.meets(*w))
         waiting, at, edge = [], 0, -_REACH - 1
         for i, (start, end) in enumerate(spans):
             while at < len(near) and near[at][0] < start:
@@ -118,10 +149,11 @@ def scan(docs: DataFrame, novelty: float = 0.7, keep: tuple[str, ...] = ("doc_id
     """``keep``, n_assign, n_access, n_hex BIGINT, base_sha256 and spans STRING.
 
     spans lists kind:start:end of all spans; base_sha256 is the SHA-256 of the list of
-    those of the three fixed forms.  ``novel`` spans are the bodies of private keys, web tokens, and strings within
-    64 characters of a sensitive word or of another span, on either side,
-    whose marginal zstandard size, primed with the text around and with everyday
-    identifiers, stays near their length.  They never overlap a fixed form.
+    those of the three fixed forms.  ``key`` spans are the bodies of private keys, ``webtoken`` ones web tokens, by their
+    form.  ``novel`` spans are strings within 64 characters of a sensitive word or of another span, on either side,
+    or assigned to a sensitive name, whose marginal zstandard size, primed with the text around and with everyday
+    identifiers, stays near their length.  None of them overlaps a fixed form.  NULL and empty texts have no spans; a
+    long text takes time in proportion to its length.
     """
 
     def make():
@@ -129,7 +161,7 @@ def scan(docs: DataFrame, novelty: float = 0.7, keep: tuple[str, ...] = ("doc_id
 
         def work(texts: list[bytes]):
             spans = [scanner.spans(t.decode()) for t in texts]
-            base = [[s for s in x if s[2] != "novel"] for x in spans]
+            base = [[s for s in x if s[2] in KINDS[:3]] for x in spans]
             counts = [[sum(s[2] == kind for s in x) for x in base] for kind in KINDS[:3]]
             return [*counts, [hashlib.sha256(_shown(x).encode()).hexdigest() for x in base], list(map(_shown, spans))]
 
