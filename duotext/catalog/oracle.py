@@ -175,7 +175,7 @@ adjusted AS (SELECT row_id, y_pred, CASE WHEN v0 + v1 + v2 = 0 THEN w0 ELSE v0 /
   CASE WHEN v0 + v1 + v2 = 0 THEN w2 ELSE v2 / (v0 + v1 + v2) END AS a2 FROM moved)"""
 
 # two classes: inverse of a 2 x 2 matrix of counts a b / c d (rows true, columns predicted)
-BINARY_WEIGHTS = FLAGS + """,
+WEIGHTS_OF_TWO = """
 cells AS (SELECT count(*) FILTER (y_true = 0 AND y_pred = 0)::DOUBLE AS a, count(*) FILTER (y_true = 0 AND y_pred = 1)::DOUBLE AS b,
   count(*) FILTER (y_true = 1 AND y_pred = 0)::DOUBLE AS c, count(*) FILTER (y_true = 1 AND y_pred = 1)::DOUBLE AS d
   FROM scored WHERE row_id % 2 = 0),
@@ -184,6 +184,18 @@ mu AS (SELECT avg(CASE WHEN y_pred = 0 THEN 1.0 ELSE 0.0 END) AS m0, avg(CASE WH
 solved AS (SELECT CASE WHEN a * d = b * c THEN 0 ELSE (a + b + c + d) * (d * m0 - c * m1) / (a * d - b * c) END AS w0,
   CASE WHEN a * d = b * c THEN 0 ELSE (a + b + c + d) * (a * m1 - b * m0) / (a * d - b * c) END AS w1,
   a * d = b * c AS degenerate FROM cells, mu)"""
+BINARY_WEIGHTS = f"{FLAGS}, {WEIGHTS_OF_TWO}"
+CORRECTED = """,
+clipped AS (SELECT greatest(w0, 0) AS w0, greatest(w1, 0) AS w1 FROM solved),
+test AS (SELECT y_true, y_pred AS before, CASE WHEN w0 * p0 >= w1 * p1 THEN 0 ELSE 1 END AS after
+  FROM scored, clipped WHERE row_id % 2 = 1),
+both_stages AS (SELECT 'before' AS stage, y_true, before AS y_pred FROM test UNION ALL SELECT 'after', y_true, after FROM test),
+cell AS (SELECT stage, count(*)::DOUBLE AS n, count(*) FILTER (y_true = 1 AND y_pred = 1)::DOUBLE AS tp, count(*) FILTER (y_true = 0 AND y_pred = 1)::DOUBLE AS fp,
+  count(*) FILTER (y_true = 1 AND y_pred = 0)::DOUBLE AS fn, count(*) FILTER (y_true = 0 AND y_pred = 0)::DOUBLE AS tn FROM both_stages GROUP BY stage),
+agree AS (SELECT *, (tp + tn) / n AS po, ((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn)) / (n * n) AS pe FROM cell)"""
+BEFORE_AND_AFTER = (
+    "SELECT stage, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1, round((po - pe) / nullif(1 - pe, 0), 6) AS cohen_kappa, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS roc_auc FROM agree"
+)
 
 
 def _long(source: str, columns: list[str], value: str, keys: str = "row_id", pos: str = "pos") -> str:
@@ -286,14 +298,19 @@ def _derivatives(over: str, weight: str) -> str:
     return ", ".join([f"{e} AS g{i}" for i, e in enumerate(first)] + second)
 
 
-NEWTON = f"""{PLANE}, fit AS (
+def _newton(train: str, scored: str) -> str:
+    """``fit`` on the rows of ``plane`` that meet a condition, and ``scored``, a query of plane and the last step."""
+    return f"""{PLANE}, fit AS (
   SELECT 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2
   UNION ALL
   SELECT step + 1, b0 - {MOVES[0]}, b1 - {MOVES[1]}, b2 - {MOVES[2]}
   FROM (SELECT *, {DET} AS det FROM (
     SELECT any_value(step) AS step, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, {_derivatives("", "any_value(b{0})")}
-    FROM (SELECT *, {ODDS} AS p FROM fit, plane WHERE step < 25 AND row_id % 2 = 0))) WHERE step IS NOT NULL),
-scored AS (SELECT row_id, y AS label, {ODDS} AS p FROM plane, fit WHERE step = 25 AND row_id % 2 = 1)"""
+    FROM (SELECT *, {ODDS} AS p FROM fit, plane WHERE step < 25 AND {train}))) WHERE step IS NOT NULL),
+scored AS ({scored} FROM (SELECT *, {ODDS} AS p FROM plane, fit WHERE step = 25))"""
+
+
+NEWTON = _newton("row_id % 2 = 0", "SELECT row_id, y AS label, p") + ", unseen AS (SELECT * FROM scored WHERE row_id % 2 = 1)"
 
 # 25 steps, then rows that are sure move to the training rows; until fewer than 5 do or none is left
 SELF_TRAIN = f"""{PLANE}, loop AS (
@@ -470,17 +487,7 @@ below AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY n_chars ROWS BETWEEN UNBOUN
     "apply_class_weights": _with(WEIGHTS, _long("test, solved", ["w0 * p0", "w1 * p1", "w2 * p2"], "value")),
     "adjust_probs": _with(ADJUSTED, _long("adjusted", ["a0", "a1", "a2"], "prob")),
     "update_probs": _with(ADJUSTED, "SELECT row_id, y_pred, CAST(CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0 WHEN a1 >= a2 THEN 1 ELSE 2 END AS INTEGER) AS new_pred FROM adjusted"),
-    "shift_corrected_evaluation": _with(
-        BINARY_WEIGHTS + """,
-clipped AS (SELECT greatest(w0, 0) AS w0, greatest(w1, 0) AS w1 FROM solved),
-test AS (SELECT y_true, y_pred AS before, CASE WHEN w0 * p0 >= w1 * p1 THEN 0 ELSE 1 END AS after
-  FROM scored, clipped WHERE row_id % 2 = 1),
-both_stages AS (SELECT 'before' AS stage, y_true, before AS y_pred FROM test UNION ALL SELECT 'after', y_true, after FROM test),
-cell AS (SELECT stage, count(*)::DOUBLE AS n, count(*) FILTER (y_true = 1 AND y_pred = 1)::DOUBLE AS tp, count(*) FILTER (y_true = 0 AND y_pred = 1)::DOUBLE AS fp,
-  count(*) FILTER (y_true = 1 AND y_pred = 0)::DOUBLE AS fn, count(*) FILTER (y_true = 0 AND y_pred = 0)::DOUBLE AS tn FROM both_stages GROUP BY stage),
-agree AS (SELECT *, (tp + tn) / n AS po, ((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn)) / (n * n) AS pe FROM cell)""",
-        "SELECT stage, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1, round((po - pe) / nullif(1 - pe, 0), 6) AS cohen_kappa, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS roc_auc FROM agree",
-    ),
+    "shift_corrected_evaluation": _with(BINARY_WEIGHTS + CORRECTED, BEFORE_AND_AFTER),
     # learning, given scores
     "self_train_step": _with(
         LOGITS + ", sure AS (SELECT *, greatest(p0, p1, p2) > 0.8 AS moved FROM scored WHERE row_id % 2 = 1), verdict AS (SELECT count(*) FILTER (moved) < 50 AS converged FROM sure), "
@@ -496,10 +503,14 @@ agree AS (SELECT *, (tp + tn) / n AS po, ((tp + fn) * (tp + fp) + (tn + fp) * (t
     "transfer_fit": _slopes([1], 67),
     "transfer_fit_held_out": _unseen("vec_id % 3 = 2"),
     "fit_mlp_head": f"SELECT *, 0.0::DOUBLE AS bias FROM ({_unseen('vec_id % 2 = 1')})",
-    "predict": _with("RECURSIVE " + NEWTON, "SELECT row_id, label, (p > 0.5)::INTEGER AS prediction FROM scored"),
-    "predict_proba": _with("RECURSIVE " + NEWTON, "SELECT row_id, 0::INTEGER AS pos, round(1 - p, 6) AS prob FROM scored UNION ALL SELECT row_id, 1, round(p, 6) FROM scored"),
+    "predict": _with("RECURSIVE " + NEWTON, "SELECT row_id, label, (p > 0.5)::INTEGER AS prediction FROM unseen"),
+    "predict_proba": _with("RECURSIVE " + NEWTON, "SELECT row_id, 0::INTEGER AS pos, round(1 - p, 6) AS prob FROM unseen UNION ALL SELECT row_id, 1, round(p, 6) FROM unseen"),
     "fit_text_classifier": _with(DOCLABELS, "SELECT row_id, label, CAST(3 AS INTEGER) AS k, 1.0::DOUBLE AS total, true AS best, 0.0::DOUBLE AS bias, true AS beats_majority FROM doclabels WHERE row_id % 2 = 1"),
-    "train_and_correct": "SELECT unnest(['before', 'after']) AS stage, true AS valid, (SELECT count(*) FROM embeddings WHERE vec_id % 3 = 2) AS n, 1.0::DOUBLE AS mean_weight",
+    "train_and_correct": _with(
+        # validation rows get even numbers, test rows odd ones
+        "RECURSIVE " + _newton("row_id % 3 = 0", "SELECT 2 * row_id + (row_id % 3 = 2)::INTEGER AS row_id, row_id % 3 AS third, y AS y_true, (p > 0.5)::INTEGER AS y_pred, 1 - p AS p0, p AS p1")
+        .replace("scored AS", "thirds AS") + ", scored AS (SELECT * FROM thirds WHERE third > 0), " + WEIGHTS_OF_TWO + CORRECTED, BEFORE_AND_AFTER,
+    ),
     "self_train": _with("RECURSIVE " + SELF_TRAIN, "SELECT row_id, y AS label, origin, (step // 26)::INTEGER AS rounds, done AS converged FROM loop WHERE done"),
     # recipes
     "prepare_splits": _prepare_splits(),
