@@ -252,7 +252,8 @@ def test_slopes_are_those_of_the_likelihood_without_the_token_itself():
 
     texts, slots = [b"a b c a b d", b"b a c e", b"", b"a b c d d d"] * 5, 1 << 12
     rows = maxent.rows_of(slots)
-    _, bounds, found, classes, _ = maxent.Reader(slots).read(texts)
+    _, bounds, hashes, classes, _ = maxent.Reader().read(texts)
+    found = maxent.contexts(hashes, classes, bounds, slots)
     assert np.diff(bounds).tolist() == [7, 5, 1, 7] * 5
     counts = np.zeros((rows[-1], maxent.CLASSES))
     for base, slot in zip(rows[1:-1], found, strict=True):
@@ -290,9 +291,11 @@ def test_counts_of_contexts_are_added_up_level_by_level(spark, monkeypatch):
     import numpy as np
 
     texts = frame(spark, [(i, f"a b{i % 3} c", "s") for i in range(40)]).repartition(9)
-    flat = maxent.count_contexts(texts, 1 << 12)
+    tokens = maxent.tokens_of(texts).repartition(9)
+    flat = maxent.count_contexts(tokens, 1 << 12)
     monkeypatch.setattr(maxent, "_FAN", 2)
-    assert (flat == maxent.count_contexts(texts, 1 << 12)).all() and flat.sum() == 6 * 160
+    monkeypatch.setattr(maxent, "PIECE", 7)
+    assert (flat == maxent.count_contexts(tokens, 1 << 12)).all() and flat.sum() == 6 * 160
 
 
 def test_scores_against_brute_force(spark):
@@ -314,8 +317,8 @@ def test_scores_against_brute_force(spark):
     weights, slots = maxent.train(frame(spark, [(i, t, "s") for i, t in enumerate(training)]), tokens)
     rows = maxent.rows_of(slots)
     for r in maxent.score(docs).collect():
-        reader, total = maxent.Reader(slots), 0.0
-        _, _, found, classes, _ = reader.read([texts[r.doc_id].encode()])
+        _, bounds, hashes, classes, _ = maxent.Reader().read([texts[r.doc_id].encode()])
+        found, total = maxent.contexts(hashes, classes, bounds, slots), 0.0
         for t, word in enumerate([*texts[r.doc_id].encode().split(), b""]):
             x = weights[0].astype(float) + sum(weights[base + int(slot[t])].astype(float) for base, slot in zip(rows[1:-1], found, strict=True))
             c = maxent.word_class(word)
@@ -325,11 +328,14 @@ def test_scores_against_brute_force(spark):
 
 
 def test_contexts_stay_inside_their_text():
-    alone, together = maxent.Reader(1 << 14), maxent.Reader(1 << 14)
+    def read(texts):
+        _, bounds, hashes, classes, _ = maxent.Reader().read(texts)
+        return bounds, maxent.contexts(hashes, classes, bounds, 1 << 14)
+
     texts = [b"x y z w", b"", b"Y Z", b"x y"]
-    _, bounds, rows, _, _ = together.read(texts)
+    bounds, rows = read(texts)
     for i, text in enumerate(texts):
-        for all_rows, own in zip(rows, alone.read([text])[2], strict=True):
+        for all_rows, own in zip(rows, read([text])[1], strict=True):
             assert all_rows[bounds[i]:bounds[i + 1]].tolist() == own.tolist()
 
 
