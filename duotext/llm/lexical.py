@@ -105,8 +105,12 @@ class Best:
 class Shard:
     """Some documents as rows of impacts, and their posting lists, blocked when a search needs them."""
 
-    def __init__(self, terms_: np.ndarray, rows: np.ndarray, impacts: np.ndarray, doc: np.ndarray, nameless: np.ndarray, width: int, axes: np.ndarray):
-        self.doc, self.nameless = doc, nameless
+    def __init__(
+        self, terms_: np.ndarray, rows: np.ndarray, impacts: np.ndarray, doc: np.ndarray, nameless: np.ndarray, width: int, axes: np.ndarray,
+        beside: list[np.ndarray],
+    ):
+        """``beside``: for each term, the terms of all items that hold it, ascending: what its summaries are asked for."""
+        self.doc, self.nameless, self.beside = doc, nameless, beside
         self.table = np.zeros((len(doc), width))  # whole numbers, exact as doubles
         self.table[rows, terms_] = impacts
         self.top = self.table.max(0, initial=0)
@@ -120,7 +124,7 @@ class Shard:
         """(documents of the term block by block, starts of the blocks, summaries).
 
         Each document of the list goes to the most similar of evenly spaced pivots of the list; a
-        summary holds the largest impact of each term among the documents of a block.
+        summary holds the largest impact among the documents of a block for each term of ``beside``.
         """
         if term not in self.blocks:
             rows = self.rows[self.ends[term]:self.ends[term + 1]]
@@ -129,11 +133,11 @@ class Shard:
                 pivots = self.sketch[rows[np.linspace(0, len(rows) - 1, count).astype(int)]]
                 rows = rows[np.argsort((self.sketch[rows] @ pivots.T).argmax(1), kind="stable")]
             starts = np.arange(0, len(rows), BLOCK)
-            self.blocks[term] = rows, starts, np.maximum.reduceat(self.table[rows], starts, axis=0)
+            self.blocks[term] = rows, starts, np.maximum.reduceat(self.table[np.ix_(rows, self.beside[term])], starts, axis=0)
         return self.blocks[term]
 
     def search(self, wanted: np.ndarray, weights: np.ndarray, best: Best) -> None:
-        """Bring ``best`` up to date for an item whose terms ``wanted`` weigh ``weights``.
+        """Bring ``best`` up to date for an item whose terms ``wanted``, ascending, weigh ``weights``.
 
         A document's score is at most the sum of its terms' largest contributions, so once the smallest
         of those sum to less than the least score of the best, lists of these terms alone hold
@@ -146,8 +150,9 @@ class Shard:
         for at in range(len(order) - 1, -1, -1):
             if rest[at] < best.least or not most[order[at]]:
                 break
-            rows, starts, summaries = self.blocked(int(wanted[order[at]]))
-            hold = summaries[:, wanted] @ weights >= best.least
+            term = int(wanted[order[at]])
+            rows, starts, summaries = self.blocked(term)
+            hold = summaries[:, np.searchsorted(self.beside[term], wanted)] @ weights >= best.least
             if not hold.any():
                 continue
             chosen = rows if hold.all() else rows[np.repeat(hold, np.diff(np.append(starts, len(rows))))]
@@ -157,6 +162,15 @@ class Shard:
             best.add(score, self.nameless[chosen], self.doc[chosen])
 
 
+def _beside(items: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """For each term, the terms of all items that hold it."""
+    holders: list[list[np.ndarray]] = [[] for _ in range(width)]
+    for positions in items:
+        for term in positions.tolist():
+            holders[term].append(positions)
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in holders]
+
+
 def _shards(batches: Iterator[pa.RecordBatch], width: int, stats: Statistics) -> Iterator[tuple]:
     """(term, row, impact, document, is its id NULL) arrays of up to ``SHARD`` documents, fewer for a wide vocabulary."""
     size = max(64, min(SHARD, CELLS // max(1, width)))
@@ -192,9 +206,9 @@ def _search(indexed: DataFrame, wanted: list[tuple[np.ndarray, np.ndarray]], wid
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, stats = shipped.value
         axes = np.random.default_rng(11).standard_normal((width, SKETCH))
-        found = [Best(k) for _ in items]
+        found, beside = [Best(k) for _ in items], _beside([positions for positions, _ in items], width)
         for terms_, rows, impacts, doc, nameless in _shards(batches, width, stats):
-            shard = Shard(terms_, rows, impacts, doc, nameless, width, axes)
+            shard = Shard(terms_, rows, impacts, doc, nameless, width, axes, beside)
             for (positions, weights), best in zip(items, found, strict=True):
                 shard.search(positions, weights, best)
         sizes = [len(b.doc) for b in found]
@@ -242,8 +256,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         weight = stats.weights()
         wanted = []
         for terms_ in counted:
-            positions = np.array([number[t] for t in terms_], np.int64)
-            wanted.append((positions, weight[positions] * np.array(list(terms_.values()), np.float64)))
+            positions = np.array(sorted(number[t] for t in terms_), np.int64)
+            wanted.append((positions, weight[positions] * np.array([terms_[vocabulary[i]] for i in positions], np.float64)))
         best = _search(indexed.where(F.size("terms") > 0), wanted, len(vocabulary), stats, k)
         order = [F.desc("score"), F.col("doc_id").isNull(), F.col("doc_id")]
         salted = Window.partitionBy("item", F.pmod(F.xxhash64("doc_id", "score"), F.lit(_SALTS))).orderBy(*order)

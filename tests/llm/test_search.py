@@ -212,9 +212,9 @@ def test_blocks_are_skipped_only_below_the_best(monkeypatch):
     table = (rnd.random((500, width)) < 0.2) * rnd.integers(1, 1000, (500, width))
     rows, columns = np.nonzero(table)
     axes = rnd.standard_normal((width, lexical.SKETCH))
-    shard = lexical.Shard(columns, rows, table[rows, columns], np.arange(500), np.zeros(500, bool), width, axes)
+    shard = lexical.Shard(columns, rows, table[rows, columns], np.arange(500), np.zeros(500, bool), width, axes, [np.arange(width)] * width)
     for _ in range(30):
-        wanted = rnd.choice(width, 5, replace=False)
+        wanted = np.sort(rnd.choice(width, 5, replace=False))
         weights, best = rnd.integers(1, 9, 5).astype(float), lexical.Best(10)
         shard.search(wanted, weights, best)
         scores = table[:, wanted] @ weights
