@@ -12,6 +12,7 @@ import sys
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -88,8 +89,18 @@ def _dictionary(vocab: DataFrame, most: int | None) -> tuple[pa.Array, pa.Array,
 
 
 def _numbers(lists: pa.Array, tokens: pa.Array, ids: pa.Array) -> pa.Array:
-    """Ids of token lists, NULL for tokens that are not among ``tokens``."""
-    return ids.take(pc.index_in(lists.flatten(), value_set=tokens))
+    """Ids of token lists, NULL for tokens that are not among ``tokens``.
+
+    The distinct words of the lists are what is hashed, and ``tokens`` are looked up among them: an index of
+    all ``tokens`` for each batch would take more memory and time than the batch.
+    """
+    words = lists.flatten().dictionary_encode()
+    at = pc.index_in(tokens, value_set=words.dictionary)
+    known = at.is_valid()
+    found = np.full(len(words.dictionary), -1, np.int32)
+    # of a repeated token the first id counts: it is written last
+    found[at.filter(known).to_numpy()[::-1]] = ids.filter(known).to_numpy()[::-1]
+    return pa.array(found, mask=found < 0).take(words.indices)
 
 
 def _lists(like: pa.Array, values: pa.Array) -> pa.Array:

@@ -160,3 +160,23 @@ def test_vocab_cut_at_any_band(spark, size):
 
 def test_vocab_of_nothing(spark):
     assert en.build_vocab(spark.createDataFrame([("",), (None,)], "text string"), "text").count() == 0
+
+
+def test_memory_of_a_lookup_does_not_grow_with_the_vocabulary():
+    """Beyond one number for each token of it, which is not an index of their texts."""
+    import pyarrow as pa
+
+    from duotext.operators.encoding import _numbers
+
+    n = 200_000
+    tokens, ids = pa.array([f"word {i}" for i in range(n)] + ["word 7"]), pa.array([*range(4, n + 4), 1], pa.int32())
+    lists = pa.array([["word 7", "new"], [], None, ["word 199999", "word 7"]])
+    usual, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        found = _numbers(lists, tokens, ids).to_pylist()
+    finally:
+        pa.set_memory_pool(usual)
+    assert found == [11, None, n + 3, 11]  # the first id of a repeated token
+    assert pool.max_memory() < 6 * n
+    assert _numbers(lists.slice(1, 2), tokens, ids).to_pylist() == []
