@@ -86,14 +86,17 @@ def embed_rows(
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def embed(tokens: pa.Array) -> pa.Array:
-        vectors = [(counts * weights).astype(np.float32).ravel() for counts in counts_of(tokens, width)]
+        vectors, at = np.empty((len(tokens), width), np.float32), 0
+        for counts in counts_of(tokens, width):
+            vectors[at:at + len(counts)] = counts * weights
+            at += len(counts)
         ends = pa.array(np.arange(len(tokens) + 1) * width, pa.int32())
-        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(vectors) if vectors else np.zeros(0, np.float32)))
+        return pa.ListArray.from_arrays(ends, pa.array(vectors.ravel()))
 
     return df.withColumn(out, embed(tx.tokens(F.col(text))))
 
 
-def _slot_counts(tokens: pa.Array, size: int, rows: int = 2048) -> Iterator[np.ndarray]:
+def _slot_counts(tokens: pa.Array, size: int, rows: int = 512) -> Iterator[np.ndarray]:
     """Counts of the slots of each token list, for some lists at a time; each distinct token is hashed once."""
     for start in range(0, len(tokens), rows):
         part = tokens.slice(start, rows)
