@@ -12,7 +12,7 @@ from duotext import functions as fn
 from duotext.catalog import frames as fr
 from duotext.operators import encoding, learning, metrics, ordering, pairs, sampling, shift, training_log
 from duotext.plans import recipes
-from duotext.runtime import scratch_path
+from duotext.runtime import cut_lineage, scratch_path
 from duotext.sources import artifacts, readers, versions
 from duotext.streaming import step_log
 
@@ -748,12 +748,17 @@ def _slopes(model: object, df: DataFrame, total: float, **names: str) -> DataFra
     return made.select("cls", "pos", (F.round("slope", 4) + F.lit(0.0)).alias("slope"))
 
 
-def _held_out(model: object, test: DataFrame, k: int, label: str = "label") -> DataFrame:
-    """One row per unseen row: is the prediction the class of the largest of k probabilities that add up to 1?"""
+def _scored(model: object, test: DataFrame, label: str = "label") -> DataFrame:
+    """Unseen rows with prediction and probabilities, scored once and stored: a filter on the scores would score the rows again."""
     both = learning.predict_proba(model, learning.predict(model, test, "y_pred"))
+    return cut_lineage(both.select("row_id", F.col(label).alias("label"), "y_pred", "probs"), "scored")
+
+
+def _held_out(scored: DataFrame, k: int) -> DataFrame:
+    """One row per unseen row: is the prediction the class of the largest of k probabilities that add up to 1?"""
     total = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
-    return both.select(
-        "row_id", F.col(label).alias("label"), F.size("probs").alias("k"), F.round(total, 6).alias("total"),
+    return scored.select(
+        "row_id", "label", F.size("probs").alias("k"), F.round(total, 6).alias("total"),
         (F.col("probs")[F.col("y_pred")] == F.array_max("probs")).alias("best"),
     ).where(F.col("k") == k)
 
@@ -776,7 +781,7 @@ def _with_bias(model: object, train: DataFrame, held_out: DataFrame, k: int) ->
 def fit_mlp_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = fr.halves(_features(spark, sf_dir))
     model = learning.fit_mlp_head(train, [64, 64, 2])
-    return _with_bias(model, train, _held_out(model, test, 2), 2)
+    return _with_bias(model, train, _held_out(_scored(model, test), 2), 2)
 
 
 def _plane(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -858,7 +863,7 @@ def two_phase_fit_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def two_phase_fit_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, silver, test = _thirds(_features(spark, sf_dir))
-    return _held_out(learning.two_phase_fit(gold, silver, label="stance"), test, 3, label="stance")
+    return _held_out(_scored(learning.two_phase_fit(gold, silver, label="stance"), test, "stance"), 3)
 
 
 @query
@@ -874,18 +879,20 @@ def transfer_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def transfer_fit_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target, test = _thirds(_features(spark, sf_dir))
-    return _held_out(learning.transfer_fit(source, target, "stance", "label"), test, 2)
+    return _held_out(_scored(learning.transfer_fit(source, target, "stance", "label"), test), 2)
 
 
 @query
 def fit_text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out rows; is the model better on them than the class that is most frequent there?"""
-    df = pairs.label_to_int(fr.document_labels(spark, sf_dir)).select("row_id", "text", "label")
+    # the texts are joined with their labels once, not for each pass over them
+    df = cut_lineage(pairs.label_to_int(fr.document_labels(spark, sf_dir)).select("row_id", "text", "label"), "labelled")
     train, test = fr.halves(df)
     model = learning.fit_text_classifier(train)
-    predicted = learning.predict(model, test, "y_pred").select(F.col("label").alias("y_true"), "y_pred")
+    scored = _scored(model, test)
+    predicted = scored.select(F.col("label").alias("y_true"), "y_pred")
     reached = metrics.accuracy(predicted).scalar() > metrics.majority_baseline(predicted, "y_true").select("accuracy").scalar()
-    return _with_bias(model, train, _held_out(model, test, 3), 3).withColumn("beats_majority", reached)
+    return _with_bias(model, train, _held_out(scored, 3), 3).withColumn("beats_majority", reached)
 
 
 # -- recipes ---------------------------------------------------------------------------------

@@ -120,6 +120,19 @@ def test_text_classifier_separates(spark):
     assert ln.predict(ln.fit_text_classifier(df, num_features=64), df).where("prediction <> label").count() == 0
 
 
+def test_unseen_texts_are_scored_once(spark):
+    """The filter on the probabilities and the metrics read stored scores."""
+    from duotext.catalog import queries as cq
+
+    rows = [(i, "good kind words" if i % 2 else "bad cruel words", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, text string, label int")
+    scored = cq._scored(ln.fit_text_classifier(df, num_features=64), df)
+    assert scored.where("y_pred = label").count() == 40
+    out = cq._held_out(scored, 2)
+    assert {(r.k, r.total, r.best) for r in out.collect()} == {(2, 1.0, True)} and out.count() == 40
+    assert "UDF(" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_embedding_by_model(spark):
     def make():
         def run(input_ids, attention_mask):
