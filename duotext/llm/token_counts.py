@@ -16,6 +16,8 @@ MEMO = 400_000
 #: Units longer than this are not remembered.
 _LONG = 64
 _FREE = ""
+#: The score of a pair that is no piece.
+_NEVER = float("-inf")
 
 
 def read_pieces(model_path: str) -> dict[str, float]:
@@ -57,16 +59,15 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text, by merging its best pair (leftmost of equals) until none is left."""
-        parts = list(text)
-        while True:
-            best = max(
-                ((self.pieces[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.pieces),
-                default=None,
-            )
-            if best is None:
-                return parts
-            i = -best[1]
+        parts, score = list(text), self.pieces.get
+        scores = [score(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) != _NEVER:
+            i = scores.index(best)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            for at in range(max(i - 1, 0), min(i + 1, len(scores))):  # the two pairs that the merged part is in
+                scores[at] = score(parts[at] + parts[at + 1], _NEVER)
+        return parts
 
     def follows(self, before: str, token: str) -> bool:
         known = self.apart.get((before, token))
@@ -101,12 +102,28 @@ class Transducer:
         """The state map of a chunk at one entry state: (exit state, tokens emitted)."""
         count, moves = 0, self.moves
         for char in chunk:
-            move = moves[state].get(char) or self.compile(state, char)
-            state = move[0]
-            count += move[1]
+            try:
+                state, change = moves[state][char]
+            except KeyError:
+                state, change = self.compile(state, char)
+            count += change
         return state, count
 
 
+class _Units(dict):
+    """Chunk without its first space to its number of tokens; what is not remembered is read by the transducer."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, body: str) -> int:
+        count = self.machine.run(SPACE + body.replace(" ", SPACE))[1]
+        if len(body) <= _LONG:
+            self[body] = count
+        return count
+
+
 class Counter:
     """Tokens of texts.  Chunks are the runs of space marks with what follows them.
 
@@ -115,15 +132,8 @@ class Counter:
     """
 
     def __init__(self, pieces: dict[str, float]):
-        self.machine, self.memo = Transducer(pieces), {}
-
-    def unit(self, body: str) -> int:
-        count = self.memo.get(body)
-        if count is None:
-            count = self.machine.run(SPACE + body.replace(" ", SPACE))[1]
-            if len(body) <= _LONG:
-                self.memo[body] = count
-        return count
+        self.machine = Transducer(pieces)
+        self.memo = _Units(self.machine)
 
     def count(self, texts: list[str]) -> list[int]:
         if len(self.memo) > MEMO:
@@ -131,12 +141,12 @@ class Counter:
         if len(self.machine.states) > MEMO:
             self.machine.clear()
         chunks: list[int] = []
-        ends = []
+        ends, unit = [], self.memo.__getitem__
         for text in texts:
             if text:
                 marked = " " + text.replace(SPACE, " ")
                 bodies = marked[1:].split(" ") if "  " not in marked else [x[1:] for x in re.findall(" +[^ ]*", marked)]
-                chunks += map(self.unit, bodies)
+                chunks += map(unit, bodies)
             ends.append(len(chunks))
         scan = np.concatenate(([0], np.cumsum(np.array(chunks, np.int64))))
         return np.diff(scan[[0, *ends]]).tolist()

@@ -645,6 +645,27 @@ def test_token_counts_equal_the_library(odd, none):
     assert token_counts.token_counts(none, path).count() == 0
 
 
+def test_merging_looks_at_the_pairs_of_the_merged_part_only():
+    """A few look-ups for each character of a text, not all its pairs for each merge."""
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+    pieces = Counted(token_counts.read_pieces(q.public_tokenizers.path("piece_bpe_32k.model")))
+    machine, text = token_counts.Transducer(pieces), "▁international" * 20
+    pieces.asked = 0
+    parts = machine.merged(text)
+    assert "".join(parts) == text and len(set(parts)) < 8
+    assert pieces.asked <= 3 * len(text)
+
+
 def test_chunks_of_any_cut_compose():
     machine = token_counts.Transducer(token_counts.read_pieces(q.public_tokenizers.path("piece_bpe_32k.model")))
     text = "▁the▁internationalisation▁of▁thing▁\nxé你s" * 3
