@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ CLASSES, BATCH, FEATURES = 32, 8192, 5
 TOKENS_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 12, 1 << 16
 #: Tokens that a context counts for before any was seen, at the frequencies of the classes.
 PRIOR = 20.0
+#: Share of a whole step that every weight takes along its gradient, and tokens at the frequencies of the classes that damp it.
+RATE, DAMPING = 0.2, 50.0
 #: Stored tokens whose contexts are made at a time.
 PIECE = 1 << 19
 #: Words that tasks look up in memory; their counts cover most tokens, the others are joined.
@@ -32,6 +34,8 @@ _ONES = np.ones(CLASSES, np.float32)
 _BLOCK = 1024
 #: Tasks whose changes are added up at a time.
 _FAN = 64
+#: Tokens whose shares are added up by context at a time; sums travel as whole multiples of 1 / _UNIT.
+_SHARES, _UNIT = 1 << 16, 1 << 20
 
 
 def slots_for(tokens: int) -> int:
@@ -186,14 +190,31 @@ class Slopes:
 
     ``weights`` are unscaled.  Each token is judged by what all others say: its own count is
     taken out of the weights of its contexts, else every context would seem to know its words.
+    With ``expect`` the probabilities are also summed by weight row and class: what the model expects where
+    the texts have their counts.  The counts less these are the gradient of the log-likelihood by every single weight.
     """
 
-    def __init__(self, weights: np.ndarray, scales: np.ndarray, rows: np.ndarray):
+    def __init__(self, weights: np.ndarray, scales: np.ndarray, rows: np.ndarray, expect: bool = False):
+        self.expected = np.zeros(weights.shape) if expect else None
         self.weights, self.scales, self.rows = weights, scales.astype(np.float32), rows
         self.prior = (PRIOR * np.exp(weights[0])).astype(np.float32)  # a class's share of the prior tokens
         self.first, self.second, self.tokens = np.zeros(FEATURES), np.zeros((FEATURES, FEATURES)), 0
 
     def add(self, slots: list[np.ndarray], classes: np.ndarray) -> None:
+        for start in range(0, len(classes), _SHARES):
+            part = slice(start, start + _SHARES)
+            self._add([s[part] for s in slots], classes[part])
+
+    def _expect(self, slots: list[np.ndarray], shares: np.ndarray) -> None:
+        self.expected[0] += shares.sum(0, dtype=np.float64)
+        for base, slot in zip(self.rows[1:-1], slots, strict=True):
+            order = np.argsort(slot, kind="stable")
+            ordered = slot[order]
+            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            self.expected[base + ordered[first].astype(np.int64)] += np.add.reduceat(shares.take(order, 0), first, axis=0)
+
+    def _add(self, slots: list[np.ndarray], classes: np.ndarray) -> None:
+        every_share = None if self.expected is None else np.empty((len(classes), CLASSES), np.float32)
         for at in range(0, len(classes), BATCH):
             own = classes[at:at + BATCH]
             every, prior, says = np.arange(len(own)), self.prior[own], []
@@ -207,6 +228,8 @@ class Slopes:
                 scores += scale * value
             shares = np.exp(_below_top(scores), out=scores)
             shares /= (shares @ _ONES)[:, None]
+            if every_share is not None:
+                every_share[at:at + BATCH] = shares
             means = []
             for i, value in enumerate(says):
                 pull = shares * value
@@ -217,6 +240,8 @@ class Slopes:
                     self.second[i, j] += both
                     self.second[j, i] += both * (i != j)
             self.tokens += len(own)
+        if every_share is not None:
+            self._expect(slots, every_share)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -261,21 +286,15 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _COUNTS = "block int, counts binary"
 
 
-def count_contexts(tokens: DataFrame, slots: int) -> np.ndarray:
-    """How often each class follows each context, by weight row: the part of the gradient that the texts fix, of all tokens.
+def _summed_rows(tokens: DataFrame, height: int, of_task: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """The sum over all tasks of ``of_task``: ``height`` rows of INT64, one column per class.
 
-    Tasks' counts meet in blocks of rows, first those of some ``_FAN`` tasks each, then all of a block,
+    Tasks' rows meet in blocks, first those of some ``_FAN`` tasks each, then all of a block,
     level by level, so that no task reads those of all tasks at once.
     """
-    rows = rows_of(slots)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((rows[-1], CLASSES), np.int64)
-        for found, classes in _read_tokens(batches, slots):
-            total[0] += np.bincount(classes, minlength=CLASSES)
-            for base, end, slot in zip(rows[1:-1], rows[2:], found, strict=True):
-                cells = np.bincount(slot.astype(np.int64) * CLASSES + classes, minlength=(end - base) * CLASSES)
-                total[base:end] += cells.reshape(-1, CLASSES)
+        total = of_task(batches)
         for start in range(0, len(total), _BLOCK):
             block = total[start:start + _BLOCK]
             if block.any():
@@ -286,13 +305,29 @@ def count_contexts(tokens: DataFrame, slots: int) -> np.ndarray:
     while tasks > _FAN:
         tasks = -(-tasks // _FAN)
         counted = counted.withColumn("part", F.spark_partition_id() % tasks).repartition("block", "part").mapInArrow(_added, _COUNTS)
-    out = np.zeros((rows[-1], CLASSES), np.int64)
+    out = np.zeros((height, CLASSES), np.int64)
     for block, counts in counted.repartition("block").mapInArrow(_added, _COUNTS).collect():
         found = np.frombuffer(counts, np.int64).reshape(-1, CLASSES)
         out[block * _BLOCK:block * _BLOCK + len(found)] = found
     return out
 
 
+def count_contexts(tokens: DataFrame, slots: int) -> np.ndarray:
+    """How often each class follows each context, by weight row: the part of the gradient that the texts fix, of all tokens."""
+    rows = rows_of(slots)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((rows[-1], CLASSES), np.int64)
+        for found, classes in _read_tokens(batches, slots):
+            total[0] += np.bincount(classes, minlength=CLASSES)
+            for base, end, slot in zip(rows[1:-1], rows[2:], found, strict=True):
+                cells = np.bincount(slot.astype(np.int64) * CLASSES + classes, minlength=(end - base) * CLASSES)
+                total[base:end] += cells.reshape(-1, CLASSES)
+        return total
+
+    return _summed_rows(tokens, rows[-1], count)
+
+
 def _summed_slopes(tokens: DataFrame, weights: np.ndarray, scales: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """``Slopes`` of all texts; a task sends 30 numbers."""
     shipped, rows = tokens.sparkSession.sparkContext.broadcast(weights), rows_of(slots)
@@ -312,13 +347,34 @@ def _summed_slopes(tokens: DataFrame, weights: np.ndarray, scales: np.ndarray, s
     return values[:FEATURES], values[FEATURES:].reshape(FEATURES, FEATURES)
 
 
+def expected_contexts(tokens: DataFrame, weights: np.ndarray, scales: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``Slopes`` of all texts with the expected counts of each weight row: (first, second, expected)."""
+    shipped, rows = tokens.sparkSession.sparkContext.broadcast(weights), rows_of(slots)
+    n = FEATURES * (FEATURES + 1)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        slopes = Slopes(shipped.value, scales, rows, expect=True)
+        for found, classes in _read_tokens(batches, slots):
+            slopes.add(found, classes)
+        last = np.zeros((1, CLASSES), np.int64)  # a row more, for the slopes
+        last[0, :n] = np.rint(np.concatenate([slopes.first, slopes.second.ravel()]) * _UNIT)
+        slopes.expected *= _UNIT
+        return np.concatenate([np.rint(slopes.expected, out=slopes.expected).astype(np.int64), last])
+
+    found = _summed_rows(tokens, rows[-1] + 1, learn) / _UNIT
+    shipped.destroy()
+    return found[-1, :FEATURES], found[-1, FEATURES:n].reshape(FEATURES, FEATURES), found[:-1]
+
+
 def train(texts: DataFrame, class_counts: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, int]:
     """(weight rows by class, slots), from all texts.
 
-    The bias is the log frequency of the classes.  Each context's weights take one damped gradient step
-    from there, in closed form: observed less expected counts over the expected ones, as a logarithm.  As features
+    The bias is the log frequency of the classes.  Each context's weights start from one damped gradient step, in
+    closed form: observed less expected counts over the expected ones, as a logarithm.  As features
     overlap, each has a scale, learned in ``rounds`` passes: every pass sums the gradient and second derivatives of the scales
-    over all tasks and makes one Newton step.  All sums are over all texts, so neither partitions nor their number matter.
+    over all tasks and makes one Newton step.  The last pass sums the gradient of every single weight as well, its observed
+    counts less those that the model expects, and all weights take a step along it.  All sums are over all texts, so neither
+    partitions nor their number matter.
     """
     total = class_counts.sum()
     slots = slots_for(int(total))
@@ -327,14 +383,19 @@ def train(texts: DataFrame, class_counts: np.ndarray, rounds: int = 2) -> tuple[
     counts = count_contexts(tokens, slots)
     weights = np.log1p(counts / (PRIOR * prior)).astype(np.float32)
     weights[0] = np.log(prior)
-    scales = np.full(FEATURES, 0.3)
-    for _ in range(rounds if total else 0):
-        first, second = _summed_slopes(tokens, weights, scales, slots)
+    scales, expected = np.full(FEATURES, 0.3), counts
+    for left in reversed(range(rounds if total else 0)):
+        if left:
+            first, second = _summed_slopes(tokens, weights, scales, slots)
+        else:
+            first, second, expected = expected_contexts(tokens, weights, scales, slots)
         step = np.linalg.lstsq(second + 1e-6 * np.eye(FEATURES), first, rcond=None)[0]
         scales = np.round(np.clip(scales + np.clip(step, -1, 1), 0, 2), 6)
     rows = rows_of(slots)
     for base, end, scale in zip(rows[1:-1], rows[2:], scales, strict=True):
         weights[base:end] *= np.float32(scale)
+    damping = DAMPING * prior
+    weights += (RATE * np.log((counts + damping) / (expected + damping))).astype(np.float32)
     return weights, slots
 
 

@@ -287,6 +287,43 @@ def test_slopes_are_those_of_the_likelihood_without_the_token_itself():
     assert np.allclose(own, np.log(shares[np.arange(len(classes)), classes]), atol=1e-4)
 
 
+def test_every_weight_takes_a_step_along_its_gradient(spark, monkeypatch):
+    """Observed less expected counts: the derivative of the log-likelihood by each weight, token by token."""
+    import numpy as np
+
+    texts, slots = ["a b c a b d", "b a c e", "", "a b c d d d"] * 5, 1 << 12
+    rows = maxent.rows_of(slots)
+    _, bounds, hashes, classes, _ = maxent.Reader().read([t.encode() for t in texts])
+    found = maxent.contexts(hashes, classes, bounds, slots)
+    tokens = maxent.tokens_of(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]).repartition(3))
+    counts = maxent.count_contexts(tokens, slots)
+    prior = (np.bincount(classes, minlength=maxent.CLASSES) + 0.5) / (len(classes) + 16)
+    weights = np.log1p(counts / (maxent.PRIOR * prior)).astype(np.float32)
+    weights[0] = np.log(prior)
+    scales, slow = np.array([0.3, 0.5, 0.2, 0.4, 0.1]), np.zeros(weights.shape)
+    for t, c in enumerate(classes):
+        x, at = np.log(prior), [0]
+        for f, (base, slot) in enumerate(zip(rows[1:-1], found, strict=True)):
+            at.append(base + int(slot[t]))
+            others = counts[at[-1]].astype(float)
+            others[c] -= 1
+            x = x + scales[f] * np.log1p(others / (maxent.PRIOR * prior))
+        slow[at] += np.exp(x) / np.exp(x).sum()
+    monkeypatch.setattr(maxent, "_SHARES", 7)
+    first, second, expected = maxent.expected_contexts(tokens, weights, scales, slots)
+    assert np.allclose(expected, slow, atol=1e-3)
+    plain = maxent._summed_slopes(tokens, weights, scales, slots)
+    assert np.allclose(first, plain[0], atol=1e-2) and np.allclose(second, plain[1], atol=1e-2)
+
+    training, sizes = frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), np.bincount(classes, minlength=maxent.CLASSES).astype(float)
+    learned, _ = maxent.train(training, sizes, rounds=1)
+    monkeypatch.setattr(maxent, "RATE", 0.0)
+    unmoved, _ = maxent.train(training, sizes, rounds=1)
+    slope = counts - maxent.expected_contexts(tokens, weights, np.full(maxent.FEATURES, 0.3), slots)[2]
+    far = np.abs(slope) > 0.1
+    assert far.any() and (np.sign(learned - unmoved) == np.sign(slope))[far].all()
+
+
 def test_counts_of_contexts_are_added_up_level_by_level(spark, monkeypatch):
     import numpy as np
 
