@@ -35,7 +35,7 @@ _BLOCK = 1024
 #: Tasks whose changes are added up at a time.
 _FAN = 64
 #: Tokens whose shares are added up by context at a time; sums travel as whole multiples of 1 / _UNIT.
-_SHARES, _UNIT = 1 << 16, 1 << 20
+_SHARES, _UNIT = 1 << 16, 1 << 12
 
 
 def slots_for(tokens: int) -> int:
@@ -272,15 +272,24 @@ def count_words(texts: DataFrame) -> DataFrame:
     return partial.groupBy("word", "class").agg(F.sum("c").alias("c"))
 
 
+def _packed(block: np.ndarray) -> bytes:
+    """INT64 values with their lowest bytes first, then the next: the high ones, nearly all zero, take no room in a shuffle."""
+    return np.ascontiguousarray(block).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One record per block: the sums of its records."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(*[batch.column(c).to_pylist() for c in ("block", "counts")], strict=True):
-            new = np.frombuffer(counts, np.int64)
+            new = _unpacked(counts)
             sums[block] = sums[block] + new if block in sums else new
     for block, counts in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_packed(counts)], pa.binary())], ["block", "counts"])
 
 
 _COUNTS = "block int, counts binary"
@@ -298,7 +307,7 @@ def _summed_rows(tokens: DataFrame, height: int, of_task: Callable[[Iterator[pa.
         for start in range(0, len(total), _BLOCK):
             block = total[start:start + _BLOCK]
             if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([start // _BLOCK], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([start // _BLOCK], pa.int32()), pa.array([_packed(block)], pa.binary())], ["block", "counts"])
 
     counted = tokens.mapInArrow(count, _COUNTS)
     tasks = tokens.rdd.getNumPartitions()
@@ -307,7 +316,7 @@ def _summed_rows(tokens: DataFrame, height: int, of_task: Callable[[Iterator[pa.
         counted = counted.withColumn("part", F.spark_partition_id() % tasks).repartition("block", "part").mapInArrow(_added, _COUNTS)
     out = np.zeros((height, CLASSES), np.int64)
     for block, counts in counted.repartition("block").mapInArrow(_added, _COUNTS).collect():
-        found = np.frombuffer(counts, np.int64).reshape(-1, CLASSES)
+        found = _unpacked(counts).reshape(-1, CLASSES)
         out[block * _BLOCK:block * _BLOCK + len(found)] = found
     return out
 
