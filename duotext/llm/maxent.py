@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +25,19 @@ RATE, DAMPING = 0.2, 50.0
 PIECE = 1 << 19
 #: Words that tasks look up in memory; their counts cover most tokens, the others are joined.
 DICTIONARY = 1 << 18
-#: Distinct words that a task counts or remembers at a time.
-MEMO = 500_000
+#: Words with their counts that a task holds before it adds them up.
+MEMO = 1_000_000
 END = b""
 _PAIRS = CLASSES * CLASSES
 _ONES = np.ones(CLASSES, np.float32)
+#: Exponentials of numbers nearer to 0, and the sum of those of all classes, keep the precision of 32 bits.
+_SAFE = 80
 #: Weight rows that travel in one record.
 _BLOCK = 1024
 #: Tasks whose changes are added up at a time.
 _FAN = 64
-#: Tokens whose shares are added up by context at a time; sums travel as whole multiples of 1 / _UNIT.
-_SHARES, _UNIT = 1 << 16, 1 << 12
+#: Tokens judged at a time in the training, and those whose shares are then added up by context; sums travel as whole multiples of 1 / _UNIT.
+_STEP, _SHARES, _UNIT = 2048, 1 << 16, 1 << 12
 
 
 def slots_for(tokens: int) -> int:
@@ -56,28 +58,6 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word if len(word) <= 3 else word[-2:]) % CLASSES
 
 
-class _Words(dict):
-    """Word to number; ``hashes``, ``classes`` and ``logs`` (log10(count + 0.5), NaN: not in the dictionary) by number."""
-
-    def __init__(self, counts: dict[bytes, int] | None):
-        super().__init__()
-        self.counts, self.new = counts or {}, []
-        self.hashes, self.classes, self.logs = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0)
-        self[END]
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = number = len(self)
-        return number
-
-    def update_facts(self) -> None:
-        new, self.new = self.new, []
-        counts = np.array([self.counts.get(w, np.nan) for w in new], float)
-        self.hashes = np.concatenate((self.hashes, np.array(list(map(zlib.crc32, new)), np.uint32)))
-        self.classes = np.concatenate((self.classes, np.array(list(map(word_class, new)), np.int32)))
-        self.logs = np.concatenate((self.logs, np.log10(counts + 0.5)))
-
-
 def _before(values: np.ndarray, place: np.ndarray, n: int, fill: int) -> np.ndarray:
     """The value n positions earlier, ``fill`` where that is before the text."""
     shifted = np.empty_like(values)
@@ -98,41 +78,93 @@ def contexts(hashes: np.ndarray, classes: np.ndarray, bounds: np.ndarray, slots:
     return [x.astype(np.uint16) for x in found]
 
 
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, A-Z lower-cased; how many each text has).  White space is exactly \\x20 \\x09-\\x0D."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+    flat = split.flatten().view(pa.binary())
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at either end of a text leaves an empty word
+    before = np.concatenate(([0], np.cumsum(full)))
+    return flat.filter(pa.array(full)), np.diff(before[split.offsets.to_numpy()])
+
+
+def number_tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
+    """(words, first position of each text and the end of all, numbers of all tokens, the distinct tokens by number)."""
+    words, sizes = split_words(texts)
+    bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
+    numbers, inside = np.zeros(bounds[-1], np.int64), np.ones(bounds[-1], bool)
+    inside[bounds[1:] - 1] = False
+    coded = words.dictionary_encode()
+    numbers[inside] = coded.indices.to_numpy() + 1
+    return words, bounds, numbers, pa.concat_arrays([pa.array([END], pa.binary()), coded.dictionary])
+
+
+def _plain(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.array(list(map(zlib.crc32, _plain(words))), np.uint32)
+
+
+def _classes(words: pa.Array) -> np.ndarray:
+    """``word_class`` of many words: each short word and ending is hashed once."""
+    endings = pc.if_else(pc.less_equal(pc.binary_length(words), 3), words, pc.binary_slice(words, -2)).dictionary_encode()
+    return np.array(list(map(word_class, _plain(endings.dictionary))), np.int32)[endings.indices.to_numpy()]
+
+
 class Reader:
     """Turns texts into hashes and classes of all their tokens, in numpy arrays."""
 
     def __init__(self, counts: dict[bytes, int] | None = None):
-        self.counts, self.words = counts, _Words(counts)
+        self.counts = counts or {}
 
     def read(self, texts: list[bytes]):
-        """(split words, first position of each text and the end of all, hashes, classes, log counts)."""
-        if len(self.words) > MEMO:
-            self.words = _Words(self.counts)
-        known, split = self.words, [t.lower().split() for t in texts]  # of bytes: ASCII letters, and exactly \x20 \x09-\x0D
-        bounds = np.concatenate(([0], np.cumsum([len(w) + 1 for w in split])))
-        numbers = np.empty(bounds[-1], np.int64)
-        number, end = known.__getitem__, known[END]
-        for at, words in zip(bounds.tolist(), split, strict=False):
-            numbers[at:at + len(words)] = list(map(number, words))
-        numbers[bounds[1:] - 1] = end
-        known.update_facts()
-        return split, bounds, known.hashes[numbers], known.classes[numbers], known.logs[numbers]
+        """(words, first position of each text and the end of all, hashes, classes, log10(count + 0.5) or NaN: not in the dictionary)."""
+        words, bounds, numbers, distinct = number_tokens(texts)
+        counts = np.array(list(map(self.counts.get, _plain(distinct))), float)  # None: NaN
+        return words, bounds, _hashes(distinct)[numbers], _classes(distinct)[numbers], np.log10(counts + 0.5)[numbers]
 
 
-def tokens_of(texts: DataFrame) -> DataFrame:
-    """(hashes ARRAY<INT>, classes ARRAY<TINYINT>): the tokens of each text, read once and stored for all passes of the training."""
+def read_training(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts, read once: their tokens, stored for all passes of the training, and the counts of their words.
 
-    def make():
-        reader = Reader()
+    Tokens: (hashes ARRAY<INT>, classes ARRAY<TINYINT>), one row per text.  Counts: (word BINARY, class INT, c BIGINT) of
+    all tokens, one end per text; added up within tasks before the shuffle.
+    """
+    lists = [pa.list_(pa.int32()), pa.list_(pa.int8())]
+    schema = pa.schema(zip(["hashes", "classes", "word", "class", "c"], [*lists, pa.binary(), pa.int32(), pa.int64()], strict=True))
 
-        def work(part: list[bytes]):
-            _, bounds, hashes, classes, _ = reader.read(part)
-            ends = pa.array(bounds, pa.int32())
-            return pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int32))), pa.ListArray.from_arrays(ends, pa.array(classes.astype(np.int8)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[pa.Table] = []
 
-        return work
+        def counted() -> Iterator[pa.RecordBatch]:
+            if seen:
+                sums = pa.concat_tables(seen).group_by("word", use_threads=False).aggregate([("c", "sum")]).combine_chunks()
+                seen.clear()
+                words = sums["word"].combine_chunks()
+                empty = [pa.nulls(len(words), t) for t in lists]
+                yield pa.RecordBatch.from_arrays([*empty, words, pa.array(_classes(words)), sums["c_sum"].combine_chunks()], schema=schema)
 
-    return shared_copy(map_texts(texts, make, "hashes array<int>, classes array<tinyint>", ()), "tokens")
+        for batch in batches:
+            for _, part in groups(batch, "text"):
+                _, bounds, numbers, distinct = number_tokens(part)
+                ends, values = pa.array(bounds, pa.int32()), (_hashes(distinct)[numbers].view(np.int32), _classes(distinct)[numbers].astype(np.int8))
+                made = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
+                yield pa.RecordBatch.from_arrays(made + [pa.nulls(len(part), f.type) for f in list(schema)[2:]], schema=schema)
+                seen.append(pa.table({"word": distinct, "c": pa.array(np.bincount(numbers, minlength=len(distinct)))}))
+                if sum(map(len, seen)) > MEMO:
+                    yield from counted()
+        yield from counted()
+
+    added = "hashes array<int>, classes array<tinyint>, word binary, class int, c bigint"
+    both = shared_copy(texts.select("text").mapInArrow(run, added), "tokens")
+    counts = both.where(F.col("c").isNotNull()).groupBy("word", "class").agg(F.sum("c").alias("c"))
+    return both.where(F.col("hashes").isNotNull()).select("hashes", "classes"), counts
+
+
+def tokens_of(texts: DataFrame) -> DataFrame:
+    """(hashes ARRAY<INT>, classes ARRAY<TINYINT>): the tokens of each text."""
+    return read_training(texts)[0]
 
 
 def _read_tokens(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -149,7 +181,7 @@ def _read_tokens(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[tupl
 
 
 def _scores(weights: np.ndarray, rows: np.ndarray, slots: list[np.ndarray], part: slice) -> np.ndarray:
-    """Unnormalised log probabilities of all classes for some tokens, the greatest 0."""
+    """Unnormalised log probabilities of all classes for some tokens, none too large to exponentiate."""
     scores = weights[rows[1]:rows[2]].take(slots[0][part], 0)
     for base, end, slot in zip(rows[2:-1], rows[3:], slots[1:], strict=True):
         scores += weights[base:end].take(slot[part], 0)
@@ -158,6 +190,9 @@ def _scores(weights: np.ndarray, rows: np.ndarray, slots: list[np.ndarray], part
 
 
 def _below_top(scores: np.ndarray) -> np.ndarray:
+    """Log probabilities, shifted by token where exponentials could otherwise leave the range of 32 bits."""
+    if -_SAFE < scores.min(initial=0) and scores.max(initial=0) < _SAFE:
+        return scores
     top = scores
     while top.shape[1] > 1:  # the maximum by halves; the number of classes is a power of two
         half = top.shape[1] // 2
@@ -195,7 +230,7 @@ class Slopes:
     """
 
     def __init__(self, weights: np.ndarray, scales: np.ndarray, rows: np.ndarray, expect: bool = False):
-        self.expected = np.zeros(weights.shape) if expect else None
+        self.sums = [np.zeros((height, CLASSES)) for height in (*np.diff(rows)[:-2], CLASSES * _PAIRS)] if expect else None
         self.weights, self.scales, self.rows = weights, scales.astype(np.float32), rows
         self.prior = (PRIOR * np.exp(weights[0])).astype(np.float32)  # a class's share of the prior tokens
         self.first, self.second, self.tokens = np.zeros(FEATURES), np.zeros((FEATURES, FEATURES)), 0
@@ -205,38 +240,45 @@ class Slopes:
             part = slice(start, start + _SHARES)
             self._add([s[part] for s in slots], classes[part])
 
+    def expected(self) -> np.ndarray:
+        """What the model expects, by weight row."""
+        bias, *words, kinds = self.sums
+        # three classes before fix both pairs: (before and the one before that), (skipped and before)
+        kinds = kinds.reshape(CLASSES, CLASSES, CLASSES, CLASSES)
+        return np.concatenate([bias, *words, kinds.sum(0).reshape(_PAIRS, CLASSES), kinds.sum(2).reshape(_PAIRS, CLASSES)])
+
     def _expect(self, slots: list[np.ndarray], shares: np.ndarray) -> None:
-        self.expected[0] += shares.sum(0, dtype=np.float64)
-        for base, slot in zip(self.rows[1:-1], slots, strict=True):
-            order = np.argsort(slot, kind="stable")
-            ordered = slot[order]
-            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            self.expected[base + ordered[first].astype(np.int64)] += np.add.reduceat(shares.take(order, 0), first, axis=0)
+        self.sums[0] += shares.sum(0, dtype=np.float64)
+        pairs = shares.astype(np.float64).view(np.complex128).ravel()  # two classes are added at once
+        kinds = slots[4].astype(np.int64) * CLASSES + slots[3] % CLASSES
+        for total, slot in zip(self.sums[1:], (*slots[:3], kinds), strict=True):
+            cells = slot.astype(np.int64)[:, None] * (CLASSES // 2) + np.arange(CLASSES // 2)
+            np.add.at(total.view(np.complex128).ravel(), cells.ravel(), pairs)
 
     def _add(self, slots: list[np.ndarray], classes: np.ndarray) -> None:
-        every_share = None if self.expected is None else np.empty((len(classes), CLASSES), np.float32)
-        for at in range(0, len(classes), BATCH):
-            own = classes[at:at + BATCH]
-            every, prior, says = np.arange(len(own)), self.prior[own], []
-            scores = np.repeat(self.weights[:1], len(own), 0)
-            for base, slot, scale in zip(self.rows[1:-1], slots, self.scales, strict=True):
-                value = self.weights.take(base + slot[at:at + BATCH].astype(np.int64), 0)
-                # a weight is log((count + prior) / prior)
-                counted = np.maximum(np.exp(value[every, own]) * prior - 1, prior)
-                value[every, own] = np.log(counted / prior)
-                says.append(value)
-                scores += scale * value
+        every_share = None if self.sums is None else np.empty((len(classes), CLASSES), np.float32)
+        for at in range(0, len(classes), _STEP):
+            own = classes[at:at + _STEP]
+            every, prior = np.arange(len(own)), self.prior[own]
+            says = np.empty((FEATURES, len(own), CLASSES), np.float32)
+            for value, base, end, slot in zip(says, self.rows[1:-1], self.rows[2:], slots, strict=True):
+                value[:] = self.weights[base:end].take(slot[at:at + _STEP], 0)
+            # a weight is log((count + prior) / prior)
+            counted = np.maximum(np.exp(says[:, every, own]) * prior - 1, prior)
+            said = np.log(counted / prior)
+            says[:, every, own] = said
+            scores = (self.scales @ says.reshape(FEATURES, -1)).reshape(-1, CLASSES)
+            scores += self.weights[0]
             shares = np.exp(_below_top(scores), out=scores)
             shares /= (shares @ _ONES)[:, None]
             if every_share is not None:
-                every_share[at:at + BATCH] = shares
-            means = []
-            for i, value in enumerate(says):
-                pull = shares * value
-                means.append(pull @ _ONES)
-                self.first[i] += float((value[every, own] - means[i]).sum(dtype=np.float64))
+                every_share[at:at + _STEP] = shares
+            pulls = shares * says
+            means = pulls @ _ONES
+            self.first += (said - means).sum(1, dtype=np.float64)
+            for i in range(FEATURES):
                 for j in range(i + 1):
-                    both = float(np.vdot(pull, says[j])) - float(np.vdot(means[i], means[j]))
+                    both = float(np.vdot(pulls[i], says[j])) - float(np.vdot(means[i], means[j]))
                     self.second[i, j] += both
                     self.second[j, i] += both * (i != j)
             self.tokens += len(own)
@@ -244,34 +286,6 @@ class Slopes:
             self._expect(slots, every_share)
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word BINARY, class INT, c BIGINT) of all tokens, one end per text; combined within tasks before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = list(seen)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array([word_class(w) for w in words], pa.int32()), pa.array(list(seen.values()), pa.int64())],
-                ["word", "class", "c"],
-            )
-
-        for batch in batches:
-            for _, part in groups(batch, "text"):
-                for text in part:
-                    seen.update(text.lower().split())
-                seen[END] += len(part)
-                if len(seen) > MEMO:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
-
-    partial = texts.select("text").mapInArrow(run, "word binary, class int, c bigint")
-    return partial.groupBy("word", "class").agg(F.sum("c").alias("c"))
-
-
 def _packed(block: np.ndarray) -> bytes:
     """INT64 values with their lowest bytes first, then the next: the high ones, nearly all zero, take no room in a shuffle."""
     return np.ascontiguousarray(block).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -295,8 +309,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _COUNTS = "block int, counts binary"
 
 
-def _summed_rows(tokens: DataFrame, height: int, of_task: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
-    """The sum over all tasks of ``of_task``: ``height`` rows of INT64, one column per class.
+def _summed_rows(tokens: DataFrame, height: int, of_task: Callable[[Iterator[pa.RecordBatch]], np.ndarray], unit: int = 1) -> np.ndarray:
+    """The sum over all tasks of ``of_task``: ``height`` rows, one column per class, in whole multiples of 1 / ``unit``.
 
     Tasks' rows meet in blocks, first those of some ``_FAN`` tasks each, then all of a block,
     level by level, so that no task reads those of all tasks at once.
@@ -305,7 +319,7 @@ def _summed_rows(tokens: DataFrame, height: int, of_task: Callable[[Iterator[pa.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = of_task(batches)
         for start in range(0, len(total), _BLOCK):
-            block = total[start:start + _BLOCK]
+            block = np.rint(total[start:start + _BLOCK] * unit).astype(np.int64) if unit > 1 else total[start:start + _BLOCK]
             if block.any():
                 yield pa.RecordBatch.from_arrays([pa.array([start // _BLOCK], pa.int32()), pa.array([_packed(block)], pa.binary())], ["block", "counts"])
 
@@ -314,10 +328,12 @@ def _summed_rows(tokens: DataFrame, height: int, of_task: Callable[[Iterator[pa.
     while tasks > _FAN:
         tasks = -(-tasks // _FAN)
         counted = counted.withColumn("part", F.spark_partition_id() % tasks).repartition("block", "part").mapInArrow(_added, _COUNTS)
-    out = np.zeros((height, CLASSES), np.int64)
-    for block, counts in counted.repartition("block").mapInArrow(_added, _COUNTS).collect():
+    out = np.zeros((height, CLASSES), np.int64 if unit == 1 else np.float64)
+    records = counted.repartition("block").mapInArrow(_added, _COUNTS).collect()
+    while records:  # what has been copied is released
+        block, counts = records.pop()
         found = _unpacked(counts).reshape(-1, CLASSES)
-        out[block * _BLOCK:block * _BLOCK + len(found)] = found
+        out[block * _BLOCK:block * _BLOCK + len(found)] = found if unit == 1 else found / unit
     return out
 
 
@@ -365,18 +381,28 @@ def expected_contexts(tokens: DataFrame, weights: np.ndarray, scales: np.ndarray
         slopes = Slopes(shipped.value, scales, rows, expect=True)
         for found, classes in _read_tokens(batches, slots):
             slopes.add(found, classes)
-        last = np.zeros((1, CLASSES), np.int64)  # a row more, for the slopes
-        last[0, :n] = np.rint(np.concatenate([slopes.first, slopes.second.ravel()]) * _UNIT)
-        slopes.expected *= _UNIT
-        return np.concatenate([np.rint(slopes.expected, out=slopes.expected).astype(np.int64), last])
+        last = np.zeros((1, CLASSES))  # a row more, for the slopes
+        last[0, :n] = np.concatenate([slopes.first, slopes.second.ravel()])
+        return np.concatenate([slopes.expected(), last])
 
-    found = _summed_rows(tokens, rows[-1] + 1, learn) / _UNIT
+    found = _summed_rows(tokens, rows[-1] + 1, learn, _UNIT)
     shipped.destroy()
     return found[-1, :FEATURES], found[-1, FEATURES:n].reshape(FEATURES, FEATURES), found[:-1]
 
 
+def _parts(height: int) -> Iterator[slice]:
+    """All weight rows, some at a time: what the driver computes on the way from one table to another takes no room of their size."""
+    for start in range(0, height, _BLOCK):
+        yield slice(start, start + _BLOCK)
+
+
 def train(texts: DataFrame, class_counts: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, int]:
-    """(weight rows by class, slots), from all texts.
+    """``learn`` from texts."""
+    return learn(tokens_of(texts), class_counts, rounds)
+
+
+def learn(tokens: DataFrame, class_counts: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, int]:
+    """(weight rows by class, slots), from the tokens of all texts.
 
     The bias is the log frequency of the classes.  Each context's weights start from one damped gradient step, in
     closed form: observed less expected counts over the expected ones, as a logarithm.  As features
@@ -388,9 +414,11 @@ def train(texts: DataFrame, class_counts: np.ndarray, rounds: int = 2) -> tuple[
     total = class_counts.sum()
     slots = slots_for(int(total))
     prior = (class_counts + 0.5) / (class_counts + 0.5).sum()
-    tokens = tokens_of(texts)
-    counts = count_contexts(tokens, slots)
-    weights = np.log1p(counts / (PRIOR * prior)).astype(np.float32)
+    exact = count_contexts(tokens, slots)
+    weights, counts = np.empty(exact.shape, np.float32), np.empty(exact.shape, np.float32)
+    for part in _parts(len(exact)):
+        weights[part], counts[part] = np.log1p(exact[part] / (PRIOR * prior)), exact[part]
+    del exact  # the last step needs no more than 24 bits of them
     weights[0] = np.log(prior)
     scales, expected = np.full(FEATURES, 0.3), counts
     for left in reversed(range(rounds if total else 0)):
@@ -404,7 +432,8 @@ def train(texts: DataFrame, class_counts: np.ndarray, rounds: int = 2) -> tuple[
     for base, end, scale in zip(rows[1:-1], rows[2:], scales, strict=True):
         weights[base:end] *= np.float32(scale)
     damping = DAMPING * prior
-    weights += (RATE * np.log((counts + damping) / (expected + damping))).astype(np.float32)
+    for part in _parts(len(weights)):
+        weights[part] += (RATE * np.log((counts[part] + damping) / (expected[part] + damping))).astype(np.float32)
     return weights, slots
 
 
@@ -439,13 +468,14 @@ def score(docs: DataFrame, rounds: int = 2, dictionary: int = DICTIONARY, fold:
     """
     spark = docs.sparkSession
     training = docs.where(training_row(F.col("doc_id"), fold))
-    counts = stored(count_words(training))
+    tokens_read, counted = read_training(training)
+    counts = stored(counted)
     sums = counts.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for k, n, v in sums:
         tokens[k], distinct[k] = n, v
     total, vocabulary = int(tokens.sum()), int(distinct.sum())
-    weights, slots = train(training, tokens, rounds)
+    weights, slots = learn(tokens_read, tokens, rounds)
     rows = rows_of(slots)
     least = _dictionary(counts, dictionary)
     common = counts.where(F.col("c") >= least).select("word", "c").toArrow()
@@ -458,16 +488,16 @@ def score(docs: DataFrame, rounds: int = 2, dictionary: int = DICTIONARY, fold:
         reader = Reader(known)
 
         def work(texts: list[bytes]):
-            split, bounds, hashes, classes, logs = reader.read(texts)
+            words, bounds, hashes, classes, logs = reader.read(texts)
             found = contexts(hashes, classes, bounds, slots)
             value = log_shares(learned, rows, found, classes) / np.log(10) - inside[classes]
             in_dictionary = ~np.isnan(logs)
             per_text = lambda x: np.add.reduceat(x, bounds[:-1]).tolist()
             rare = np.flatnonzero(~in_dictionary)
             cut = np.searchsorted(rare, bounds)
-            places = (rare - np.repeat(bounds[:-1], np.diff(cut))).tolist()
-            spelled = [(*words, END) for words in split]
-            others = [[spelled[i][p] for p in places[cut[i]:cut[i + 1]]] for i in range(len(texts))]
+            text = np.repeat(np.arange(len(texts)), np.diff(cut))
+            spelled = words.take(pa.array(rare - text, mask=rare == bounds[text + 1] - 1))  # NULL: the end of a text
+            others = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pc.fill_null(spelled, END))
             return np.diff(bounds).tolist(), per_text(value), per_text(np.where(in_dictionary, logs, 0.0)), per_text(in_dictionary.astype(np.int64)), others
 
         return work

@@ -335,6 +335,34 @@ def test_counts_of_contexts_are_added_up_level_by_level(spark, monkeypatch):
     assert (flat == maxent.count_contexts(tokens, 1 << 12)).all() and flat.sum() == 6 * 160
 
 
+def test_training_keeps_little_in_the_driver(spark, monkeypatch):
+    """Beside the weights and their counts no more than one table of the same height, in 64 bits, and the records it is copied from."""
+    import tracemalloc
+
+    import numpy as np
+
+    monkeypatch.setattr(maxent, "slots_for", lambda tokens: maxent.MOST_SLOTS)
+    # words enough to fill all blocks of rows
+    texts = [(i, " ".join(f"w{(i * 400 + j) * 7919 % 99991}" for j in range(400)), "s") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(2)
+    tracemalloc.start()
+    weights, _ = maxent.train(docs, np.full(maxent.CLASSES, 2506.25))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert weights.shape[0] > 3 * maxent.MOST_SLOTS and weights.dtype == np.float32
+    assert peak < 8 * weights.nbytes
+
+
+def test_tokens_and_word_counts_come_from_one_reading(spark, odd, monkeypatch):
+    monkeypatch.setattr(maxent, "MEMO", 3)
+    tokens, counts = maxent.read_training(odd.coalesce(1))
+    split = [t.encode().lower().split() + [b""] if t else [b""] for _, t, _ in ODD]
+    expected = Counter(w for t in split for w in t)
+    assert {(bytes(r.word), r["class"]): r.c for r in counts.collect()} == {(w, maxent.word_class(w)): n for w, n in expected.items()}
+    found = Counter((tuple(h % (1 << 32) for h in r.hashes), tuple(r.classes)) for r in tokens.collect())
+    assert found == Counter((tuple(map(zlib.crc32, t)), tuple(map(maxent.word_class, t))) for t in split)
+
+
 def test_scores_against_brute_force(spark):
     """The model's score from its weights, token by token, in plain Python."""
     import math
