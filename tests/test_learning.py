@@ -114,6 +114,26 @@ def test_models_learn_the_vectors(features):
     assert accuracy(ln.transfer_fit(features, features, "stance", "label")) > 0.6
 
 
+def test_mlp_head_converges_in_few_passes_at_any_scale(spark):
+    """Vectors of length one whose labels are noise: raw, their small components leave all hidden units nearly linear."""
+    rnd = np.random.default_rng(5)
+    vectors = rnd.normal(size=(400, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = rnd.integers(0, 2, 400).tolist()
+
+    def fitted(scale):
+        rows = list(zip(labels, (scale * vectors).tolist(), strict=True))
+        df = ln.pack_features(spark.createDataFrame(rows, "label int, hidden_state array<double>").coalesce(1))
+        model = ln.fit_mlp_head(df, [16, 16, 2], seed=1)
+        scored = ln.predict(model, df)
+        assert scored.columns == [*df.columns, "prediction"]
+        return ln.iterations(model), scored.where("prediction = label").count()
+
+    steps, right = fitted(1.0)
+    small_steps, small_right = fitted(1e-3)
+    assert steps < 1000 and small_steps < 1000 and right > 390 and small_right > 390
+
+
 def test_text_classifier_separates(spark):
     rows = [(i, "good kind words" if i % 2 else "bad cruel words", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "row_id long, text string, label int")
