@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mmap
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,12 +22,14 @@ TOKENS_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 12, 1 << 16
 PRIOR = 20.0
 #: Share of a whole step that every weight takes along its gradient, and tokens at the frequencies of the classes that damp it.
 RATE, DAMPING = 0.2, 50.0
-#: Stored tokens whose contexts are made at a time.
-PIECE = 1 << 19
+#: Stored tokens that are looked at together, and those whose contexts are made at a time.
+PIECE, _PART = 1 << 19, 1 << 16
 #: Words that tasks look up in memory; their counts cover most tokens, the others are joined.
 DICTIONARY = 1 << 18
 #: Words with their counts that a task holds before it adds them up.
 MEMO = 1_000_000
+#: Words with their counts in one record batch on their way out of a task.
+_SENT = 1 << 16
 END = b""
 _PAIRS = CLASSES * CLASSES
 _ONES = np.ones(CLASSES, np.float32)
@@ -34,10 +37,12 @@ _ONES = np.ones(CLASSES, np.float32)
 _SAFE = 80
 #: Weight rows that travel in one record.
 _BLOCK = 1024
+#: Tokens that 32 bits can count.
+_ROOM = (1 << 32) - 1
 #: Tasks whose changes are added up at a time.
 _FAN = 64
 #: Tokens judged at a time in the training, and those whose shares are then added up by context; sums travel as whole multiples of 1 / _UNIT.
-_STEP, _SHARES, _UNIT = 2048, 1 << 16, 1 << 12
+_STEP, _SHARES, _UNIT = 2048, 1 << 14, 1 << 12
 
 
 def slots_for(tokens: int) -> int:
@@ -58,6 +63,12 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word if len(word) <= 3 else word[-2:]) % CLASSES
 
 
+def _zeros(height: int, kind: type) -> np.ndarray:
+    """A large table by class, in pages of its own: they are taken when written to and go back to the system with the table."""
+    pages = mmap.mmap(-1, int(height) * CLASSES * np.dtype(kind).itemsize, flags=mmap.MAP_PRIVATE | mmap.MAP_ANONYMOUS)
+    return np.frombuffer(pages, kind).reshape(-1, CLASSES)
+
+
 def _before(values: np.ndarray, place: np.ndarray, n: int, fill: int) -> np.ndarray:
     """The value n positions earlier, ``fill`` where that is before the text."""
     shifted = np.empty_like(values)
@@ -112,17 +123,42 @@ def _classes(words: pa.Array) -> np.ndarray:
     return np.array(list(map(word_class, _plain(endings.dictionary))), np.int32)[endings.indices.to_numpy()]
 
 
+def by_hash(words: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(hashes, words, counts) of a table (word, c), by hash: arrays take a fraction of the room of a dictionary of Python objects."""
+    spelled = words["word"].combine_chunks().cast(pa.binary())
+    hashes = _hashes(spelled)
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], spelled.take(pa.array(order)), words["c"].to_numpy()[order]
+
+
 class Reader:
     """Turns texts into hashes and classes of all their tokens, in numpy arrays."""
 
-    def __init__(self, counts: dict[bytes, int] | None = None):
-        self.counts = counts or {}
+    def __init__(self, known: tuple[np.ndarray, pa.Array, np.ndarray] | None = None):
+        """``known``: what ``by_hash`` makes of the dictionary."""
+        self.known = known
+
+    def _counts(self, distinct: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """How often each word occurs, NaN if it is not in the dictionary."""
+        found = np.full(len(distinct), np.nan)
+        if self.known is None:
+            return found
+        known, spelled, counts = self.known
+        at, end = (np.searchsorted(known, hashes, side) for side in ("left", "right"))
+        left = np.flatnonzero(at < end)
+        while len(left):  # again only for words whose hash is that of several others
+            same = pc.equal(distinct.take(pa.array(left)), spelled.take(pa.array(at[left]))).to_numpy(zero_copy_only=False)
+            found[left[same]] = counts[at[left[same]]]
+            at += 1
+            left = left[~same]
+            left = left[at[left] < end[left]]
+        return found
 
     def read(self, texts: list[bytes]):
         """(words, first position of each text and the end of all, hashes, classes, log10(count + 0.5) or NaN: not in the dictionary)."""
         words, bounds, numbers, distinct = number_tokens(texts)
-        counts = np.array(list(map(self.counts.get, _plain(distinct))), float)  # None: NaN
-        return words, bounds, _hashes(distinct)[numbers], _classes(distinct)[numbers], np.log10(counts + 0.5)[numbers]
+        hashes = _hashes(distinct)
+        return words, bounds, hashes[numbers], _classes(distinct)[numbers], np.log10(self._counts(distinct, hashes) + 0.5)[numbers]
 
 
 def read_training(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,9 +177,9 @@ def read_training(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             if seen:
                 sums = pa.concat_tables(seen).group_by("word", use_threads=False).aggregate([("c", "sum")]).combine_chunks()
                 seen.clear()
-                words = sums["word"].combine_chunks()
-                empty = [pa.nulls(len(words), t) for t in lists]
-                yield pa.RecordBatch.from_arrays([*empty, words, pa.array(_classes(words)), sums["c_sum"].combine_chunks()], schema=schema)
+                for part in sums.to_batches(_SENT):
+                    empty = [pa.nulls(len(part), t) for t in lists]
+                    yield pa.RecordBatch.from_arrays([*empty, part["word"], pa.array(_classes(part["word"])), part["c_sum"]], schema=schema)
 
         for batch in batches:
             for _, part in groups(batch, "text"):
@@ -171,13 +207,18 @@ def _read_tokens(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[tupl
     """(slots by feature, classes) of some texts at a time, about ``PIECE`` tokens or one text."""
     for batch in batches:
         ends = batch.column(0).offsets.to_numpy().astype(np.int64)
+        after = lambda start, most: max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)  # noqa: B023, E731
         start = 0
         while start < len(batch):
-            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PIECE, "right")) - 1)
-            hashes, classes = (batch.column(i).slice(start, stop - start).flatten().to_numpy() for i in (0, 1))
-            classes = classes.astype(np.int32)
-            yield contexts(hashes.view(np.uint32), classes, ends[start:stop + 1] - ends[start], slots), classes
-            start = stop
+            stop, found, own = after(start, PIECE), [], []
+            while start < stop:
+                part = min(stop, after(start, _PART))
+                hashes, classes = (batch.column(i).slice(start, part - start).flatten().to_numpy() for i in (0, 1))
+                own.append(classes.astype(np.int32))
+                found.append(contexts(hashes.view(np.uint32), own[-1], ends[start:part + 1] - ends[start], slots))
+                start = part
+            yield [np.concatenate(x) for x in zip(*found, strict=True)], np.concatenate(own)
+    pa.default_memory_pool().release_unused()
 
 
 def _scores(weights: np.ndarray, rows: np.ndarray, slots: list[np.ndarray], part: slice) -> np.ndarray:
@@ -230,7 +271,8 @@ class Slopes:
     """
 
     def __init__(self, weights: np.ndarray, scales: np.ndarray, rows: np.ndarray, expect: bool = False):
-        self.sums = [np.zeros((height, CLASSES)) for height in (*np.diff(rows)[:-2], CLASSES * _PAIRS)] if expect else None
+        heights = [*np.diff(rows)[:-2], CLASSES * _PAIRS]
+        self.sums = [_zeros(height, np.float64) for height in heights] if expect else None
         self.weights, self.scales, self.rows = weights, scales.astype(np.float32), rows
         self.prior = (PRIOR * np.exp(weights[0])).astype(np.float32)  # a class's share of the prior tokens
         self.first, self.second, self.tokens = np.zeros(FEATURES), np.zeros((FEATURES, FEATURES)), 0
@@ -240,12 +282,12 @@ class Slopes:
             part = slice(start, start + _SHARES)
             self._add([s[part] for s in slots], classes[part])
 
-    def expected(self) -> np.ndarray:
-        """What the model expects, by weight row."""
+    def expected(self) -> list[np.ndarray]:
+        """What the model expects: tables that, one below the other, have the weight rows."""
         bias, *words, kinds = self.sums
         # three classes before fix both pairs: (before and the one before that), (skipped and before)
         kinds = kinds.reshape(CLASSES, CLASSES, CLASSES, CLASSES)
-        return np.concatenate([bias, *words, kinds.sum(0).reshape(_PAIRS, CLASSES), kinds.sum(2).reshape(_PAIRS, CLASSES)])
+        return [bias, *words, kinds.sum(0).reshape(_PAIRS, CLASSES), kinds.sum(2).reshape(_PAIRS, CLASSES)]
 
     def _expect(self, slots: list[np.ndarray], shares: np.ndarray) -> None:
         self.sums[0] += shares.sum(0, dtype=np.float64)
@@ -287,41 +329,59 @@ class Slopes:
 
 
 def _packed(block: np.ndarray) -> bytes:
-    """INT64 values with their lowest bytes first, then the next: the high ones, nearly all zero, take no room in a shuffle."""
-    return np.ascontiguousarray(block).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """INT64 values with their lowest bytes first, then the next, as far as any value needs them; how many bytes of a value, before all."""
+    planes = np.ascontiguousarray(block, np.int64).view(np.uint8).reshape(-1, 8).T
+    needed = 1 + max(np.flatnonzero(planes.any(1)), default=0)
+    return bytes([needed]) + planes[:needed].tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+def _unpacked(data: bytes | pa.Buffer, size: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8)
+    values = np.zeros((size, 8), np.uint8)
+    values[:, :planes[0]] = planes[1:].reshape(planes[0], -1).T
+    return values.view(np.int64).ravel()
+
+
+def _blocks(tables: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbered blocks of ``_BLOCK`` rows of tables one below the other, which are never copied into one."""
+    ends = np.cumsum([len(t) for t in tables])
+    for block, start in enumerate(range(0, int(ends[-1]), _BLOCK)):
+        yield block, np.concatenate([t[max(start + len(t) - end, 0):max(start + _BLOCK + len(t) - end, 0)] for t, end in zip(tables, ends, strict=True)])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One record per block: the sums of its records."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, counts in zip(*[batch.column(c).to_pylist() for c in ("block", "counts")], strict=True):
-            new = _unpacked(counts)
-            sums[block] = sums[block] + new if block in sums else new
-    for block, counts in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_packed(counts)], pa.binary())], ["block", "counts"])
+        for block, size, counts in zip(batch["block"].to_pylist(), batch["size"].to_pylist(), batch["counts"], strict=True):
+            new = _unpacked(counts.as_buffer(), size)
+            if block in sums:
+                sums[block] += new
+            else:
+                sums[block] = new
+    while sums:
+        yield _record(*sums.popitem())
+
+
+def _record(block: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.size], pa.int32()), pa.array([_packed(counts)], pa.binary())], ["block", "size", "counts"])
 
 
-_COUNTS = "block int, counts binary"
+_COUNTS = "block int, size int, counts binary"
 
 
-def _summed_rows(tokens: DataFrame, height: int, of_task: Callable[[Iterator[pa.RecordBatch]], np.ndarray], unit: int = 1) -> np.ndarray:
-    """The sum over all tasks of ``of_task``: ``height`` rows, one column per class, in whole multiples of 1 / ``unit``.
+def _summed_rows(tokens: DataFrame, height: int, of_task: Callable[[Iterator[pa.RecordBatch]], list[np.ndarray]], unit: int = 1) -> np.ndarray:
+    """The sum over all tasks of ``of_task``: tables of ``height`` rows in all, one column per class, in whole multiples of 1 / ``unit``.
 
     Tasks' rows meet in blocks, first those of some ``_FAN`` tasks each, then all of a block,
     level by level, so that no task reads those of all tasks at once.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = of_task(batches)
-        for start in range(0, len(total), _BLOCK):
-            block = np.rint(total[start:start + _BLOCK] * unit).astype(np.int64) if unit > 1 else total[start:start + _BLOCK]
-            if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([start // _BLOCK], pa.int32()), pa.array([_packed(block)], pa.binary())], ["block", "counts"])
+        for block, total in _blocks(of_task(batches)):
+            whole = np.rint(total * unit) if unit > 1 else total
+            if whole.any():
+                yield _record(block, whole.astype(np.int64))
 
     counted = tokens.mapInArrow(count, _COUNTS)
     tasks = tokens.rdd.getNumPartitions()
@@ -331,8 +391,8 @@ def _summed_rows(tokens: DataFrame, height: int, of_task: Callable[[Iterator[pa.
     out = np.zeros((height, CLASSES), np.int64 if unit == 1 else np.float64)
     records = counted.repartition("block").mapInArrow(_added, _COUNTS).collect()
     while records:  # what has been copied is released
-        block, counts = records.pop()
-        found = _unpacked(counts).reshape(-1, CLASSES)
+        block, size, counts = records.pop()
+        found = _unpacked(counts, size).reshape(-1, CLASSES)
         out[block * _BLOCK:block * _BLOCK + len(found)] = found if unit == 1 else found / unit
     return out
 
@@ -341,14 +401,17 @@ def count_contexts(tokens: DataFrame, slots: int) -> np.ndarray:
     """How often each class follows each context, by weight row: the part of the gradient that the texts fix, of all tokens."""
     rows = rows_of(slots)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros((rows[-1], CLASSES), np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        total, room = _zeros(rows[-1], np.uint32).ravel(), _ROOM  # of 32 bits, until there are more tokens than they can count
         for found, classes in _read_tokens(batches, slots):
-            total[0] += np.bincount(classes, minlength=CLASSES)
-            for base, end, slot in zip(rows[1:-1], rows[2:], found, strict=True):
-                cells = np.bincount(slot.astype(np.int64) * CLASSES + classes, minlength=(end - base) * CLASSES)
-                total[base:end] += cells.reshape(-1, CLASSES)
-        return total
+            room -= len(classes)
+            if room < 0:
+                total = total.astype(np.uint64, copy=False)
+            one = total.dtype.type(1)
+            total[:CLASSES] += np.bincount(classes, minlength=CLASSES).astype(total.dtype)
+            for base, slot in zip(rows[1:-1], found, strict=True):
+                np.add.at(total, (slot.astype(np.int64) + base) * CLASSES + classes, one)
+        return [total.reshape(-1, CLASSES)]
 
     return _summed_rows(tokens, rows[-1], count)
 
@@ -377,13 +440,13 @@ def expected_contexts(tokens: DataFrame, weights: np.ndarray, scales: np.ndarray
     shipped, rows = tokens.sparkSession.sparkContext.broadcast(weights), rows_of(slots)
     n = FEATURES * (FEATURES + 1)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    def learn(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
         slopes = Slopes(shipped.value, scales, rows, expect=True)
         for found, classes in _read_tokens(batches, slots):
             slopes.add(found, classes)
         last = np.zeros((1, CLASSES))  # a row more, for the slopes
         last[0, :n] = np.concatenate([slopes.first, slopes.second.ravel()])
-        return np.concatenate([slopes.expected(), last])
+        return [*slopes.expected(), last]
 
     found = _summed_rows(tokens, rows[-1] + 1, learn, _UNIT)
     shipped.destroy()
@@ -479,7 +542,7 @@ def score(docs: DataFrame, rounds: int = 2, dictionary: int = DICTIONARY, fold:
     rows = rows_of(slots)
     least = _dictionary(counts, dictionary)
     common = counts.where(F.col("c") >= least).select("word", "c").toArrow()
-    shipped = spark.sparkContext.broadcast((dict(zip(*[c.to_pylist() for c in common.columns], strict=True)), weights))
+    shipped = spark.sparkContext.broadcast((by_hash(common), weights))
     inside = np.log10(tokens + 0.5 * (distinct + 1))
     unigram = float(np.log10(total + 0.5 * (vocabulary + 1)))
 

@@ -353,6 +353,57 @@ def test_training_keeps_little_in_the_driver(spark, monkeypatch):
     assert peak < 8 * weights.nbytes
 
 
+def test_training_keeps_little_in_a_task(spark, monkeypatch):
+    """A task holds one table of sums, the counts in 32 bits, and little beside it; records have no bytes that all values leave empty."""
+    import tracemalloc
+
+    import numpy as np
+
+    texts = [(i, " ".join(f"w{(i * 400 + j) * 7919 % 99991}" for j in range(400)), "s") for i in range(200)]
+    tokens = maxent.tokens_of(spark.createDataFrame(texts, "doc_id long, text string, source string"))
+    batches, peaks, slots = tokens.toArrow().combine_chunks().to_batches(), [], maxent.MOST_SLOTS
+
+    def alone(tokens, height, of_task, unit=1):
+        tracemalloc.start()
+        made = of_task(iter(batches))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return np.concatenate(made)
+
+    monkeypatch.setattr(maxent, "_summed_rows", alone)
+    counts = maxent.count_contexts(tokens, slots)
+    assert counts.shape == (maxent.rows_of(slots)[-1], maxent.CLASSES) and (counts[0].sum(), counts.sum()) == (200 * 401, 6 * 200 * 401)
+    maxent.expected_contexts(tokens, np.zeros(counts.shape, np.float32), np.full(maxent.FEATURES, 0.3), slots)
+    assert peaks[0] < 4 * counts.size + (20 << 20) and peaks[1] < 12 * counts.size + (30 << 20)  # with the weights
+    assert len(maxent._packed(np.full((1024, maxent.CLASSES), 255))) == 1 + 1024 * maxent.CLASSES
+    for values in ([0, 0], [1, 255], [256, 0], [70000, 1 << 40], [-1, 5], [-(1 << 63), (1 << 63) - 1]):
+        assert maxent._unpacked(maxent._packed(np.array(values)), 2).tolist() == values
+
+
+def test_dictionary_is_looked_up_in_arrays(monkeypatch):
+    """Words are found by hash and compared, whatever others share the hash; no dictionary of Python objects is made."""
+    import numpy as np
+    import pyarrow as pa
+
+    known = {b"": 3, b"a": 5, b"b": 7, "é".encode(): 2, b"cc": 11}
+    table = pa.table({"word": pa.array(list(known), pa.binary()), "c": pa.array(list(known.values()), pa.int64())})
+    texts = [b"a b zz cc", b"", b"B \xc3\xa9 a c"]
+    tokens = [w for t in texts for w in [*t.lower().split(), b""]]
+    expected = np.log10(np.array([known.get(w, np.nan) for w in tokens]) + 0.5)
+    for hashes in (maxent._hashes, lambda words: np.zeros(len(words), np.uint32), lambda words: np.array([len(w) for w in words.to_pylist()], np.uint32)):
+        monkeypatch.setattr(maxent, "_hashes", hashes)
+        assert np.array_equal(maxent.Reader(maxent.by_hash(table)).read(texts)[-1], expected, equal_nan=True)
+        assert np.isnan(maxent.Reader(maxent.by_hash(table.slice(0, 0))).read(texts)[-1]).all()
+
+
+def test_counts_beyond_32_bits_are_kept(spark, monkeypatch):
+    tokens = maxent.tokens_of(frame(spark, [(i, f"a b{i % 3} c", "s") for i in range(40)]).coalesce(1))
+    narrow = maxent.count_contexts(tokens, 1 << 12)
+    monkeypatch.setattr(maxent, "PIECE", 7)
+    monkeypatch.setattr(maxent, "_ROOM", 30)
+    assert (narrow == maxent.count_contexts(tokens, 1 << 12)).all() and narrow.sum() == 6 * 160
+
+
 def test_tokens_and_word_counts_come_from_one_reading(spark, odd, monkeypatch):
     monkeypatch.setattr(maxent, "MEMO", 3)
     tokens, counts = maxent.read_training(odd.coalesce(1))
